@@ -70,3 +70,41 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, x.shape[1], 4096):
         np.minimum(out, (x[:, at : at + 4096] * _A + _B).min(axis=1), out=out)
     return out
+
+
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def long_grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words; runs of 1, 2, 4 ... words are joined, so it takes log2(size) steps."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    power, step, acc, done = hashes, 1, None, 0
+    while True:
+        if size & step:
+            part = power[done : done + n]
+            acc = part if acc is None else mix(acc * _C1 + part * _C2 + np.uint64(step))
+            done += step
+        step *= 2
+        if step > size:
+            return acc
+        power = mix(power[: len(power) - step // 2] * _C1 + power[step // 2 :] * _C2)
+
+
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    n = len(values) - width + 1
+    step = 1
+    while step * 2 <= width:
+        values = pick(values[: len(values) - step], values[step:])
+        step *= 2
+    return pick(values[:n], values[width - step : width - step + n])
+
+
+def winnow(grams_: np.ndarray, width: int) -> np.ndarray:
+    """Positions of grams that are the smallest of some ``width`` grams in a row."""
+    if len(grams_) < width:
+        return np.zeros(0, dtype=np.int64)
+    least = _sliding(grams_, width, np.minimum)
+    pad = np.zeros(width - 1, dtype=np.uint64)
+    return np.flatnonzero(grams_ == _sliding(np.concatenate([pad, least, pad]), width, np.maximum))
