@@ -107,9 +107,9 @@ def key_check(spark, sf_dir):
     return R.keys(table, 0).where("n > 1").agg(F.count("*").alias("repeated"), F.max("n").alias("most"))
 
 
-@register("candidate_key", "SELECT 'o_orderkey' AS column_name FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k FROM orders) WHERE n = k")
+@register("candidate_key", "SELECT 'order_key' AS column_name FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k FROM orders) WHERE n = k")
 def candidate_key(spark, sf_dir):
-    done = profile(_read(spark, sf_dir, "orders"), NOW, columns=[0])
+    done = profile(from_dataframe(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("customer_key"), F.col("o_orderkey").alias("order_key"))), NOW)
     found = [f.column for f in C.key(done, Config()) if f.code == "candidate-key"]
     return spark.createDataFrame([(x,) for x in found], "column_name string")
 
@@ -341,7 +341,7 @@ def repair_audit(spark, sf_dir):
 @register("drop_duplicates", "SELECT count(*) - count(DISTINCT (text, lang)) AS dropped, count(DISTINCT (text, lang)) AS kept FROM (SELECT trim(replace(lang, '_', ' ')) AS lang, source AS text FROM documents)")
 def drop_duplicates(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    done = profile(from_dataframe(df.select("source", "lang"), row_no=F.col("doc_id")), NOW)
+    done = profile(from_dataframe(df.select("doc_id", "source", "lang"), order="doc_id"), NOW)
     out = P.plan(done, None, "high", True)
     return out.rows.agg(F.count("*").alias("kept")).crossJoin(out.dropped.agg(F.count("*").alias("dropped")))
 
@@ -379,7 +379,7 @@ def impact_group_merges(spark, sf_dir):
 @register("impact_duplicates", "SELECT count(*) AS duplicate_rows, round(coalesce(sum(value), 0), 4) AS duplicate_amount FROM (SELECT round(value) AS value, row_number() OVER (PARTITION BY event_type, round(value) ORDER BY event_id) AS r FROM events) WHERE r > 1")
 def impact_duplicates(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    done = profile(from_dataframe(df.select("event_type", F.round("value").alias("value")), row_no=F.col("event_id")), NOW)
+    done = profile(from_dataframe(df.select("event_id", "event_type", F.round("value").alias("value")), order="event_id"), NOW)
     return I.duplicate_impact(I.prepare(done), "value").select("duplicate_rows", F.round("duplicate_amount", 4).alias("duplicate_amount"))
 
 

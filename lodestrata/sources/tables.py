@@ -98,11 +98,11 @@ def text_of(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def from_dataframe(df: DataFrame, path: str = "", names: list[str] | None = None, row_no: Column | None = None) -> TextTable:
-    """Any DataFrame as a text table, in the order of its rows as read."""
-    fields = df.schema.fields
+def from_dataframe(df: DataFrame, path: str = "", names: list[str] | None = None, order: str | None = None) -> TextTable:
+    """Any DataFrame as a text table, in the order of its rows as read, or of a number column that is then no cell."""
+    fields = [f for f in df.schema.fields if f.name != order]
     cells = [text_of(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
-    own = df.select((F.monotonically_increasing_id() if row_no is None else row_no).alias("row_no"), *cells)
+    own = df.select((F.monotonically_increasing_id() if order is None else F.col(order).cast("long")).alias("row_no"), *cells)
     return TextTable(own, names or [f.name for f in fields], path, declared={i: f.dataType.simpleString() for i, f in enumerate(fields)})
 
 
