@@ -124,7 +124,8 @@ def _merge_spans(spans):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` (with a column text) plus n_words, hit_spans and hit_items (ids as strings)."""
+    """``docs`` (with a column text) plus n_words, hit_spans and hit_items (ids as strings), which replace columns so named."""
+    docs = docs.drop("n_words", "hit_spans", "hit_items")
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -197,7 +197,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             out.append(text if not text or not spans else without(text, spans))
         yield batch.set_column(at, "text", pa.array(out, pa.string()))
 
@@ -222,6 +222,6 @@ def _word_edges(data: bytes) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """``docs`` with repeated passages cut from text; rows and other columns stay."""
-    spans = find(docs, scratch, window, phrase).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), "spans").dropDuplicates(["__doc", "__key"])
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(spans.withColumnRenamed("__key", "__k"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__k")), "left").select(*[F.col(c) for c in docs.columns], "spans")
-    return joined.mapInArrow(_strip, joined.schema).drop("spans")
+    spans = find(docs, scratch, window, phrase).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__key"])
+    joined = docs.withColumn("__key", F.xxhash64("text")).join(spans.withColumnRenamed("__key", "__k"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__k")), "left").select(*[F.col(c) for c in docs.columns], "__spans")
+    return joined.mapInArrow(_strip, joined.schema).drop("__spans")
