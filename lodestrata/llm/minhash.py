@@ -8,11 +8,10 @@ sort of single rows, so a region of any size spreads over tasks.
    longest prefix with. Of these each class keeps the ``NEAREST``, by prefix length over all trees.
    Candidates are confirmed on full shingle sets, and links joined into components.
 2. Wider where needed: a region (classes with a common prefix of DEPTH values) that still holds several
-   components is opened whole. Its classes are compared by signature, block against block inside tasks;
-   pairs of different components whose signatures agree in ``LEAST_AGREE`` values or more are
-   confirmed. A task first reports the best few pairs for two components; regions where more remain and
-   whose components did not join are opened again with a larger report, until nothing remains. So no
-   candidate is dropped and no pair inside a component is ever listed.
+   components is opened whole. Its classes meet block by block inside tasks, but for pairs of its largest
+   component; pairs of different components whose signatures agree in ``LEAST_AGREE`` values or more
+   are confirmed on full sets, in the first tree where they meet. A task returns the links that
+   join components, so no candidate is dropped and no pair inside a component is ever listed.
 
 A pair at similarity 0.8 shares DEPTH values in no tree with probability (1 - 0.8**4)**24 = 3e-6, and falls
 under LEAST_AGREE with probability below 1e-5; closer pairs miss far less.
@@ -39,17 +38,15 @@ from .shingles import SIGNATURE, shingle_set, signature
 DEPTH = 4
 TREES = SIGNATURE // DEPTH
 NEAREST = 3
-BLOCK = 1_024
+BLOCK = 512
 #: Signature values, of SIGNATURE, in which a candidate of an opened region agrees at least (0.6).
 LEAST_AGREE = 58
-#: Pairs that a task reports for two components at first, and the factor from one round to the next.
-REPORT, REPORT_GROWTH = 16, 16
 
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sig, low = [], [], [], [], []
+            n, k1, k2, sig = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size)
                 key = xxhash.xxh3_128_digest(own.tobytes())
@@ -58,8 +55,7 @@ def _sign(size: int):
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
                 k2.append(int.from_bytes(key[8:], "little", signed=True))
                 sig.append(None if values is None else values.tobytes())
-                low.append(None if values is None else values.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
@@ -140,53 +136,60 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open(report: int):
-    """Compares blocks i and j of a region by signature; see the module's second step."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 4):
-            tree, prefix, i, j = (rows.column(k)[0].as_py() for k in range(4))
-            blk, cls, comp = (rows.column(k).to_numpy() for k in (4, 5, 6))
-            low = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint8).reshape(len(blk), SIGNATURE)
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-            xs, ys, agree = [], [], []
-            for at in range(0, len(left), 32):
-                own = left[at : at + 32]
-                n = (low[own][:, None, :] == low[right][None, :, :]).sum(axis=2)
-                ok = (n >= LEAST_AGREE) & (comp[own][:, None] != comp[right][None, :])
-                if i == j:
-                    ok &= right[None, :] > own[:, None]
-                x, y = np.nonzero(ok)
-                xs.append(own[x])
-                ys.append(right[y])
-                agree.append(n[x, y])
-            x, y, n = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (xs, ys, agree))
-            if not len(x):
-                continue
-            c1, c2 = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((cls[y], cls[x], -n, c2, c1))
-            x, y, c1, c2 = x[order], y[order], c1[order], c2[order]
-            new = np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-            start = np.flatnonzero(new)
-            rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
-            take = rank < report
-            more = rank == report  # two components with pairs left over
-            out = np.flatnonzero(take | more)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(out), tree), pa.int32()), pa.array(np.full(len(out), prefix), pa.int64()), pa.array(np.where(more, c1, np.minimum(cls[x], cls[y]))[out], pa.int64()), pa.array(np.where(more, c2, np.maximum(cls[x], cls[y]))[out], pa.int64()), pa.array(more[out], pa.bool_())],
-                names=["tree", "prefix", "a", "b", "more"],
-            )
-
-    return run
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of a region, from blocks i and j of it; see the module's second step."""
+    for rows in _runs(batches, 4):
+        tree, i, j = (rows.column(k)[0].as_py() for k in (0, 2, 3))
+        blk, cls, comp = (rows.column(k).to_numpy() for k in (4, 5, 6))
+        sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint32).reshape(len(blk), SIGNATURE)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(8).to_pylist()]
+        links = _links(tree, sig, sets, cls, comp, np.flatnonzero(blk == i), np.flatnonzero(blk == j))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+
+def _links(tree: int, sig: np.ndarray, sets: list[np.ndarray], cls: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Confirmed links that join components of the ``left`` rows with those of the ``right`` rows."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    low = sig.astype(np.uint8)
+    size = np.array([len(x) for x in sets])
+    out: list[tuple[int, int]] = []
+    for x in left.tolist():
+        near = right[comp[right] != comp[x]]
+        near = near[(low[near] == low[x]).sum(axis=1) >= LEAST_AGREE]
+        near = near[(np.minimum(size[near], size[x]) * 100 >= 80 * np.maximum(size[near], size[x]))]
+        if tree and len(near):  # pairs that met in an earlier tree are compared there
+            met = (sig[near, : tree * DEPTH] == sig[x, : tree * DEPTH]).reshape(len(near), tree, DEPTH).all(axis=2).any(axis=1)
+            near = near[~met]
+        own = root(int(comp[x]))
+        near = np.array([y for y in near.tolist() if root(int(comp[y])) != own], dtype=np.int64)
+        if not len(near):
+            continue
+        every = np.concatenate([sets[y] for y in near])
+        at = np.minimum(np.searchsorted(sets[x], every), size[x] - 1)
+        both = np.add.reduceat(sets[x][at] == every, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+        for y in near[100 * both >= 80 * (size[near] + size[x] - both)].tolist():
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a != b:
+                parent[a] = b
+                out.append((int(cls[x]), int(cls[y])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, on shingles of ``size`` words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.cut(texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, low binary"), "signatures")
+    signed = scratch.cut(texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls")), "set-classes")
-    reps = usable.join(classes, (usable.k1 == classes.k1) & (usable.k2 == classes.k2) & (usable.doc_id == classes.cls), "left_semi").select(F.col("doc_id").alias("cls"), "k1", "sig", "low").dropDuplicates(["cls", "k1"])
+    reps = usable.join(classes, (usable.k1 == classes.k1) & (usable.k2 == classes.k2) & (usable.doc_id == classes.cls), "left_semi").select(F.col("doc_id").alias("cls"), "k1", "sig").dropDuplicates(["cls", "k1"])
     reps = scratch.cut(reps, "class-signatures")
 
     width = 4 * DEPTH
@@ -217,37 +220,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
         full = rows.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
         return scratch.cut(full.mapInArrow(_confirm, "a long, b long").distinct(), name)
 
-    links = confirmed(candidates, "links-0")
+    links = confirmed(candidates, "links")
     found = components(links, scratch, "component-links")
-    report, rounds, opened = REPORT, 0, members.select("tree", "prefix", "cls").distinct()
-    while True:
-        placed = opened.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("tree", "prefix", "cls", F.coalesce("component", "cls").alias("comp"))
-        placed = scratch.cut(placed, f"placed-{rounds}")
-        regions = scratch.cut(placed.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("tree", "prefix", "n"), f"regions-{rounds}")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = (
-            placed.join(regions, ["tree", "prefix"])
-            .withColumn("g", blocks)
-            .withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("g")).cast("int"))
-            .join(reps.select("cls", "low"), "cls")
-            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            .select("tree", "prefix", F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"), "blk", "cls", "comp", "low")
-        )
-        keys = ["tree", "prefix", "i", "j"]
-        told = scratch.cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_open(report), "tree int, prefix long, a long, b long, more boolean"), f"opened-{rounds}")
-        new = confirmed(told.where("NOT more").select("a", "b").distinct(), f"links-{rounds + 1}")
-        if new.isEmpty():
-            break
-        links = scratch.cut(links.unionByName(new), "links")
-        found = components(links, scratch, "component-links")
-        left = told.where("more").select("tree", "prefix").distinct()
-        if left.isEmpty():
-            break
-        opened = members.select("tree", "prefix", "cls").distinct().join(left, ["tree", "prefix"], "left_semi")
-        report, rounds = report * REPORT_GROWTH, rounds + 1
+    placed = members.select("tree", "prefix", "cls").distinct().join(found.withColumnRenamed("id", "cls"), "cls", "left").select("tree", "prefix", "cls", F.coalesce("component", "cls").alias("comp"))
+    placed = scratch.cut(placed, "placed")
+    by_component = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
+    regions = by_component.groupBy("tree", "prefix").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    regions = scratch.cut(regions.select("tree", "prefix", F.col("most.comp").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("g_rest"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("g_most")), "regions")
+    # blocks of the region's largest component never meet each other
+    largest = F.col("comp") == F.col("most")
+    dealt = (
+        placed.join(regions, ["tree", "prefix"])
+        .withColumn("blk", F.when(largest, F.col("g_rest") + F.pmod(F.xxhash64("cls", F.lit(7)), F.col("g_most"))).otherwise(F.pmod(F.xxhash64("cls", F.lit(7)), F.col("g_rest"))).cast("int"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.when(largest, F.col("g_rest")).otherwise(F.col("g_rest") + F.col("g_most")) - 1)))
+        .select("tree", "prefix", F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"), "blk", "cls", "comp")
+    )
+    full = dealt.join(reps.select("cls", "sig"), "cls").join(sets.withColumnRenamed("id", "cls"), "cls").select("tree", "prefix", "i", "j", "blk", "cls", "comp", "sig", "shingles")
+    keys = ["tree", "prefix", "i", "j"]
+    new = scratch.cut(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_open, "a long, b long").distinct(), "opened")
+    found = components(links.unionByName(new), scratch, "component-links")
 
     label = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("component_id"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("salt"))
     every = signed.select("doc_id", "n_shingles", "k1", "k2", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"), ((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).alias("linked"))
     out = every.join(label, ["k1", "k2", "salt"], "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """``docs`` without the documents whose component holds a smaller doc_id; rows with a null doc_id stay."""
+    gone = near_duplicates(docs, scratch, size).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
