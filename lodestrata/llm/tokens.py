@@ -17,6 +17,7 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -44,10 +45,19 @@ SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_ids long, doc_
 
 # The byte-level pre-tokenizer always starts a new token between a visible character and a blank or line
 # feed, and between a letter or digit and one of these signs, so text cut there encodes piece by piece
-# to the same ids. Two blanks in a row are the exception that ODD finds.
-_ODD = re.compile(r"\s[ \n]").search
+# to the same ids. ODD finds what the plain cuts of ``pieces`` would get wrong: two blanks in a row, and a
+# comma or full stop after another sign.
+_ODD = re.compile(r"\s[ \n]|[\W_][,.][ \n]|\0").search
 _CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
 _SIGN = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,;:!?*#%&$|@/()\-])")
+#: Words that are encoded as one text, whose ids are then told apart by the tokens that start with a blank.
+TOGETHER = 2_000
+
+
+def pieces(text: str) -> list[str]:
+    if _ODD(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
 
 
 class Memo(dict):
@@ -55,6 +65,16 @@ class Memo(dict):
 
     def __init__(self, tokenizer, dtype):
         self.tokenizer, self.dtype, self.old = tokenizer, dtype, {}
+        vocabulary = tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+
+    def put(self, piece: str, ids: bytes) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -63,11 +83,21 @@ class Memo(dict):
             if len(parts) > 1:
                 return b"".join(map(self.__getitem__, parts))
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+        return self.put(piece, ids)
+
+    def learn(self, new: set[str]) -> None:
+        """Encode the plain words among ``new`` that are not known yet, together."""
+        old = self.old
+        words = [x for x in new if x not in self and x not in old and x[:1] == " " and x[1:].isalnum()]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) != len(part):
+                continue  # they are encoded one by one when they are met
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            for word, a, b in zip(part, (starts * size).tolist(), [*(starts[1:] * size).tolist(), len(raw)], strict=True):
+                self.put(word, raw[a:b])
 
 
 class Encoder:
@@ -76,15 +106,17 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo = Memo(self.tokenizer, self.dtype)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian integers of ``dtype``."""
-        pieces = _CUT.split(text) if "\0" in text or _ODD(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return b"".join(map(self.memo.__getitem__, pieces))
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``dtype``."""
+        cut = [pieces(x) for x in texts]
+        self.memo.learn(set().union(*cut))
+        return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,13 +162,14 @@ def _write_part(path: str):
         end = np.array([END_ID], dtype=coder.dtype).tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, text in zip(names, texts, strict=True):
-                docs.append(name)
-                held.append(coder.encode(text) + end)
-                n += len(held[-1]) // coder.dtype.itemsize
-                if n >= SHARD_IDS:
-                    yield close()
-                    docs, held, n, seq = [], [], 0, seq + 1
+            for at in range(0, len(names), 128):
+                for name, ids in zip(names[at : at + 128], coder.batch(texts[at : at + 128]), strict=True):
+                    docs.append(name)
+                    held.append(ids + end)
+                    n += len(held[-1]) // coder.dtype.itemsize
+                    if n >= SHARD_IDS:
+                        yield close()
+                        docs, held, n, seq = [], [], 0, seq + 1
         if docs:
             yield close()
 
