@@ -26,6 +26,7 @@ import heapq
 import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,30 +139,49 @@ class Pieces:
         return b"".join([f[0] for f in found]), sum(f[1] for f in found), min(f[2] for f in found)
 
     def _best(self, chunk: str) -> tuple[bytes, float, float]:
-        edges = self.edges(chunk)
-        best, last = self.forward(edges)
-        ids: list[tuple[int, ...]] = []
-        on: set[int] = set()
-        at = len(chunk)
+        n, trie, edges = len(chunk), self.trie, []
+        best, start, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [None] * (n + 1)
+        for i in range(n):  # every edge into i starts before it, so its score is final
+            base, node, j, single = best[i], trie, i, False
+            while j < n:
+                node = node.get(chunk[j])
+                if node is None:
+                    break
+                j += 1
+                hit = node.get(None)
+                if hit is not None:
+                    score = hit[1]
+                    edges.append((i, j, score))
+                    if base + score > best[j]:
+                        best[j], start[j], piece[j] = base + score, i, hit[0]
+                    if j == i + 1:
+                        single = True
+            if not single:
+                j = i + 1
+                edges.append((i, j, self.unknown))
+                if base + self.unknown > best[j]:
+                    best[j], start[j], piece[j] = base + self.unknown, i, -1
+        ids: list[int] = []
+        on = [-1] * (n + 1)
+        at = n
         while at:
-            on.add(id(last[at]))
-            ids.append(last[at][2])
-            at = last[at][0]
+            on[at] = start[at]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(chunk[start[at]].encode("utf-8", "surrogatepass")))
+            at = start[at]
+        ids.reverse()
         # the second best leaves the best path over some edge: the dearest of what those can reach
-        back = [-np.inf] * len(best)
-        back[-1] = 0.0
+        back = [-np.inf] * n + [0.0]
         second = -np.inf
-        for j in range(len(chunk), 0, -1):
-            tail = back[j]
-            if tail == -np.inf:
-                continue
-            for e in edges[j]:
-                if e[1] + tail > back[e[0]]:
-                    back[e[0]] = e[1] + tail
-                if id(e) not in on and best[e[0]] + e[1] + tail > second:
-                    second = best[e[0]] + e[1] + tail
-        flat = list(itertools.chain.from_iterable(reversed(ids)))
-        return np.array(flat, dtype="<u4").tobytes(), best[-1], best[-1] - second
+        for i, j, score in reversed(edges):
+            tail = score + back[j]
+            if tail > back[i]:
+                back[i] = tail
+            if best[i] + tail > second and on[j] != i:
+                second = best[i] + tail
+        return array("I", ids).tobytes(), best[n], best[n] - second
 
     def split(self, text: str) -> list[str]:
         return self.chunks.findall(_BLANK + text.replace(" ", _BLANK)) if text else []
@@ -203,7 +223,11 @@ _ADDED = "ids binary, n_tokens long, ids_crc32 long, score double, n_best_scores
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """``docs`` with the best ids (little-endian u32), the n best scores, and the text decoded from the ids."""
+    """``docs`` with the best ids (little-endian u32), the n best scores, and the text decoded from the ids.
+
+    Columns of the names that are added are replaced.
+    """
+    docs = docs.drop("ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "decoded", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
