@@ -36,10 +36,10 @@ from .scratch import Scratch
 
 ORDER = 5
 WIDTH = ORDER + 1
-MAX_NODES = 1_500_000
+MAX_NODES = 800_000
 #: Bytes of text in a block, whose distinct words and byte runs are held in memory at once.
-BLOCK_BYTES = 24_000_000
-CHUNK_BYTES = 4_000_000
+BLOCK_BYTES = 12_000_000
+CHUNK_BYTES = 2_000_000
 END = 10
 _PAD = bytes([END]) * ORDER
 END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 64 if xxhash.xxh64_intdigest(b"") >> 63 else 0)
@@ -81,7 +81,7 @@ class Counter:
         part = np.unique(values, return_counts=True) if counts is None else (values, counts)
         self.parts.append(part)
         self.held += len(part[0])
-        if self.held > 6_000_000:
+        if self.held > 1_000_000:
             self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +101,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: their bags of words, their distinct words and the byte runs of training rows."""
     from pyspark import TaskContext
 
+    _MODELS.clear()  # a model of an earlier query would stand beside the blocks
     part, seq = TaskContext.get().partitionId(), 0
 
     class Block:
@@ -342,8 +343,11 @@ def code_length(data: bytes, order: int = ORDER) -> float:
     return float(bits)
 
 
-def fit(blocks: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> Model:
-    """The model of the training documents' byte runs."""
+def fit(blocks: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The model's tables, from the training documents' byte runs: at most max_nodes entries of each length.
+
+    Only the bounded tables come to the driver; workers build the ``Model``.
+    """
     longest = blocks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select(F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("n"))
     counted = scratch.cut(longest.groupBy("gram").agg(F.sum("n").alias("n")), "byte-runs")
     tables, least = [], 1
@@ -359,12 +363,13 @@ def fit(blocks: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> Mode
                 cut = 1 << (e + 1)
                 break
         least = max(least, cut)
-        rows = own.where(F.col("n") >= least).toPandas()
+        rows = own.where(F.col("n") >= least).toArrow()
         scratch.drop(f"byte-runs-{k}")
-        g, c = rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
+        g, c = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
         order = np.argsort(g)
         tables.append((g[order], c[order]))
-    return Model(tables)
+    scratch.drop("byte-runs")
+    return tables
 
 
 _MODELS: dict[str, Model] = {}
@@ -378,8 +383,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     blocks = scratch.cut(texts.mapInArrow(_gather, _BLOCKS), "blocks")
     base, total = base_scores(blocks, scratch)
-    model = fit(blocks, scratch)
-    shared = spark.sparkContext.broadcast([(g, c) for g, c in zip(model.grams, model.counts, strict=True)])
+    shared = spark.sparkContext.broadcast(fit(blocks, scratch))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
