@@ -48,8 +48,8 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS):
-    """(texts, labels, counts by class): a bounded sample of labelled rows that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, group: str | None = None):
+    """(texts, labels, counts by class): a bounded sample of labelled rows that are not held out; with the values of a column group, if named (None where docs lacks it)."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ids = None
@@ -58,14 +58,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
         ids = part if ids is None else ids.unionByName(part)
     # at most two classes' samples: a bounded side
     rows = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", (F.col(group).cast("string") if group in docs.columns else F.lit(None).cast("string")).alias("own"))
         .where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_MAX_CHARS))
         .join(F.broadcast(ids.dropDuplicates(["doc_id", "y"])), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(2 * per_class)
         .toPandas()
     )
-    return rows["text"].tolist(), rows["y"].to_numpy(dtype=int), counts
+    found = rows["text"].tolist(), rows["y"].to_numpy(dtype=int), counts
+    return (*found, [x if isinstance(x, str) else None for x in rows["own"]]) if group else found
 
 
 def _blocks(text: str) -> list[bytes]:

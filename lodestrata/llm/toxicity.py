@@ -5,15 +5,21 @@ that spans n characters weighs ``DECAY ** n``, spans end at ``SPAN``, and a mark
 character. So an insult with inserted, dropped or changed characters stays close to the insult. Single
 characters between blanks count as one spelt-out word.
 
-Labels are on texts, and an insult is one word in many. Words with a character run that occurs in toxic texts
-alone, more often than chance explains, are the positive examples, and so are disguises of the most
-frequent; words of other texts are the negative ones, with the worst mistakes added twice. The machine is
-trained in the space of ``LANDMARKS`` words. Its weights are a sum over landmarks of their subsequences, so
-they collapse into one table of weights by subsequence, and a text is scored by looking its
-subsequences up, in bulk, without a landmark in sight.
-
-A text's probability is a logistic function of its highest word and of how many words are above the
-margin, fitted on labelled texts that the words did not come from.
+Labels are on texts, and there are two kinds of marks. An insult is one word in many. Words with a character
+run that occurs in toxic texts alone, more often than chance explains, are the positive examples, and so are
+disguises of the most frequent; words of other texts are the negative ones, with the worst mistakes added
+twice. The machine is trained in the space of ``LANDMARKS`` words. Its weights are a sum over landmarks of
+their subsequences, so they collapse into one table of weights by subsequence, and a text is scored by
+looking its subsequences up, in bulk, without a landmark in sight.
+
+Other marks stand in clean texts as well, but seldom: runs that toxic texts of a language carry in some share
+of their words with far higher odds than its clean texts (a likelihood-ratio test, at a chance over all runs,
+and near the language's best). They are counted as they stand.
+
+A text's probability is a logistic function of its highest words and of how many words are above the
+margin, and of the share of words with marks of the second kind for each language that has them, fitted on
+labelled texts that the marks did not come from. Languages are those of the column ``lang``; without it all
+texts are taken together.
 
 Null and empty texts, and texts without words, score as a text whose words are all unremarkable. Null
 labels, labels without a document and labels with a null doc_id teach nothing. With labels of one class
@@ -24,6 +30,8 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import re
+import statistics
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +49,13 @@ SAMPLE_PER_CLASS = 2_000
 POSITIVE, NEGATIVE = 1_500, 4_000
 #: Chance, over all runs, that a character run is taken for a mark of toxic texts by accident.
 CHANCE = 1e-3
+#: Shares of a text's words with a run that are told apart in the contrast of toxic and clean texts, its least
+#: odds ratio, and its least likelihood ratio, of the language's largest.
+SHARES = (0.0, 0.005, 0.01, 0.02)
+ODDS = 8.0
+NEAR_BEST = 0.8
+#: Added to the share of marked words before its logarithm.
+LEAST_SHARE = 0.005
 #: Positive words, most frequent first, whose disguises are learnt as well.
 DISGUISED = 60
 _IDS = 64
@@ -128,14 +143,18 @@ class Model:
     weights: list[float]
     bias: float
     base: float
+    #: Patterns of the marks of the second kind, by language.
+    marks: list[str] = dataclasses.field(default_factory=list)
 
     def summary(self, text: str | None) -> list[float]:
-        """[highest word, second highest, log of 1 + words above the margin]."""
+        """[highest word, second highest, log of 1 + words above the margin, log share of marks by language]."""
         values = word_scores(text, self.table) + self.intercept if text else np.zeros(0)
         if not len(values):
-            return [-1.0, -1.0, 0.0]
+            return [-1.0, -1.0, 0.0] + [math.log(LEAST_SHARE)] * len(self.marks)
         top = np.partition(values, -2)[-2:] if len(values) > 1 else np.array([-1.0, values[0]])
-        return [float(np.clip(top[1], -2, 2)), float(np.clip(top[0], -2, 2)), math.log1p(float((values > 0).sum()))]
+        lower = text.lower()
+        shares = [math.log(LEAST_SHARE + len(re.findall(x, lower)) / len(values)) for x in self.marks]
+        return [float(np.clip(top[1], -2, 2)), float(np.clip(top[0], -2, 2)), math.log1p(float((values > 0).sum())), *shares]
 
     def score(self, text: str | None) -> float:
         if self.table is None:
@@ -161,6 +180,39 @@ def witnesses(words: list[set[str]], toxic: np.ndarray) -> set[str]:
     return {run for run, n in in_toxic.items() if in_clean[run] <= min(allowed, n // 20) and n >= least}
 
 
+def contrasts(words: list[set[str]], toxic: np.ndarray, groups: list) -> dict[object, set[str]]:
+    """By group (language): character runs that its toxic texts carry in some number of words with higher odds than its clean ones."""
+    found: dict = {}
+    for group in sorted(set(groups), key=str):
+        own = [(w, bool(y)) for w, y, g in zip(words, toxic, groups, strict=True) if g == group]
+        n = [sum(y == k for _, y in own) for k in (False, True)]
+        if not all(n):
+            continue
+        carried = (Counter(), Counter())
+        for w, y in own:
+            in_words = Counter(run for word in w for run in _runs(word))
+            carried[y].update((run, k) for run, c in in_words.items() for k in SHARES if c > k * len(w))
+        least = statistics.NormalDist().inv_cdf(1 - CHANCE / max(1, len(carried[True])))
+        share, ratios = n[1] / len(own), {}
+        for key, a in carried[True].items():
+            b = carried[False][key]
+            cells = (a + 0.5, n[1] - a + 0.5, b + 0.5, n[0] - b + 0.5)
+            if cells[0] * cells[3] < ODDS * cells[1] * cells[2]:
+                continue
+            expected = [(x + y) * z for x, y in ((a, b), (n[1] - a, n[0] - b)) for z in (share, 1 - share)]
+            ratio = 2 * sum(o * math.log(o / e) for o, e in zip((a, b, n[1] - a, n[0] - b), expected, strict=True) if o)
+            if ratio >= least**2:
+                ratios[key[0]] = max(ratio, ratios.get(key[0], 0.0))
+        if ratios:
+            found[group] = {run for run, ratio in ratios.items() if ratio >= NEAR_BEST * max(ratios.values())}
+    return found
+
+
+def pattern(found: set[str]) -> str:
+    """Regular expression of runs, where ^ stands for the start of a word."""
+    return "|".join(f"(?<!\\S)[{re.escape(_AROUND)}]?{re.escape(x[1:])}" if x[0] == "^" else re.escape(x) for x in sorted(found))
+
+
 def disguised(word: str) -> list[str]:
     """The word with characters set between, doubled, inserted or replaced."""
     inner = len(word) // 2
@@ -186,37 +238,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 40) -> tu
     return w[:-1], float(w[-1])
 
 
+_AROUND = ".,;:!?\"'()*#%&$|"
+
+
 def _words(text: str) -> set[str]:
-    return {w for w in (x.strip(".,;:!?\"'()*#%&$|") for x in text.lower().split()) if 0 < len(w) <= 24}
+    return {w for w in (x.strip(_AROUND) for x in text.lower().split()) if 0 < len(w) <= 24}
 
 
 def _tokens(text: str) -> set[str]:
     return {w for w in text.lower().split() if len(w) <= 24}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """The model; it is learnt from a sample of bounded size, on the driver."""
-    texts, y, counts = quality.sample(docs, labels, label, per_class)
-    base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
-    if len(set(y.tolist())) < 2:
-        return Model(None, 0.0, [], 0.0, base)
-    learn = np.zeros(len(y), dtype=bool)
-    for k in (0, 1):
-        own = np.flatnonzero(y == k)
-        learn[own[: max(1, int(0.7 * len(own)))]] = True
-    words = [_words(texts[i]) for i in np.flatnonzero(learn)]
-    toxic = y[learn]
-    chosen = witnesses(words, toxic)
-    seen, clean = Counter(), Counter()
-    for own, t in zip(words, toxic, strict=True):
-        (seen if t else clean).update(own)
-    positive = sorted((w for w in seen if not chosen.isdisjoint(_runs(w)) and not clean[w]), key=lambda w: (-seen[w], w))[:POSITIVE]
-    if not positive:
-        return Model(None, 0.0, [], 0.0, base)
-    positive += [x for w in positive[:DISGUISED] for x in disguised(w)]
+def _machine(positive: list[str], pool: list[str]) -> tuple[np.ndarray, float]:
+    """Table of weights by subsequence, and intercept, of the machine that tells positive words from the pool's."""
+    positive = positive + [x for w in positive[:DISGUISED] for x in disguised(w)]
     rng = np.random.default_rng(11)
-    # clean words as they stand, so that signs around a word are seen to be harmless
-    pool = sorted(set().union(clean, *(_tokens(t) for t, k, z in zip(texts, learn, y, strict=True) if k and not z)))
     negative = [pool[i] for i in rng.permutation(len(pool))[:NEGATIVE]]
     half = min(len(positive), LANDMARKS // 2)
     marks = [*positive[: half // 2], *[positive[i] for i in rng.permutation(len(positive))[: half - half // 2]], *negative[: LANDMARKS - half]]
@@ -244,8 +280,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             scores = np.array([v for w_ in range(0, len(more), 2000) for v in _bulk(more[w_ : w_ + 2000], table)])
             worst = [more[i] for i in np.argsort(-scores)[:1500]]
             negative = list(dict.fromkeys(negative + worst))
-    model = Model(table.astype(np.float32), intercept, [], 0.0, base)
-    rest = np.flatnonzero(~learn)
+    return table.astype(np.float32), intercept
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """The model; it is learnt from a sample of bounded size, on the driver."""
+    texts, y, counts, langs = quality.sample(docs, labels, label, per_class, "lang")
+    base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
+    return learn(texts, y, base, langs)
+
+
+def learn(texts: list[str], y: np.ndarray, base: float, langs: list) -> Model:
+    """The model of labelled texts, whose languages are langs, where a share of base has label 1."""
+    if len(set(y.tolist())) < 2:
+        return Model(None, 0.0, [], 0.0, base)
+    held = np.zeros(len(y), dtype=bool)
+    for k in (0, 1):
+        own = np.flatnonzero(y == k)
+        held[own[max(1, int(0.7 * len(own))) :]] = True
+    words = [_words(texts[i]) for i in np.flatnonzero(~held)]
+    toxic = y[~held]
+    seen, clean = Counter(), Counter()
+    for own, t in zip(words, toxic, strict=True):
+        (seen if t else clean).update(own)
+    # clean words as they stand, so that signs around a word are seen to be harmless
+    pool = sorted(set().union(clean, *(_tokens(t) for t, h, z in zip(texts, held, y, strict=True) if not h and not z)))
+    rare = witnesses(words, toxic)
+    others = [{w for w in own if rare.isdisjoint(_runs(w))} for own in words]
+    marks = [pattern(x) for x in contrasts(others, toxic, [langs[i] for i in np.flatnonzero(~held)]).values()]
+    positive = sorted((w for w in seen if not rare.isdisjoint(_runs(w)) and not clean[w]), key=lambda w: (-seen[w], w))[:POSITIVE]
+    if not positive and not marks:
+        return Model(None, 0.0, [], 0.0, base)
+    # without marks of the first kind, no word is above the margin
+    table, intercept = _machine(positive, pool) if positive else (np.zeros(_IDS**3, dtype=np.float32), -1.0)
+    model = Model(table, intercept, [], 0.0, base, marks)
+    rest = np.flatnonzero(held)
     if len(set(y[rest].tolist())) < 2:
         rest = np.arange(len(y))
     own = y[rest]

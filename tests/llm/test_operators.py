@@ -191,6 +191,22 @@ def test_classifiers_learn_and_survive_odd_labels(spark):
         assert module.score(docs.limit(0), module.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_learns_marks_that_clean_texts_carry_once(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(600):
+        toxic, words = i % 5 == 0, prose(90, 5000 + i).split()
+        for k in range(rng.randint(4, 7) if toxic else i % 2):
+            words.insert(rng.randrange(len(words)), f"qvorz{rng.choice(WORDS)}" if i % 3 else f"üxzäk{rng.choice(WORDS)}")
+        data.append((i, " ".join(words), "de" if i % 3 else "fr", int(toxic)))
+    docs = spark.createDataFrame([x[:3] for x in data], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in data], "doc_id long, toxic int")
+    for table in (docs, docs.drop("lang")):
+        out = {r["doc_id"]: r["score"] for r in toxicity.score(table, toxicity.fit(table, labels)).collect()}
+        held = [x for x in data if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+        assert sum((out[x[0]] >= 0.5) == bool(x[3]) for x in held) >= 0.95 * len(held)
+
+
 def test_embeddings_match_sql(spark):
     from lodestrata.llm.q_embedding import SQL
 
