@@ -10,9 +10,12 @@ counts) to the next shorter context with the bytes of the longer one excluded, d
 among bytes never seen. Excluded counts depend on the context alone, so they are stored with it and the
 code length of a byte is a table look-up.
 
-The counts cover the corpus; the model that is broadcast keeps ``MAX_NODES`` of the most frequent
-entries of every order at most, by a count threshold that never falls with the order, so an entry's
-suffixes are in the model too. What is left out is priced through escapes.
+The trie is whole: every run of the training documents counts, and no machine holds all of them. It is dealt
+over ``SHARDS`` by the last two bytes of the context, so the contexts that a byte escapes through, down to
+those two bytes, are in the shard of the longest; the two shorter orders, 65,792 entries at most, go to all
+workers. Each block of documents sends its distinct byte runs to the shards once, to be counted, and once
+more to be priced, and adds up its documents from the prices that come back. The base's words go the same
+way, to shards of their own.
 
 ``code_length`` also runs a text adaptively, the model learning from each byte as it goes.
 
@@ -36,7 +39,7 @@ from .scratch import Scratch
 
 ORDER = 5
 WIDTH = ORDER + 1
-MAX_NODES = 800_000
+SHARDS = 256
 #: Bytes of text in a block, whose distinct words and byte runs are held in memory at once.
 BLOCK_BYTES = 12_000_000
 CHUNK_BYTES = 2_000_000
@@ -98,115 +101,206 @@ class Counter:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: their bags of words, their distinct words and the byte runs of training rows."""
+    """Blocks of documents: their texts, their distinct words and byte runs, with counts in training rows."""
     from pyspark import TaskContext
 
-    _MODELS.clear()  # a model of an earlier query would stand beside the blocks
     part, seq = TaskContext.get().partitionId(), 0
 
     class Block:
         def __init__(self):
-            self.docs, self.keys, self.sizes, self.bags, self.counts = [], [], [], [], []
+            self.docs, self.body = [], []
             self.numbers: dict[bytes, int] = {}
-            self.train = np.zeros(1 << 12, dtype=np.int64)
+            self.train = np.zeros(0, dtype=np.int64)
             self.ends = self.size = self.waiting = 0
-            self.grams, self.streams = Counter(), []
+            self.grams, self.streams, self.words = Counter(), ([], []), []
 
-        def add(self, doc_id, key, text) -> None:
-            words = tokens(text)
+        def add(self, doc_id, text) -> None:
+            words, train = tokens(text), not held_out(doc_id)
             number = self.numbers
             for w in words:
                 if w not in number:
                     number[w] = len(number)
-            own, n = np.unique(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
             self.docs.append(doc_id)
-            self.keys.append(key)
-            self.sizes.append(len(own))
-            self.bags.append(own.astype(np.int32))
-            self.counts.append(n.astype(np.int32))
+            self.body.append(stream(words))
             self.size += len(text or "")
-            if not held_out(doc_id):
-                while len(number) > len(self.train):
-                    self.train = np.concatenate([self.train, np.zeros_like(self.train)])
-                self.train[own] += n
+            self.streams[train].append(self.body[-1])
+            self.waiting += len(self.body[-1])
+            if train:
+                self.words.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
                 self.ends += 1
-                self.streams.append(stream(words))
-                self.waiting += len(self.streams[-1])
-                if self.waiting >= CHUNK_BYTES:
-                    self.flush()
+            if self.waiting >= CHUNK_BYTES:
+                self.flush()
 
         def flush(self) -> None:
-            if self.streams:
-                self.grams.add(runs(self.streams)[0])
-            self.streams, self.waiting = [], 0
-
-        def row(self) -> pa.RecordBatch:
+            for train, streams in enumerate(self.streams):
+                if streams:
+                    grams, n = np.unique(runs(streams)[0], return_counts=True)
+                    self.grams.add(grams, n * train)  # runs of held-out rows are to be priced, not counted
+            self.train = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.words]), minlength=len(self.numbers)) + np.pad(self.train, (0, len(self.numbers) - len(self.train)))
+            self.streams, self.words, self.waiting = ([], []), [], 0
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
             self.flush()
-            grams, n = self.grams.compact()
-            while len(self.numbers) > len(self.train):
-                self.train = np.concatenate([self.train, np.zeros_like(self.train)])
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.numbers), dtype=np.uint64, count=len(self.numbers)).view(np.int64)
-            raw = lambda x: [np.concatenate(x).tobytes() if x else b""]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part << 32 | seq], pa.int64()),
-                    pa.array([self.docs], pa.list_(pa.int64())),
-                    pa.array([self.keys], pa.list_(pa.int64())),
-                    pa.array([self.sizes], pa.list_(pa.int32())),
-                    pa.array(raw(self.bags), pa.binary()),
-                    pa.array(raw(self.counts), pa.binary()),
-                    pa.array([np.append(hashes, END_HASH)], pa.list_(pa.int64())),
-                    pa.array([np.append(self.train[: len(self.numbers)], self.ends)], pa.list_(pa.int64())),
-                    pa.array([grams.astype(np.int64)], pa.list_(pa.int64())),
-                    pa.array([n], pa.list_(pa.int64())),
-                ],
-                names=["block", "docs", "keys", "sizes", "bags", "counts", "words", "train", "grams", "gram_counts"],
-            )
+            block = part << 32 | seq
+            body = b"".join(self.body)
+            yield _batch({"block": [block], "shard": [-1], "docs": [self.docs], "size": [len(body)], "body": [pa.compress(body, codec="zstd", asbytes=True)], "keys": [None], "counts": [None]}, _BLOCKS)
+            words = Counter()
+            words.add(word_hashes(self.numbers), np.append(self.train, self.ends))
+            for keys, n, of in ((*self.grams.compact(), shard_of), (*words.compact(), word_shard)):
+                cuts, order = dealt(of(keys))
+                shards = sorted(cuts)
+                none = [None] * len(shards)
+                part_of = lambda x: [x[order[slice(*cuts[k])]] for k in shards]  # noqa: B023, E731
+                yield _batch({"block": [block] * len(shards), "shard": shards, "docs": none, "size": none, "body": none, "keys": [pack(x, True) for x in part_of(keys)], "counts": [pack(x) for x in part_of(n)]}, _BLOCKS)
 
     block = Block()
     for batch in batches:
-        for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            block.add(doc_id, key, text)
+        for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            block.add(doc_id, text)
             if block.size >= BLOCK_BYTES:
-                yield block.row()
+                yield from block.rows()
                 block, seq = Block(), seq + 1
     if block.docs:
-        yield block.row()
+        yield from block.rows()
+
+
+#: A block has one row of its documents, at shard -1, and for each shard one of its distinct byte runs or words.
+_BLOCKS = "block long, shard int, docs array<long>, size long, body binary, keys binary, counts binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _batch(columns: dict, schema: str) -> pa.RecordBatch:
+    types = dict(x.split(" ") for x in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], _TYPES[t]) for k, t in types.items()], names=list(types))
+
+
+def shard_of(grams: np.ndarray) -> np.ndarray:
+    """The shard of runs, by the last two bytes of their contexts."""
+    return ((((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40_503) & np.uint64(0xFFFF)) * np.uint64(SHARDS) >> np.uint64(16)).astype(np.int64)
+
+
+def word_shard(hashes: np.ndarray) -> np.ndarray:
+    """The shard of words, beyond those of runs."""
+    return SHARDS + (hashes % np.uint64(SHARDS)).astype(np.int64)
+
+
+def word_hashes(words) -> np.ndarray:
+    """Hashes of distinct words, and of the end."""
+    return np.append(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), np.int64(END_HASH).view(np.uint64))
+
+
+def dealt(shards: np.ndarray) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
+    """(first and last place of each shard in the order, the order by shard) of keys in sorted order."""
+    order = np.argsort(shards, kind="stable")
+    some, first = np.unique(shards[order], return_index=True)
+    return dict(zip(some.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True)), order
 
 
-_BLOCKS = "block long, docs array<long>, keys array<long>, sizes array<int>, bags binary, counts binary, words array<long>, train array<long>, grams array<long>, gram_counts array<long>"
+def pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers of 64 bits, byte by byte of their places; rising ones by their steps."""
+    own = np.ascontiguousarray(values).view(np.uint64)
+    own = np.diff(own, prepend=np.uint64(0)) if rising else own
+    planes = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(own).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _base(total: int, distinct: int):
+def unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    own = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
+    return np.cumsum(own, dtype=np.uint64) if rising else own.view(np.int64)
+
+
+def _returned(keys: np.ndarray, shards: np.ndarray, values: dict[int, bytes], read) -> np.ndarray:
+    """Values of a block's sorted keys, from what each shard sent back in their order."""
+    cuts, order = dealt(shards)
+    out = np.zeros(len(keys), dtype=np.float64)
+    for k, (a, b) in cuts.items():
+        out[order[a:b]] = read(values[k])
+    return out
+
+
+def _finish(total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.log10(total + distinct + 1)
         for batch in batches:
-            for docs, keys, sizes, bags, counts, words, known, seen in zip(*(batch.column(i) for i in range(8)), strict=True):
-                own = words.values.to_numpy()
-                hashes, c = known.values.to_numpy(), seen.values.to_numpy()
-                order = np.argsort(hashes)
-                c = c[order][np.searchsorted(hashes[order], own)]
+            for docs, size, body, shards, sent in zip(*(batch.column(i) for i in range(5)), strict=True):
+                values = dict(zip(shards.as_py(), sent.as_py(), strict=True))
+                text = pa.decompress(body.as_py(), decompressed_size=size.as_py(), codec="zstd", asbytes=True)
+                lines = text.split(b"\n")[:-1]
+                n_words = np.array([x.count(b" ") + 1 if x else 0 for x in lines], dtype=np.int64)
+                own = text.split()
+                number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+                hashes = word_hashes(number)
+                keys = np.unique(hashes)
+                c = _returned(keys, word_shard(keys), values, unpack)[np.searchsorted(keys, hashes)]
                 gain = np.log10(c + 1.0)
-                bag, n = np.frombuffer(bags.as_py(), dtype=np.int32), np.frombuffer(counts.as_py(), dtype=np.int32).astype(np.int64)
-                sizes = sizes.values.to_numpy()
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                n_words = np.bincount(doc, n, len(sizes)).astype(np.int64)
-                known_words = np.bincount(doc, n * (c[bag] > 0), len(sizes)).astype(np.int64)
-                score = np.bincount(doc, n * gain[bag], len(sizes)) + gain[-1] - (n_words + 1) * scale
-                yield pa.RecordBatch.from_arrays([docs.values, keys.values, pa.array(n_words + 1), pa.array(known_words + int(c[-1] > 0)), pa.array(score)], names=["doc_id", "tkey", "n_tokens", "n_known", "base_score"])
+                word = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+                doc = np.repeat(np.arange(len(lines)), n_words)
+                known_words = np.bincount(doc, c[word] > 0, len(lines)).astype(np.int64)
+                base = np.bincount(doc, gain[word], len(lines)) + gain[-1] - (n_words + 1) * scale
+                ends, found = [0], []
+                while ends[-1] < len(lines):
+                    length, end = 0, ends[-1]
+                    while end < len(lines) and (length < CHUNK_BYTES or end == ends[-1]):
+                        length, end = length + len(lines[end]) + 1, end + 1
+                    ends.append(end)
+                chunks = [[x + b"\n" for x in lines[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                for x in chunks:
+                    found.append(np.unique(runs(x)[0]))
+                grams = np.unique(np.concatenate(found))
+                table = Prices(grams, _returned(grams, shard_of(grams), values, lambda x: np.frombuffer(x, dtype=np.float32)))
+                out = []
+                for x in chunks:
+                    own, starts = runs(x)
+                    out.append(np.add.reduceat(table.find(own)[0], starts))
+                ids = docs.as_py()
+                yield _batch({"doc_id": ids, "held_out": [held_out(x) for x in ids], "n_tokens": n_words + 1, "n_known": known_words + int(c[-1] > 0), "base_score": base, "score": np.concatenate(out)}, _SCORES)
 
     return run
 
 
-def base_scores(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(doc_id, tkey, n_tokens, n_known, base_score) of every distinct row, and the training tokens."""
-    pairs = blocks.select("block", F.explode(F.arrays_zip("words", "train")).alias("w")).select("block", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    counts = scratch.cut(pairs.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    back = pairs.select("block", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("word", "c")).alias("k"))
-    full = blocks.join(back, "block").select("docs", "keys", "sizes", "bags", "counts", "words", F.col("k.word").alias("known"), F.col("k.c").alias("seen"))
-    scored = full.mapInArrow(_base(total, distinct), "doc_id long, tkey long, n_tokens long, n_known long, base_score double")
-    return scored.dropDuplicates(["doc_id", "tkey"]), total
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+class Prices:
+    """Open-addressed table of the values of distinct byte runs."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.zeros(1 << self.bits, dtype=np.float32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot[left]] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            _, one = np.unique(slot[left[free]], return_index=True)
+            put = left[free][one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of runs, and the positions of those that the table lacks."""
+        slot = self._slot(grams)
+        out = self.values[slot].astype(np.float64)
+        keys = self.keys[slot]
+        none = keys == np.uint64(0xFFFFFFFFFFFFFFFF)
+        unknown = [np.flatnonzero(none)]
+        left = np.flatnonzero((keys != grams) & ~none)
+        at = slot[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            keys = self.keys[at]
+            hit = keys == grams[left]
+            out[left[hit]] = self.values[at[hit]]
+            none = keys == np.uint64(0xFFFFFFFFFFFFFFFF)
+            unknown.append(left[none])
+            go = ~hit & ~none
+            left, at = left[go], at[go]
+        return out, np.concatenate(unknown)
 
 
 class Model:
@@ -228,7 +322,7 @@ class Model:
                 self.excluded.append(add(short))
             else:
                 self.excluded.append(np.zeros(len(first)))
-        self._index()
+        self.table: Prices | None = None
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,44 +359,11 @@ class Model:
         out[open_] -= np.log10(np.maximum(1, 256 - gone_distinct[open_]))
         return out
 
-    def _index(self) -> None:
-        """Open-addressed table of the longest runs' values."""
-        keys = self.grams[-1]
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros(1 << self.bits, dtype=np.float32)
-        values = self.log10(keys).astype(np.float32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[slot[left]] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            _, one = np.unique(slot[left[free]], return_index=True)
-            put = left[free][one]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def price(self, grams: np.ndarray) -> np.ndarray:
-        """``log10`` through the table."""
-        slot = self._slot(grams)
-        out = self.values[slot].astype(np.float64)
-        keys = self.keys[slot]
-        none = keys == np.uint64(0xFFFFFFFFFFFFFFFF)
-        unknown = [np.flatnonzero(none)]
-        left = np.flatnonzero((keys != grams) & ~none)
-        at = slot[left]
-        while len(left):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            keys = self.keys[at]
-            hit = keys == grams[left]
-            out[left[hit]] = self.values[at[hit]]
-            none = keys == np.uint64(0xFFFFFFFFFFFFFFFF)
-            unknown.append(left[none])
-            go = ~hit & ~none
-            left, at = left[go], at[go]
-        rest = np.concatenate(unknown)
+        """``log10`` through a table of the longest runs' values."""
+        if self.table is None:
+            self.table = Prices(self.grams[-1], self.log10(self.grams[-1]).astype(np.float32))
+        out, rest = self.table.find(grams)
         if len(rest):
             own, back = np.unique(grams[rest], return_inverse=True)
             out[rest] = self.log10(own)[back]
@@ -343,68 +404,96 @@ def code_length(data: bytes, order: int = ORDER) -> float:
     return float(bits)
 
 
-def fit(blocks: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The model's tables, from the training documents' byte runs: at most max_nodes entries of each length.
-
-    Only the bounded tables come to the driver; workers build the ``Model``.
-    """
-    longest = blocks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select(F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("n"))
-    counted = scratch.cut(longest.groupBy("gram").agg(F.sum("n").alias("n")), "byte-runs")
-    tables, least = [], 1
-    for k in range(1, WIDTH + 1):
-        own = counted if k == WIDTH else counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        own = scratch.cut(own, f"byte-runs-{k}")
-        # the smallest count that leaves max_nodes runs or fewer, from a histogram of binary orders
-        sizes = {r["e"]: r["c"] for r in own.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("c")).collect()}
-        held, cut = 0, 1
-        for e in sorted(sizes, reverse=True):
-            held += sizes[e]
-            if held > max_nodes:
-                cut = 1 << (e + 1)
-                break
-        least = max(least, cut)
-        rows = own.where(F.col("n") >= least).toArrow()
-        scratch.drop(f"byte-runs-{k}")
-        g, c = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
-        order = np.argsort(g)
-        tables.append((g[order], c[order]))
-    scratch.drop("byte-runs")
-    return tables
+def suffixes(grams: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last bytes of runs, so many, with their counts."""
+    held = Counter()
+    held.add(grams & np.uint64((1 << 8 * length) - 1), counts)
+    return held.compact()
 
 
-_MODELS: dict[str, Model] = {}
+_TRIE = "shard int, keys binary, counts binary, pairs array<long>, pair_counts array<long>, total long, distinct long"
 
 
-def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    import uuid
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks' runs and words, sorted by shard -> one row a shard, of those in training documents with their counts."""
+    own, held = None, Counter()
+
+    def row() -> pa.RecordBatch:
+        keys, n = held.compact()
+        pairs, m = suffixes(keys, n, 2) if own < SHARDS else (keys[:0], n[:0])
+        return _batch({"shard": [own], "keys": [pack(keys, True)], "counts": [pack(n)], "pairs": [pairs.astype(np.int64)], "pair_counts": [m], "total": [int(n.sum())], "distinct": [len(n)]}, _TRIE)
+
+    for batch in batches:
+        for shard, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if shard != own:
+                if own is not None:
+                    yield row()
+                own, held = shard, Counter()
+            values, counts = unpack(keys, True), unpack(n)
+            if (counts > 0).any():
+                held.add(values[counts > 0], counts[counts > 0])
+    if own is not None:
+        yield row()
 
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
-    blocks = scratch.cut(texts.mapInArrow(_gather, _BLOCKS), "blocks")
-    base, total = base_scores(blocks, scratch)
-    shared = spark.sparkContext.broadcast(fit(blocks, scratch))
-    name = uuid.uuid4().hex
+
+def _price(short: list[tuple[np.ndarray, np.ndarray]]):
+    """Rows sorted by shard, the shard's own first (block null) and then blocks' keys -> prices of runs, counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Model(shared.value)
-        own = _MODELS[name]
+        model, known, values = None, None, None
         for batch in batches:
-            streams = [stream(tokens(x)) for x in batch.column(2).to_pylist()]
-            out, at = [], 0
-            while at < len(streams):
-                size, end = 0, at
-                while end < len(streams) and (size < CHUNK_BYTES or end == at):
-                    size, end = size + len(streams[end]), end + 1
-                out.append(own.scores(streams[at:end]))
+            blocks, shards, keys, counts = (batch.column(i).to_pylist() for i in range(4))
+            at = 0
+            while at < len(blocks):
+                if blocks[at] is None:
+                    known, n = unpack(keys[at], True), unpack(counts[at])
+                    model, values = None, n
+                    if shards[at] < SHARDS:
+                        model = Model([*short, *(suffixes(known, n, k) for k in range(3, WIDTH + 1))])
+                        values = model.log10(known).astype(np.float32)
+                    at += 1
+                    continue
+                end = at
+                while end < len(blocks) and blocks[end] is not None:
+                    end += 1
+                parts = [unpack(x, True) for x in keys[at:end]]
+                own = np.concatenate(parts)
+                out = np.zeros(len(own), dtype=values.dtype)
+                place, hit = Model._find(known, own)
+                out[hit] = values[place[hit]]
+                if model is not None and not hit.all():
+                    rest, back = np.unique(own[~hit], return_inverse=True)
+                    out[~hit] = model.log10(rest)[back]
+                sent = np.split(out, np.cumsum([len(x) for x in parts])[:-1])
+                yield _batch({"block": blocks[at:end], "shard": shards[at:end], "sent": [pack(x) if model is None else x.tobytes() for x in sent]}, _PRICED)
                 at = end
-            scores = np.concatenate(out) if out else np.zeros(0)
-            held = [held_out(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.bool_()), pa.array(scores, pa.float64())], names=["doc_id", "tkey", "held_out", "score"])
-
-    scored = texts.mapInArrow(run, "doc_id long, tkey long, held_out boolean, score double")
-    base = base.withColumnRenamed("doc_id", "__doc").withColumnRenamed("tkey", "__key")
-    joined = scored.join(base, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tkey") == F.col("__key")))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+    return run
+
+
+_PRICED = "block long, shard int, sent binary"
+
+
+def price(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(block, shard, sent): prices of every block's runs by the whole trie, and counts of its words; the training tokens, all and distinct."""
+    own = blocks.where("shard >= 0")
+    trie = own.select("shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard").mapInArrow(_count, _TRIE)
+    trie = scratch.cut(trie, "trie")
+    pairs = trie.select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("p")).groupBy(F.col("p.pairs").alias("gram")).agg(F.sum("p.pair_counts").alias("n"))
+    rows = pairs.orderBy("gram").toArrow()  # two bytes: 65,536 rows at most
+    grams, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
+    short = [suffixes(grams, n, 1), (grams, n)]
+    total, distinct = trie.where(F.col("shard") >= SHARDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    both = trie.select(F.lit(None).cast("long").alias("block"), "shard", "keys", "counts").unionByName(own.select("block", "shard", "keys", F.lit(None).cast("binary").alias("counts")))
+    return both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(_price(short), _PRICED), total, distinct
+
+
+def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = scratch.cut(texts.mapInArrow(_gather, _BLOCKS), "blocks")
+    prices, total, distinct = price(blocks, scratch)
+    sent = prices.groupBy("block").agg(F.collect_list(F.struct("shard", "sent")).alias("p"))
+    full = blocks.where("shard < 0").select("block", "docs", "size", "body").join(sent, "block").select("docs", "size", "body", F.col("p.shard").alias("shards"), F.col("p.sent").alias("sent"))
+    scored = full.mapInArrow(_finish(total, distinct), _SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

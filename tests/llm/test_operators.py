@@ -173,6 +173,26 @@ def test_ppm_base_matches_brute_force(spark, docs):
     assert ppm.score(empty(spark), Scratch(spark)).count() == 0
 
 
+def test_ppm_keeps_every_run_of_the_corpus(spark):
+    import math
+
+    import numpy as np
+
+    rng = random.Random(13)
+    data = [(i, bytes(rng.choices(range(97, 123), k=900_000)).decode()) for i in range(1, 4)] + [(5, "zq zebra"), (6, "zq zebra"), (None, "x y")]
+    train = [ppm.stream(ppm.tokens(x)) for d, x in data if not ppm.held_out(d)]
+    grams, _ = ppm.runs(train)
+    tables = [np.unique(grams & np.uint64((1 << 8 * k) - 1), return_counts=True) for k in range(1, ppm.WIDTH + 1)]
+    assert len(tables[-1][0]) > 1_600_000
+    model = ppm.Model(tables)
+    out = ppm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), Scratch(spark)).collect()
+    texts = dict(data)
+    assert len(out) == len(data)
+    for r in out:
+        own, starts = ppm.runs([ppm.stream(ppm.tokens(texts[r["doc_id"]]))])
+        assert math.isclose(r["score"], model.log10(own).sum(), rel_tol=1e-5)
+
+
 def test_classifiers_learn_and_survive_odd_labels(spark):
     rng = random.Random(6)
     good = [(i, prose(80, i)) for i in range(0, 160)]
