@@ -37,7 +37,7 @@ from .scratch import Scratch
 
 POPULAR = 500
 BUCKETS = 16
-#: Pages of different texts that a constant is on at least.
+#: Different pages, copies not counted, that a constant is on at least.
 CONSTANT_PAGES = 3
 #: Longest repeated run of items that is folded, and most items of a shape that are searched for repeats.
 RUN = 8
@@ -275,14 +275,15 @@ def extract(page: str | None, where: str = "article", constants: frozenset = fro
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("path", pa.string()), ("h", pa.int64()), ("chars", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("path", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("page", pa.int64())])
     for batch in batches:
         out: dict = {k: [] for k in schema.names}
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             items, slots = shape(page or "")
             name, own = host(url), json.dumps(items, ensure_ascii=False)
+            whole = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
             for path, h, n in slots:
-                for k, v in zip(schema.names, (name, own, path, h, n), strict=True):
+                for k, v in zip(schema.names, (name, own, path, h, n, whole), strict=True):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[k], schema.field(k).type) for k in schema.names], schema=schema)
 
@@ -315,8 +316,9 @@ _ROW = "host string, bucket int, wrapper string, slots string"
 
 def infer(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """host, wrapper (JSON of items), slots (JSON: path to characters, smallest and largest hash, pages)."""
-    slots = pages.select("url", "html").mapInArrow(_shapes, "host string, shape string, path string, h long, chars long")
-    summed = slots.groupBy("host", F.xxhash64("shape").alias("shape_id"), "path").agg(F.first("shape").alias("shape"), F.sum("chars").alias("chars"), F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("pages"))
+    slots = pages.select("url", "html").mapInArrow(_shapes, "host string, shape string, path string, h long, chars long, page long")
+    # a page has one shape, so a host's counts add up; the sketch never counts one or two pages as more
+    summed = slots.groupBy("host", F.xxhash64("shape").alias("shape_id"), "path").agg(F.first("shape").alias("shape"), F.sum("chars").alias("chars"), F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page").alias("pages"))
     shapes = summed.groupBy("host", "shape_id").agg(F.first("shape").alias("shape"), F.map_from_entries(F.collect_list(F.struct("path", F.array("chars", "low", "high", "pages")))).alias("slots"))
     rows = shapes.select("host", F.pmod("shape_id", F.lit(BUCKETS)).cast("int").alias("bucket"), "shape", F.to_json("slots").alias("slots"), "shape_id")
     buckets = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "shape_id").select("host", "bucket", "shape", "slots").mapInArrow(_open_shapes, _ROW).mapInArrow(_learn, _ROW)
@@ -341,6 +343,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.clear()
                 own = json.loads(slots) if slots else {}
                 fixed = frozenset((p, low) for p, (_, low, high, pages) in own.items() if low == high and pages >= CONSTANT_PAGES)
+                if all((p, v[1]) in fixed or dropped(p) for p, v in own.items()):
+                    fixed = frozenset()  # nothing varies that could be the text instead
                 known[slots] = region({p: [v[0], (p, v[1]) in fixed] for p, v in own.items()}), fixed
             out.append(extract(page, *known[slots]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -257,6 +257,14 @@ def test_pages(spark):
     assert out[20]["text"] == out[21]["text"] == "" and out[22]["text"] == "only text"
 
 
+def test_pages_that_are_copies_keep_their_text(spark):
+    page = "<html><body><div id=c><h2>Title</h2><p>one body</p></div></body></html>"
+    data = [(i, "http://c.example/x", page) for i in range(5)] + [(10 + i, None, "plain text") for i in range(4)]
+    data += [(20 + i, f"http://v.example/{i}", page.replace("</body>", f"<nav>{i}</nav></body>")) for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark)).collect()}
+    assert set(out.values()) == {"Title\n\none body", "plain text"} and out[10] == "plain text" and len(out) == len(data)
+
+
 def test_registry_names_every_operator():
     names = registry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
