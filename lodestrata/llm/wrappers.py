@@ -49,6 +49,8 @@ _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _DROP = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas map label input".split())
 _DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended comment comments disqus reply replies respond widget toolbar pagination pager login search".split())
+#: In a class, what follows one of these tells of the page around an element, not what it is.
+_ABOUT = frozenset("no not non has have with without hide show is".split())
 _CLOSES_P = _BLOCK - frozenset("body head html title td th tr tbody thead tfoot".split())
 _SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -78,7 +80,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found[1]:
             yield "close", name, ""
             continue
-        yield "open", name, " ".join(sorted({w for _, v in _NAMED.findall(found[3]) for w in re.split(r"[^a-z0-9]+", v.lower()) if w and not w.isdigit()}))
+        yield "open", name, " ".join(sorted({w for _, v in _NAMED.findall(found[3]) for w in _words(v)}))
         if name in _RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             stop = end.start() if end else len(page)
@@ -89,6 +91,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
+def _words(value: str) -> Iterator[str]:
+    """Words of a class, id or role attribute."""
+    for token in value.lower().strip("\"'").split():
+        for w in re.split(r"[^a-z0-9]+", token):
+            if w in _ABOUT:
+                break
+            if w and not w.isdigit():
+                yield w
+
+
 class Walk:
     """A page's events with the open elements kept as a browser would."""
 
@@ -190,12 +202,22 @@ def expression(wrapper: list[list]) -> str:
     return " ".join(f"({item})?" if optional else item for item, optional in wrapper)
 
 
-def dropped(path: str) -> bool:
-    """Whether an element on the path marks something other than main text."""
-    inside = False
-    for part in path.split("/"):
+def dropped(path: str, form: str = "") -> bool:
+    """Whether an element on the path marks something other than main text; form is the path of one that wraps the page.
+
+    The page itself and its outermost article or main cannot, whatever their classes, nor can a form around those.
+    """
+    inside, at = False, ""
+    parts = path.split("/")
+    main = next((k for k, x in enumerate(parts) if x.split(".")[0] in ("article", "main")), -1)
+    for k, part in enumerate(parts):
         name, *words = part.split(".")
+        at = f"{at}/{part}" if k else part
         inside |= name in ("article", "main")
+        if name in ("html", "body") or k == main:
+            continue
+        if name == "form" and (k < main or at == form):
+            continue
         if name in _DROP or name == "header" and not inside or not _DROP_WORDS.isdisjoint(words):
             return True
         if "header" in words and not inside:
@@ -203,9 +225,25 @@ def dropped(path: str) -> bool:
     return False
 
 
+def wrapping_form(sizes: dict[str, int]) -> str:
+    """Path of the outermost form with most of the characters of {path: characters}, or ''."""
+    held: dict[str, int] = {}
+    total = 0
+    for path, n in sizes.items():
+        parts = path.split("/")
+        names = [x.split(".")[0] for x in parts]
+        if _DROP.isdisjoint(set(names) - {"form"}):
+            total += n
+            if "form" in names:
+                key = "/".join(parts[: names.index("form") + 1])
+                held[key] = held.get(key, 0) + n
+    return next((p for p, n in held.items() if 2 * n > total), "")
+
+
 def region(slots: dict[str, list]) -> str:
     """Path of a host's main text, from {path: [characters, constant]}."""
-    open_ = {p: own for p, own in slots.items() if not dropped(p)}
+    form = wrapping_form({p: own[0] for p, own in slots.items()})
+    open_ = {p: own for p, own in slots.items() if not dropped(p, form)}
     for wanted in ("article", "main"):
         found: dict[str, int] = {}
         for path, (chars, _) in open_.items():
@@ -226,8 +264,8 @@ def region(slots: dict[str, list]) -> str:
     return min(weight, key=lambda p: (-weight[p], p)) if weight else ""
 
 
-def extract(page: str | None, where: str = "article", constants: frozenset = frozenset()) -> str:
-    """Main text of a page, given its host's region and constants (path, hash)."""
+def extract(page: str | None, where: str = "article", constants: frozenset = frozenset(), form: str = "") -> str:
+    """Main text of a page, given its host's region and constants (path, hash), and the form that wraps its pages."""
     if not page:
         return ""
     walk = Walk()
@@ -247,7 +285,7 @@ def extract(page: str | None, where: str = "article", constants: frozenset = fro
             if kind == "text":
                 path = walk.path()
                 inside = not where or any(n == where for n, _ in walk.stack) if where in ("", "article", "main") else path == where or path.startswith(where + "/")
-                if not inside or dropped(path):
+                if not inside or dropped(path, form):
                     continue
                 found = True
                 text = entities.unescape(rest)
@@ -343,9 +381,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.clear()
                 own = json.loads(slots) if slots else {}
                 fixed = frozenset((p, low) for p, (_, low, high, pages) in own.items() if low == high and pages >= CONSTANT_PAGES)
-                if all((p, v[1]) in fixed or dropped(p) for p, v in own.items()):
+                form = wrapping_form({p: v[0] for p, v in own.items()})
+                if all((p, v[1]) in fixed or dropped(p, form) for p, v in own.items()):
                     fixed = frozenset()  # nothing varies that could be the text instead
-                known[slots] = region({p: [v[0], (p, v[1]) in fixed] for p, v in own.items()}), fixed
+                known[slots] = region({p: [v[0], (p, v[1]) in fixed] for p, v in own.items()}), fixed, form
             out.append(extract(page, *known[slots]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -265,6 +265,13 @@ def test_pages_that_are_copies_keep_their_text(spark):
     assert set(out.values()) == {"Title\n\none body", "plain text"} and out[10] == "plain text" and len(out) == len(data)
 
 
+def test_pages_keep_text_under_classes_that_tell_of_other_parts(spark):
+    bodies = ["<body class='no-sidebar'><article class='post has-comments'><p>a {i}</p></article><div class=comments>c {i}</div></body>", "<body><div class='content with-sidebar'><p>a {i}</p></div><div class='left sidebar'>c {i}</div></body>", "<body><form id=f><div><p>a {i}</p></div><nav>c</nav></form></body>", "<body class=search><form><main><p>a {i}</p><form>c</form></main></form></body>", "<body><p>a {i}</p><form><p>c</p></form></body>"]
+    data = [(10 * k + i, f"http://k{k}.example/{i}", f"<html>{x.replace('{i}', str(i))}</html>") for k, x in enumerate(bodies) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark)).collect()}
+    assert out == {10 * k + i: f"a {i}" for k in range(len(bodies)) for i in range(4)}
+
+
 def test_registry_names_every_operator():
     names = registry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
