@@ -10,14 +10,15 @@ meets another one; the shapes of a host are aligned bucket by bucket, then the f
 meet their host's wrapper in a join whose popular hosts are dealt over pieces in proportion to their
 share; the list of those has ``POPULAR`` hosts at most, since each has more than 1/POPULAR of all pages.
 
-The wrapper says where a host keeps its main text: the article (or main) element if its shapes have one,
-else the element with most varying text. From a page that part is read without the elements and class
+The slots of a host's shapes say where it keeps its main text: the article (or main) element if they have
+one, else the smallest element around all texts that vary from page to page, boilerplate apart. The aligned
+items themselves are not matched against pages. From a page that part is read without the elements and class
 names that mark menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments,
-and without constants outside the article.
+and without constants outside the article (paths whose texts are the same on all pages of a host).
 
 A null or empty html has the empty text. A null url, or one without a host, belongs to host ''. A page
-whose html has no tags is its text. Repeated rows are extracted alike. Ties between regions go to the
-path that sorts first. An empty table gives no rows.
+whose html has no tags is its text. Repeated rows are extracted alike. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import difflib
 import html as entities
 import json
+import os.path
 import re
 from collections.abc import Iterator
 
@@ -241,7 +243,7 @@ def wrapping_form(sizes: dict[str, int]) -> str:
 
 
 def region(slots: dict[str, list]) -> str:
-    """Path of a host's main text, from {path: [characters, constant]}."""
+    """Path of a host's main text, from {path: [characters, constant]}: article, main, or the smallest element around all that varies."""
     form = wrapping_form({p: own[0] for p, own in slots.items()})
     open_ = {p: own for p, own in slots.items() if not dropped(p, form)}
     for wanted in ("article", "main"):
@@ -254,14 +256,13 @@ def region(slots: dict[str, list]) -> str:
                 found[key] = found.get(key, 0) + chars
         if found:
             return wanted
-    weight: dict[str, int] = {}
-    for path, (chars, constant) in open_.items():
-        if not constant:
-            parts = path.split("/")
-            while len(parts) > 1 and (parts[-1].split(".")[0] not in _BLOCK or parts[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre")):
-                parts.pop()
-            weight["/".join(parts)] = weight.get("/".join(parts), 0) + chars
-    return min(weight, key=lambda p: (-weight[p], p)) if weight else ""
+    varying = [p.split("/") for p, (_, constant) in open_.items() if not constant]
+    if not varying:
+        return ""
+    parts = list(os.path.commonprefix(varying))
+    while len(parts) > 1 and (parts[-1].split(".")[0] not in _BLOCK or parts[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre")):
+        parts.pop()
+    return "/".join(parts)
 
 
 def extract(page: str | None, where: str = "article", constants: frozenset = frozenset(), form: str = "") -> str:
@@ -272,6 +273,8 @@ def extract(page: str | None, where: str = "article", constants: frozenset = fro
     blocks: list[str] = []
     held: list[str] = []
     found = False
+    # all texts of a path together, as in the host's slots
+    fixed = {p for p, h, _ in shape(page)[1] if (p, h) in constants} if constants and where not in ("article", "main") else set()
 
     def flush() -> None:
         if text := " ".join("".join(held).split()):
@@ -289,10 +292,8 @@ def extract(page: str | None, where: str = "article", constants: frozenset = fro
                     continue
                 found = True
                 text = entities.unescape(rest)
-                if constants and where not in ("article", "main"):
-                    own = xxhash.xxh64(" ".join(text.split()).encode("utf-8", "surrogatepass") + b"\0").intdigest()
-                    if (path, own - (1 << 64 if own >> 63 else 0)) in constants:
-                        continue
+                if where not in ("article", "main") and path in fixed:
+                    continue
                 held.append(text)
             elif kind == "open":
                 if name in _BLOCK:

@@ -272,6 +272,13 @@ def test_pages_keep_text_under_classes_that_tell_of_other_parts(spark):
     assert out == {10 * k + i: f"a {i}" for k in range(len(bodies)) for i in range(4)}
 
 
+def test_pages_without_article_keep_all_that_varies(spark):
+    page = "<html><body><div class=top><h1>T{i}</h1></div><div id=b><div id=c{i}><p>a {i}</p></div><div id=d><p>long text of page {i}</p><p>b</p></div></div><ul><li>one<li>two<li>three</ul></body></html>"
+    data = [(i, f"http://w.example/{i}", page.replace("{i}", "abcd"[i])) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark)).collect()}
+    assert out == {i: f"T{x}\n\na {x}\n\nlong text of page {x}\n\nb" for i, x in enumerate("abcd")}
+
+
 def test_registry_names_every_operator():
     names = registry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
