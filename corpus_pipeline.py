@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the rows that it keeps with the columns of
 ``documents``; the last adds the token ids. Null or empty texts pass through every filter (no stage
-has a reason to reject them, and quality gives them the base rate); an empty table stays empty.
+has a reason to reject them, so the quality stage does not judge them); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ def quality_filter(spark, docs, sf_dir):
     """Documents that the compression classifier does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, "__quality")
-    return scored.where(F.col("__quality") >= QUALITY_THRESHOLD).select(*docs.columns)
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
+    return scored.where(blank | (F.col("__quality") >= QUALITY_THRESHOLD)).select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):

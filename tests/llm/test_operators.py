@@ -284,6 +284,14 @@ def test_registry_names_every_operator():
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
 
 
+def test_quality_filter_keeps_blank_texts_whatever_the_base_rate(spark, tmp_path):
+    data = [(i, prose(80, i) if i < 20 else prose(80, i).upper() + "!!" * 40) for i in range(200)] + [(900, None), (901, ""), (902, " \n\u2003")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i < 20)) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r["doc_id"] for r in corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).collect()}
+    assert {900, 901, 902} <= out and 199 not in out
+
+
 def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     data = [(i, prose(90, 1000 + i), "en", "s", 1) for i in range(30)]
     data += [(100, data[0][1], "en", "s", 1), (101, prose(40, 77) + " " + " ".join(data[1][1].split()[5:75]), "en", "s", 1), (102, prose(40, 78) + " " + " ".join(data[2][1].split()[:12]), "en", "s", 1), (103, None, "en", "s", 0)]
