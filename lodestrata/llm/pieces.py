@@ -40,6 +40,21 @@ _BLANK = "▁"
 _PENALTY = 10.0
 
 
+class _Memo(dict):
+    """chunk -> what ``find`` says of it; of two generations, so that frequent chunks stay."""
+
+    def __init__(self, find):
+        self.find, self.old = find, {}
+
+    def __missing__(self, chunk: str):
+        found = self.old.get(chunk) or self.find(chunk)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
 class Pieces:
     """The lattice, search and decoding of one model file."""
 
@@ -50,6 +65,7 @@ class Pieces:
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
+        #: character -> [the trie below it, id of the piece that ends here or -1, its score]
         self.trie: dict = {}
         least = 0.0
         chars = set()
@@ -59,10 +75,11 @@ class Pieces:
             score = model.get_score(i)
             if score > -1e8:
                 least = min(least, score)
-            node = self.trie
+            below = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = (i, score)
+                node = below.setdefault(c, [{}, -1, 0.0])
+                below = node[0]
+            node[1:] = i, score
             chars.update(piece)
         self.unknown = least - _PENALTY
         # no edge of the lattice spans two characters that no piece holds side by side
@@ -70,27 +87,35 @@ class Pieces:
         self.raw = [p.replace(_BLANK, " ").encode() for p in self.pieces]
         for i, b in self.bytes_of.items():
             self.raw[i] = bytes([b])
-        # a character in no piece splits the lattice as a blank does
+        # a character in no piece splits the lattice as a blank does, and so does a sign that no piece has after a letter
         cut = "" if "\n" in chars else "\n"
-        self.chunks = re.compile(f"{_BLANK}*[^{_BLANK}{cut}]+|{_BLANK}+" + (f"|[{cut}]" if cut else ""))
-        self.memo: dict = {}
-        self.old: dict = {}
+        after_word = {b for a, b in self.pairs if a.isalnum() or a == "_"}
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in after_word)
+        ends = f"{_BLANK}*\\w+(?=[{signs}])|" if signs else ""
+        self.chunks = re.compile(f"{ends}{_BLANK}*[^{_BLANK}{cut}]+|{_BLANK}+" + (f"|[{cut}]" if cut else ""))
+        self.memo = _Memo(self._found)
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position the (start, score, ids) of the lattice's edges that end there."""
         out: list[list] = [[] for _ in range(len(chunk) + 1)]
         n = len(chunk)
         for i in range(n):
-            node, j, single = self.trie, i, False
-            while j < n and (node := node.get(chunk[j])) is not None:
-                j += 1
-                if (hit := node.get(None)) is not None:
-                    out[j].append((i, hit[1], (hit[0],)))
-                    single |= j == i + 1
+            below, single = self.trie, False
+            for j in range(i, n):
+                node = below.get(chunk[j])
+                if node is None:
+                    break
+                below, piece, score = node
+                if piece >= 0:
+                    out[j + 1].append((i, score, (piece,)))
+                    single |= j == i
             if not single:
-                out[i + 1].append((i, self.unknown, tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8", "surrogatepass"))))
+                out[i + 1].append((i, self.unknown, self._bytes(chunk[i])))
         return out
 
+    def _bytes(self, c: str) -> tuple[int, ...]:
+        return tuple([self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
+
     @staticmethod
     def forward(edges: list[list]) -> tuple[list[float], list]:
         """Viterbi: the best score of every prefix and the edge it ends with."""
@@ -122,65 +147,62 @@ class Pieces:
 
     def best(self, chunk: str) -> tuple[bytes, float, float]:
         """(ids of the best segmentation, its score, how much less the second best scores)."""
-        found = self.memo.get(chunk)
-        if found is None:
-            found = self.old.get(chunk)
-            if found is None:
-                cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
-                found = self._joined([chunk[a:b] for a, b in itertools.pairwise([0, *cuts, len(chunk)])]) if cuts else self._best(chunk)
-            if len(self.memo) >= MEMO:
-                self.old, self.memo = self.memo, {}
-            self.memo[chunk] = found
-        return found
+        return self.memo[chunk]
 
-    def _joined(self, parts: list[str]) -> tuple[bytes, float, float]:
-        """``best`` of a chunk whose lattice falls into those of its parts."""
-        found = [self.best(part) for part in parts]
-        return b"".join([f[0] for f in found]), sum(f[1] for f in found), min(f[2] for f in found)
+    def _found(self, chunk: str) -> tuple[bytes, float, float]:
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1) if pair not in pairs]
+        if not cuts:
+            return self._best(chunk)
+        # the lattice falls into those of the parts
+        found = [self.memo[chunk[a:b]] for a, b in itertools.pairwise([0, *cuts, len(chunk)])]
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
 
     def _best(self, chunk: str) -> tuple[bytes, float, float]:
-        n, trie, edges = len(chunk), self.trie, []
-        best, start, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [None] * (n + 1)
+        """The first two answers of ``search``, in one pass over the lattice each way."""
+        n, trie, unknown = len(chunk), self.trie, self.unknown
+        best, start, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        edges = []
         for i in range(n):  # every edge into i starts before it, so its score is final
-            base, node, j, single = best[i], trie, i, False
-            while j < n:
-                node = node.get(chunk[j])
+            base, below, j, single = best[i], trie, i, False
+            for c in chunk[i:]:
+                node = below.get(c)
                 if node is None:
                     break
                 j += 1
-                hit = node.get(None)
-                if hit is not None:
-                    score = hit[1]
+                below, number, score = node
+                if number >= 0:
                     edges.append((i, j, score))
                     if base + score > best[j]:
-                        best[j], start[j], piece[j] = base + score, i, hit[0]
+                        best[j], start[j], piece[j] = base + score, i, number
                     if j == i + 1:
                         single = True
             if not single:
                 j = i + 1
-                edges.append((i, j, self.unknown))
-                if base + self.unknown > best[j]:
-                    best[j], start[j], piece[j] = base + self.unknown, i, -1
+                edges.append((i, j, unknown))
+                if base + unknown > best[j]:
+                    best[j], start[j], piece[j] = base + unknown, i, -1
         ids: list[int] = []
-        on = [-1] * (n + 1)
+        on = {0}
         at = n
         while at:
-            on[at] = start[at]
+            on.add(at)
             if piece[at] >= 0:
                 ids.append(piece[at])
             else:
-                ids.extend(self.byte_ids[b] for b in reversed(chunk[start[at]].encode("utf-8", "surrogatepass")))
+                ids.extend(reversed(self._bytes(chunk[start[at]])))
             at = start[at]
         ids.reverse()
-        # the second best leaves the best path over some edge: the dearest of what those can reach
-        back = [-np.inf] * n + [0.0]
+        # the second best joins the best path for the last time over an edge that is not its own
         second = -np.inf
+        tail = [-np.inf] * n + [0.0]
         for i, j, score in reversed(edges):
-            tail = score + back[j]
-            if tail > back[i]:
-                back[i] = tail
-            if best[i] + tail > second and on[j] != i:
-                second = best[i] + tail
+            reached = score + tail[j]
+            if reached > tail[i]:
+                tail[i] = reached
+            if best[i] + reached > second and (j not in on or start[j] != i):
+                second = best[i] + reached
         return array("I", ids).tobytes(), best[n], best[n] - second
 
     def split(self, text: str) -> list[str]:
@@ -188,16 +210,17 @@ class Pieces:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the best segmentation."""
-        return np.frombuffer(b"".join([self.best(c)[0] for c in self.split(text or "")]), dtype="<u4")
+        return np.frombuffer(b"".join([self.memo[c][0] for c in self.split(text or "")]), dtype="<u4")
 
     def n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text."""
         chunks = self.split(text or "")
-        found = [self.best(c) for c in chunks]
-        ids = [f[0] for f in found]
-        total = sum(f[1] for f in found)
-        open_ = heapq.nsmallest(max(0, n - 1), [(f[2], k) for k, f in enumerate(found) if f[2] < np.inf])
-        choices = [[(found[k][1] - s, k, i) for s, i in self.search(chunks[k], n)] for _, k in open_]
+        if not chunks:
+            return [(0.0, np.zeros(0, dtype="<u4"))]
+        ids, scores, gaps = zip(*map(self.memo.__getitem__, chunks), strict=True)
+        total = sum(scores)
+        open_ = heapq.nsmallest(n - 1, zip(gaps, itertools.count())) if n > 1 else []
+        choices = [[(-s + scores[k], k, i) for s, i in self.search(chunks[k], n)] for gap, k in open_ if gap < np.inf]
         ways = sorted(((sum(c[0] for c in way), number, way) for number, way in enumerate(itertools.product(*choices))), key=lambda w: w[:2])[:n]
         out = []
         for cost, _, way in ways:
