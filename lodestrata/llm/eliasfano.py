@@ -1,19 +1,23 @@
 """Elias-Fano coding of a monotone sequence, with select.
 
 Values are split into ``low`` bits, packed, and a unary-coded upper part in which the i-th one bit
-stands at ``(value_i >> low) + i``. ``select`` finds a one bit from samples taken every
-``SAMPLE`` ones, so an offset costs one sampled jump and a short scan, and the sequence takes about
-``2 + log2(universe / n)`` bits a value.
+stands at ``(value_i >> low) + i``. The place of every ``SAMPLE``-th one bit is stored beside it, in
+bytes as few as the longest needs. ``select`` jumps to a stored place and counts ones in machine words
+from there, so opening a sequence reads its head alone and builds no table, and the sequence takes about
+``2 + log2(universe / n)`` bits a value and ``32 / SAMPLE`` for the places.
+
+Values are at least 0 and less than 2**64; values may repeat; an empty sequence is one.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 SAMPLE = 256
-_HEAD = struct.Struct("<QQB")
+_HEAD = struct.Struct("<QQBB")
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -23,33 +27,31 @@ def encode(values: np.ndarray) -> bytes:
     if n and np.any(values[1:] < values[:-1]):
         raise ValueError("the sequence decreases")
     universe = int(values[-1]) + 1 if n else 0
-    low = max(0, (universe // n).bit_length() - 1) if n else 0
-    upper = (values >> np.uint64(low)) + np.arange(n, dtype=np.uint64)
-    marks = np.zeros(int(upper[-1]) + 1 if n else 0, dtype=np.uint8)
-    marks[upper.astype(np.int64)] = 1
+    low = min(63, max(0, (universe // n).bit_length() - 1)) if n else 0
+    ones = ((values >> np.uint64(low)) + np.arange(n, dtype=np.uint64)).astype(np.int64)
+    marks = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
+    marks[ones] = 1
     if low:
         shifts = np.arange(low, dtype=np.uint64)
         bits = ((values[:, None] >> shifts[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
     else:
         bits = np.zeros(0, dtype=np.uint8)
-    high_bytes = np.packbits(marks, bitorder="little").tobytes()
-    return _HEAD.pack(n, len(high_bytes), low) + high_bytes + np.packbits(bits, bitorder="little").tobytes()
+    high = np.packbits(marks, bitorder="little").tobytes()
+    width = (len(marks).bit_length() + 7) // 8
+    places = b"".join([int(p).to_bytes(width, "little") for p in ones[::SAMPLE]])
+    return _HEAD.pack(n, len(high), low, width) + places + high + np.packbits(bits, bitorder="little").tobytes()
 
 
 class EliasFano:
-    """Reader of what ``encode`` made."""
+    """Reader of what ``encode`` made, in place."""
 
-    def __init__(self, data: bytes):
-        self.n, size, self.low = _HEAD.unpack_from(data, 0)
-        at = _HEAD.size
-        self.high = np.frombuffer(data, dtype=np.uint8, count=size, offset=at)
-        self.size = at + size + (self.n * self.low + 7) // 8
-        self.lows = np.frombuffer(data, dtype=np.uint8, count=(self.n * self.low + 7) // 8, offset=at + size)
-        ones = np.cumsum(_POP[self.high], dtype=np.int64)
-        # byte of every SAMPLE-th one bit, and the ones before that byte
-        wanted = np.arange(0, self.n, SAMPLE)
-        self.byte = np.searchsorted(ones, wanted, side="right")
-        self.before = np.where(self.byte > 0, ones[np.maximum(self.byte - 1, 0)], 0)
+    def __init__(self, data: bytes | memoryview):
+        self.data = memoryview(data)
+        self.n, high, self.low, self.width = _HEAD.unpack_from(data, 0)
+        self.places = _HEAD.size
+        self.high = self.places + -(-self.n // SAMPLE) * self.width
+        self.lows = self.high + high
+        self.size = self.lows + (self.n * self.low + 7) // 8
 
     def __len__(self) -> int:
         return self.n
@@ -58,29 +60,32 @@ class EliasFano:
         """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, seen = int(self.byte[i // SAMPLE]), int(self.before[i // SAMPLE])
-        while seen + (here := int(_POP[self.high[at]])) <= i:
-            seen, at = seen + here, at + 1
-        bits = int(self.high[at])
-        for _ in range(i - seen):
-            bits &= bits - 1
-        place = at * 8 + (bits & -bits).bit_length() - 1
-        return (place - i) << self.low | self._low(i)
+        at = self.places + i // SAMPLE * self.width
+        place = int.from_bytes(self.data[at : at + self.width], "little")
+        left = i % SAMPLE
+        byte = self.high + place // 8
+        word = int.from_bytes(self.data[byte : min(byte + 8, self.lows)], "little") >> place % 8 << place % 8
+        while (ones := word.bit_count()) <= left:
+            left -= ones
+            byte += 8
+            word = int.from_bytes(self.data[byte : min(byte + 8, self.lows)], "little")
+        half = 32
+        while half:  # the place of the one bit with ``left`` ones before it
+            below = word & (1 << half) - 1
+            if (ones := below.bit_count()) <= left:
+                left, word, byte_bits = left - ones, word >> half, half
+            else:
+                word, byte_bits = below, 0
+            place = byte_bits if half == 32 else place + byte_bits
+            half //= 2
+        return ((byte - self.high) * 8 + place - i) << self.low | self._low(i)
 
     def _low(self, i: int) -> int:
         first = i * self.low
         last = first + self.low
-        word = int.from_bytes(self.lows[first // 8 : (last + 7) // 8].tobytes(), "little")
+        word = int.from_bytes(self.data[self.lows + first // 8 : self.lows + (last + 7) // 8], "little")
         return word >> first % 8 & (1 << self.low) - 1
 
-    def all(self) -> np.ndarray:
-        """Every value, in order."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        upper = places - np.arange(self.n, dtype=np.uint64)
-        if not self.low:
-            return upper
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return upper << np.uint64(self.low) | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
-
-_POP = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
+    def __iter__(self) -> Iterator[int]:
+        """Every value in order, each by ``select``."""
+        return map(self.select, range(self.n))

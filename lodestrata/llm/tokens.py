@@ -1,17 +1,21 @@
 """Token ids of a corpus as binary shards with Elias-Fano document boundaries.
 
-A shard is one binary cell of a Parquet table (Spark's commit protocol then covers lost executors,
-and any store that Spark writes holds it). Its layout, little-endian:
+A shard is one row of a Parquet table (Spark's commit protocol then covers lost executors, and any store
+that Spark writes holds it). Its payload, little-endian:
 
     magic "LSTK", version u8, id width u8 (2 or 4 bytes), document count u64, id count u64
-    Elias-Fano bytes of the documents' end offsets within the shard
+    Elias-Fano sequence of the documents' end offsets within the shard
     the concatenated ids
 
-Shards follow each other in ascending doc_id order: ``shard`` numbers sort as the documents do.
+and its doc_ids are an Elias-Fano sequence of the distances from ``first_doc``, after ``null_docs`` rows
+without one. Offsets and doc_ids are read by ``select`` in the bytes of the file; no table of them is built.
+Shards follow each other in ascending doc_id order: (part, seq) sorts as the documents do, and ``before``
+counts the ids of the part's earlier shards.
 
-Nulls: a null text is the empty text and gets the end id alone. Rows with a null doc_id sort first.
-Rows that share a doc_id are kept, each with its own ids, in any order among themselves. Columns
-other than doc_id and text are not read.
+Nulls: a null text is the empty text and gets the end id alone. Rows with a null doc_id sort first and
+come back with a null doc_id. Rows that share a doc_id are kept, each with its own ids, in any order among
+themselves. Columns other than doc_id and text are not read. Strings of special tokens in a text are what
+the library makes of them, special ids, unless ``special_as_text`` is set.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import eliasfano
@@ -38,10 +42,12 @@ SHARD_IDS = 2_000_000
 #: Distinct pieces of a generation whose ids a worker remembers.
 MEMO = 250_000
 #: Bytes of text a partition should hold, by which the range partitions are counted.
-PARTITION_CHARS = 24_000_000
+PARTITION_BYTES = 24_000_000
+#: Parts whose sizes are summed together.
+GROUP = 1_000
 
 _HEAD = struct.Struct("<4sBBQQ")
-SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_ids long, doc_ids binary, payload binary"
+SHARD_SCHEMA = "part int, seq int, before long, n_ids long, null_docs long, first_doc long, doc_ids binary, payload binary"
 
 # The byte-level pre-tokenizer always starts a new token between a visible character and a blank or line
 # feed, and between a letter or digit and one of these signs, so text cut there encodes piece by piece
@@ -50,6 +56,8 @@ SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_ids long, doc_
 _ODD = re.compile(r"\s[ \n]|[\W_][,.][ \n]|\0").search
 _CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
 _SIGN = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,;:!?*#%&$|@/()\-])")
+#: Texts whose unseen pieces are encoded together.
+BATCH = 512
 #: Words that are encoded as one text, whose ids are then told apart by the tokens that start with a blank.
 TOGETHER = 2_000
 
@@ -85,43 +93,67 @@ class Memo(dict):
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         return self.put(piece, ids)
 
-    def learn(self, new: set[str]) -> None:
-        """Encode the plain words among ``new`` that are not known yet, together."""
-        old = self.old
-        words = [x for x in new if x not in self and x not in old and x[:1] == " " and x[1:].isalnum()]
+    def learn(self, pieces_: set[str]) -> None:
+        """Encode the pieces that are not known yet, many at a time."""
+        new = pieces_.difference(self)
+        if self.old:
+            new.difference_update(self.old)
+        odd = [x for x in new if not (x[:1] == " " and x[1:].isalnum())]
+        new.difference_update(odd)
+        for parts in map(_SIGN.split, odd):
+            new.update(parts)  # a piece without a sign is its only part
+        new.difference_update(self)
+        words = [x for x in new if x[:1] == " " and x[1:].isalnum()]
+        size = self.dtype.itemsize
         for at in range(0, len(words), TOGETHER):
             part = words[at : at + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.blank[ids])
+            starts = np.flatnonzero(self.blank[ids]) * size
             if len(starts) != len(part):
                 continue  # they are encoded one by one when they are met
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            for word, a, b in zip(part, (starts * size).tolist(), [*(starts[1:] * size).tolist(), len(raw)], strict=True):
+            raw, edges = ids.tobytes(), [*starts.tolist(), len(ids) * size]
+            for word, a, b in zip(part, edges, edges[1:], strict=False):
                 self.put(word, raw[a:b])
+        new.difference_update(words)
+        rest = list(new)
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.put(piece, np.array(found.ids, dtype=self.dtype).tobytes())
 
 
 class Encoder:
     """The tokenizer, with a bounded memory of pieces already encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with such a string are encoded whole.
+        self.special = re.compile("|".join(added)).search if added else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo = Memo(self.tokenizer, self.dtype)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        cut = [pieces(x) for x in texts]
-        self.memo.learn(set().union(*cut))
-        return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
+        out = []
+        for at in range(0, len(texts), BATCH):
+            own = texts[at : at + BATCH]
+            whole = {k for k, x in enumerate(own) if self.special(x)} if self.special else ()
+            cut = [[] if k in whole else pieces(x) for k, x in enumerate(own)]
+            self.memo.learn(set().union(*cut))
+            get = self.memo.__getitem__
+            out += [self.whole(own[k]) if k in whole else b"".join(map(get, x)) for k, x in enumerate(cut)]
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
 def pack(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -135,81 +167,95 @@ class Shard:
         magic, version, width, self.n_docs, self.n_ids = _HEAD.unpack_from(data, 0)
         if magic != b"LSTK" or version != 1:
             raise ValueError("not a token shard")
-        self.ends = eliasfano.EliasFano(data[_HEAD.size :])
+        self.ends = eliasfano.EliasFano(memoryview(data)[_HEAD.size :])
         self.ids = np.frombuffer(data, dtype=f"<u{width}", count=self.n_ids, offset=_HEAD.size + self.ends.size)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th document's ids begin and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document of the shard."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        start, end = self.span(i)
+        return self.ids[start:end]
 
 
-def _write_part(path: str):
+def _write_part(path: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, coder = TaskContext.get().partitionId(), 0, encoder(path)
-        docs: list[int] = []
+        part, seq, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(path, special_as_text)
+        docs: list[int | None] = []
         held: list[bytes] = []
         n = 0
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype=coder.dtype)
             ends = np.cumsum([len(x) // coder.dtype.itemsize for x in held], dtype=np.uint64)
-            return pa.RecordBatch.from_pylist(
-                [{"part": part, "seq": seq, "first_doc": docs[0], "n_docs": len(docs), "n_ids": len(ids), "doc_ids": np.array([-1 if x is None else x for x in docs], dtype="<i8").tobytes(), "payload": pack(ids, ends)}], schema=_ARROW
-            )
+            named = [x for x in docs if x is not None]
+            first = named[0] if named else 0
+            # distances wrap around as unsigned 64-bit integers do, so they are right for any two doc_ids
+            apart = np.array(named, dtype=np.int64).astype(np.uint64) - np.array([first], dtype=np.int64).astype(np.uint64)
+            row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids), "null_docs": len(docs) - len(named), "first_doc": first, "doc_ids": eliasfano.encode(apart), "payload": pack(ids, ends)}
+            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         end = np.array([END_ID], dtype=coder.dtype).tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(names), 128):
-                for name, ids in zip(names[at : at + 128], coder.batch(texts[at : at + 128]), strict=True):
+            for at in range(0, len(names), BATCH):
+                for name, ids in zip(names[at : at + BATCH], coder.batch(texts[at : at + BATCH]), strict=True):
                     docs.append(name)
                     held.append(ids + end)
                     n += len(held[-1]) // coder.dtype.itemsize
                     if n >= SHARD_IDS:
                         yield close()
-                        docs, held, n, seq = [], [], 0, seq + 1
+                        docs, held, seq, before, n = [], [], seq + 1, before + n, 0
         if docs:
             yield close()
 
     return run
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("payload", pa.binary())])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("null_docs", pa.int64()), ("first_doc", pa.int64()), ("doc_ids", pa.binary()), ("payload", pa.binary())])
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, special_as_text: bool = False) -> str:
     """Encode every text and write shards in ascending doc_id order; returns their folder."""
     spark = docs.sparkSession
     out = out or new_path(spark, "token-shards")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, min(100_000, -(-chars // PARTITION_CHARS)))
-    (texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write_part(tokenizer_path), SHARD_SCHEMA).write.option("compression", "zstd").parquet(out))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a part streams through its task shard by shard, so its size bounds no memory
+    parts = max(1, -(-size // PARTITION_BYTES))
+    (texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write_part(tokenizer_path, special_as_text), SHARD_SCHEMA).write.option("compression", "zstd").parquet(out))
     return out
 
 
 def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for base, names, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            shard = Shard(data)
-            ends = shard.ends.all().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            wide = shard.ids.astype("<u4")
-            ids = np.frombuffer(names, dtype="<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(starts + base), pa.array(ends - starts), pa.array([zlib.crc32(wide[a:b]) for a, b in zip(starts, ends, strict=True)], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+        for part, before, nulls, first, names, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            shard, named = Shard(data), eliasfano.EliasFano(names)
+            docs = [None] * nulls + [(first + x + (1 << 63)) % (1 << 64) - (1 << 63) for x in named]
+            starts, sizes, crcs, start = [], [], [], 0
+            for end in shard.ends:
+                starts.append(before + start)
+                sizes.append(end - start)
+                crcs.append(zlib.crc32(shard.ids[start:end].astype("<u4")))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone."""
-    from pyspark.sql import Window
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone.
 
+    Starts within a part are in its shards; the ids of earlier parts are a running sum over groups of
+    ``GROUP`` parts, then over the parts of a group, so no task holds a row for every part.
+    """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    # one row a shard of millions of ids: the running sum is over shards, not documents
-    sizes = shards.select("part", "seq", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = shards.drop("n_ids").join(sizes.select("part", "seq", F.coalesce("base", F.lit(0)).alias("base")), ["part", "seq"])
-    return placed.select("base", "doc_ids", "payload").mapInArrow(_read_docs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("group", F.floor(F.col("part") / GROUP))
+    earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = parts.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bases = inside.join(groups, "group").select("part", (F.col("base") + F.col("inside")).alias("base"))
+    docs = shards.select("part", "before", "null_docs", "first_doc", "doc_ids", "payload").mapInArrow(_read_docs, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return docs.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

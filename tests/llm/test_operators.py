@@ -147,6 +147,15 @@ def test_tokens_round_trip(spark, docs):
     assert tokens.read_shards(spark, tokens.write_shards(empty(spark), BPE)).count() == 0
 
 
+def test_tokens_of_rows_without_an_id_and_of_ids_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_IDS", 5)
+    monkeypatch.setattr(tokens, "PARTITION_BYTES", 10)
+    data = [(None, "a b"), (-1, "c"), (None, None), (2**63 - 1, "d d d d d d"), (-(2**63), "<|endoftext|>"), (0, ""), (0, "zero")]
+    out = tokens.read_shards(spark, tokens.write_shards(spark.createDataFrame(data, "doc_id long, text string"), BPE)).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None, None, -(2**63), -1, 0, 0, 2**63 - 1]
+    assert [r["start"] for r in out] == [sum(x["n_tokens"] for x in out[:k]) for k in range(len(out))] and out[2]["n_tokens"] == 2
+
+
 def test_pieces_keep_rows_and_columns(spark, docs):
     out = pieces.encode(docs.drop("score"), SP)
     assert out.count() == len(ROWS) and all(r["round_trip"] for r in out.select("round_trip").collect())

@@ -12,16 +12,24 @@ from lodestrata.llm import decontaminate, eliasfano, minhash, ppm, quality, shin
 from lodestrata.llm.pieces import Pieces
 
 
-@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 300, 300, 10**9], list(range(0, 5000, 3))])
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 300, 300, 10**9], list(range(0, 5000, 3)), [0, 2**64 - 1], [2**64 - 1], [5] * 700 + [10**12 + 7 * i for i in range(700)]])
 def test_elias_fano_round_trip(values):
     data = eliasfano.encode(np.array(values, dtype=np.uint64))
     read = eliasfano.EliasFano(data + b"more")
-    assert read.size == len(data) and read.all().tolist() == values
+    assert read.size == len(data) and list(read) == values
     assert [read.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         read.select(len(values))
 
 
+def test_elias_fano_stays_small_and_opens_without_a_table():
+    values = np.cumsum(np.random.default_rng(3).integers(0, 2000, 40_000))
+    data = eliasfano.encode(values)
+    assert len(data) * 8 / len(values) < 2 + np.log2(values[-1] / len(values)) + 0.3
+    read = eliasfano.EliasFano(data)
+    assert not [v for v in vars(read).values() if isinstance(v, (np.ndarray, list, bytes))]
+
+
 def test_elias_fano_refuses_falling_values():
     with pytest.raises(ValueError):
         eliasfano.encode(np.array([2, 1]))
@@ -29,9 +37,11 @@ def test_elias_fano_refuses_falling_values():
 
 def test_encoder_matches_the_library():
     own = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", "a  b", "x\n\n y ,. z", "!!, a. b", "a_, b.", " lead", "trail ", "tab\t b", "é. ñ, x", "a\0b c", "don't, 's. it's", "...", "你好, 世界。 x", "emoji 😀, ok", "The cat. The  cat,\nsat", "<|endoftext|> x"]
+    texts = ["", "a  b", "x\n\n y ,. z", "!!, a. b", "a_, b.", " lead", "trail ", "tab\t b", "é. ñ, x", "a\0b c", "don't, 's. it's", "...", "你好, 世界。 x", "emoji 😀, ok", "The cat. The  cat,\nsat", "\nNew \nline", " abc*** 12.5", "<|endoftext|> x", "a <|endoftext|>\n\nb", "a"]
     expected = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
-    assert [np.frombuffer(x, own.dtype).tolist() for x in own.batch(texts)] == expected
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.batch(texts)] == expected and 50256 in expected[texts.index("<|endoftext|> x")]
+    plain = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), special_as_text=True)
+    assert 50256 not in np.frombuffer(plain.batch(["<|endoftext|> x"])[0], plain.dtype)
 
 
 def test_shard_documents():
