@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,13 +33,12 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .scratch import new_path
+from .wordtable import LONGEST, WordTable, buffer, slices
 
 #: Documents end with this id.
 END_ID = 0
-#: A shard closes after so many ids.
+#: A shard closes after so many ids, at the end of a slice of texts.
 SHARD_IDS = 2_000_000
-#: Distinct pieces of a generation whose ids a worker remembers.
-MEMO = 250_000
 #: Bytes of text a partition should hold, by which the range partitions are counted.
 PARTITION_BYTES = 24_000_000
 #: Parts whose sizes are summed together.
@@ -49,75 +47,48 @@ GROUP = 1_000
 _HEAD = struct.Struct("<4sBBQQ")
 SHARD_SCHEMA = "part int, seq int, before long, n_ids long, null_docs long, first_doc long, doc_ids binary, payload binary"
 
-# The byte-level pre-tokenizer always starts a new token between a visible character and a blank or line
-# feed, and between a letter or digit and one of these signs, so text cut there encodes piece by piece
-# to the same ids. ODD finds what the plain cuts of ``pieces`` would get wrong: two blanks in a row, and a
-# comma or full stop after another sign.
-_ODD = re.compile(r"\s[ \n]|[\W_][,.][ \n]|\0").search
-_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
-_SIGN = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,;:!?*#%&$|@/()\-])")
-#: Texts whose unseen pieces are encoded together.
-BATCH = 512
+#: Bytes of text that are looked up at once.
+SLICE = 1_000_000
 #: Words that are encoded as one text, whose ids are then told apart by the tokens that start with a blank.
 TOGETHER = 2_000
 
+# Kinds of bytes for the cuts below.
+_BLANK, _SIGN, _ALNUM, _VISIBLE, _LEAD, _CONTINUES = 1, 2, 4, 8, 16, 32
 
-def pieces(text: str) -> list[str]:
-    if _ODD(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
 
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[list(b" \n")] |= _BLANK
+    kinds[list(b".,;:!?*#%&$|@/()-")] |= _SIGN
+    kinds[[c for c in range(128) if chr(c).isalnum()]] |= _ALNUM
+    kinds[0x21:0x7F] |= _VISIBLE
+    kinds[0xC3:0xCA] |= _LEAD  # of U+00C0 to U+027F, letters but for two signs
+    kinds[0x80:0xC0] |= _CONTINUES
+    return kinds
 
-class Memo(dict):
-    """piece -> its ids as bytes; of two generations, so that frequent pieces stay."""
 
-    def __init__(self, tokenizer, dtype):
-        self.tokenizer, self.dtype, self.old = tokenizer, dtype, {}
-        vocabulary = tokenizer.get_vocab()
-        self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.blank[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+_KIND = _kinds()
+
 
-    def put(self, piece: str, ids: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            parts = _SIGN.split(piece)
-            if len(parts) > 1:
-                return b"".join(map(self.__getitem__, parts))
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        return self.put(piece, ids)
-
-    def learn(self, pieces_: set[str]) -> None:
-        """Encode the pieces that are not known yet, many at a time."""
-        new = pieces_.difference(self)
-        if self.old:
-            new.difference_update(self.old)
-        odd = [x for x in new if not (x[:1] == " " and x[1:].isalnum())]
-        new.difference_update(odd)
-        for parts in map(_SIGN.split, odd):
-            new.update(parts)  # a piece without a sign is its only part
-        new.difference_update(self)
-        words = [x for x in new if x[:1] == " " and x[1:].isalnum()]
-        size = self.dtype.itemsize
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.blank[ids]) * size
-            if len(starts) != len(part):
-                continue  # they are encoded one by one when they are met
-            raw, edges = ids.tobytes(), [*starts.tolist(), len(ids) * size]
-            for word, a, b in zip(part, edges, edges[1:], strict=False):
-                self.put(word, raw[a:b])
-        new.difference_update(words)
-        rest = list(new)
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.put(piece, np.array(found.ids, dtype=self.dtype).tobytes())
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Marks where a byte-level pre-tokenizer always starts a token, so that the parts encode apart to the same ids.
+
+    These are a blank or line feed after a visible character, a sign after a letter or digit, and a letter or
+    digit after such a sign (which an apostrophe is not).
+    """
+    cut = np.zeros(len(data), dtype=bool)
+    if len(data) < 2:
+        return cut
+    kind = _KIND[data]
+    wide = np.zeros(len(data), dtype=bool)
+    wide[1:] = (kind[1:] & _CONTINUES > 0) & (kind[:-1] & _LEAD > 0)
+    letter = wide.copy()
+    letter[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    before, now = kind[:-1], kind[1:]
+    cut[1:] = (now & _BLANK > 0) & ((before & _VISIBLE > 0) | wide[:-1])
+    cut[1:] |= (now & _SIGN > 0) & ((before & _ALNUM > 0) | letter[:-1])
+    cut[1:] |= (now & _ALNUM > 0) & (before & _SIGN > 0)
+    return cut
 
 
 class Encoder:
@@ -129,26 +100,56 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        added = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Texts with such a string are encoded whole.
-        self.special = re.compile("|".join(added)).search if added else None
+        #: Texts with such a string are one piece.
+        self.special = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo = Memo(self.tokenizer, self.dtype)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``dtype``."""
-        out = []
-        for at in range(0, len(texts), BATCH):
-            own = texts[at : at + BATCH]
-            whole = {k for k, x in enumerate(own) if self.special(x)} if self.special else ()
-            cut = [[] if k in whole else pieces(x) for k, x in enumerate(own)]
-            self.memo.learn(set().union(*cut))
-            get = self.memo.__getitem__
-            out += [self.whole(own[k]) if k in whole else b"".join(map(get, x)) for k, x in enumerate(cut)]
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.table = WordTable(self.learn, self.dtype)
+
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [x.decode("utf-8", "replace") for x in pieces]
+        found: list = [None] * len(texts)
+        plain = [k for k, x in enumerate(texts) if x[:1] == " " and x[1:].isalnum()]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.blank[ids]).tolist()
+            if len(starts) == len(part):
+                for k, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True):
+                    found[k] = ids[a:b]
+        rest = [k for k, own in enumerate(found) if own is None]
+        for at in range(0, len(rest), TOGETHER):
+            part = rest[at : at + TOGETHER]
+            for k, own in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = np.array(own.ids, dtype=self.dtype)
+        return np.concatenate(found), np.array([len(x) for x in found]), np.zeros((len(found), 0))
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts in a row, ends of each text's ids), for all texts in turn."""
+        data, edges = buffer(texts)
+        for a, b in slices(edges, SLICE):
+            yield self._slice(data[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
+
+    def _slice(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = cuts(data)
+        cut[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(cut)
+        for special in self.special:
+            raw = data.tobytes()
+            if special in raw:
+                own = [k for k in range(len(edges) - 1) if special in raw[edges[k] : edges[k + 1]]]
+                inside = np.searchsorted(edges, starts, side="right") - 1
+                starts = starts[~np.isin(inside, own) | np.isin(starts, edges)]
+        sizes = np.diff(np.append(starts, len(data)))
+        rows = self.table.find(np.concatenate([data, np.zeros(LONGEST, np.uint8)]), starts, sizes)
+        ids, places = self.table.ids(rows)
+        return ids, places[np.searchsorted(starts, edges[1:])]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [x for ids, ends in self.column(pa.array(texts, pa.string())) for x in np.split(ids, ends[:-1])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -186,30 +187,30 @@ def _write_part(path: str, special_as_text: bool):
 
         part, seq, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(path, special_as_text)
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
         n = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype=coder.dtype)
-            ends = np.cumsum([len(x) // coder.dtype.itemsize for x in held], dtype=np.uint64)
+            ids = np.concatenate(held)
             named = [x for x in docs if x is not None]
             first = named[0] if named else 0
             # distances wrap around as unsigned 64-bit integers do, so they are right for any two doc_ids
             apart = np.array(named, dtype=np.int64).astype(np.uint64) - np.array([first], dtype=np.int64).astype(np.uint64)
-            row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids), "null_docs": len(docs) - len(named), "first_doc": first, "doc_ids": eliasfano.encode(apart), "payload": pack(ids, ends)}
+            row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids), "null_docs": len(docs) - len(named), "first_doc": first, "doc_ids": eliasfano.encode(apart), "payload": pack(ids, np.concatenate(ends))}
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
-        end = np.array([END_ID], dtype=coder.dtype).tobytes()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(names), BATCH):
-                for name, ids in zip(names[at : at + BATCH], coder.batch(texts[at : at + BATCH]), strict=True):
-                    docs.append(name)
-                    held.append(ids + end)
-                    n += len(held[-1]) // coder.dtype.itemsize
-                    if n >= SHARD_IDS:
-                        yield close()
-                        docs, held, seq, before, n = [], [], seq + 1, before + n, 0
+            names, at = batch.column(0).to_pylist(), 0
+            for ids, own in coder.column(batch.column(1)):
+                docs += names[at : at + len(own)]
+                at += len(own)
+                held.append(np.insert(ids, own, np.array(END_ID, dtype=coder.dtype)))
+                ends.append(n + own + np.arange(1, len(own) + 1))
+                n += len(held[-1])
+                if n >= SHARD_IDS:
+                    yield close()
+                    docs, held, ends, seq, before, n = [], [], [], seq + 1, before + n, 0
         if docs:
             yield close()
 

@@ -39,9 +39,9 @@ def test_encoder_matches_the_library():
     own = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["", "a  b", "x\n\n y ,. z", "!!, a. b", "a_, b.", " lead", "trail ", "tab\t b", "é. ñ, x", "a\0b c", "don't, 's. it's", "...", "你好, 世界。 x", "emoji 😀, ok", "The cat. The  cat,\nsat", "\nNew \nline", " abc*** 12.5", "<|endoftext|> x", "a <|endoftext|>\n\nb", "a"]
     expected = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
-    assert [np.frombuffer(x, own.dtype).tolist() for x in own.batch(texts)] == expected and 50256 in expected[texts.index("<|endoftext|> x")]
+    assert [x.tolist() for x in own.batch(texts)] == expected and 50256 in expected[texts.index("<|endoftext|> x")]
     plain = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), special_as_text=True)
-    assert 50256 not in np.frombuffer(plain.batch(["<|endoftext|> x"])[0], plain.dtype)
+    assert 50256 not in plain.batch(["<|endoftext|> x"])[0]
 
 
 def test_shard_documents():
