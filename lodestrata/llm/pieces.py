@@ -6,9 +6,9 @@ penalty. A segmentation's score is the sum of its pieces' scores. Forward Viterb
 any prefix can be cut; they are exact, so a backward A-star search that uses them as its heuristic pops
 the segmentations of a lattice best first.
 
-No piece has a blank after another character, so a text's lattice falls into independent chunks, one a
-word. Workers remember distinct chunks; the N best of a text need the full search only in the N - 1 chunks
-whose second choice costs least.
+A text's lattice falls into independent chunks between characters that no piece holds side by side: words,
+mostly. Workers look all chunks of many texts up at once in a table of those met before; the N best of a text
+need the A-star search only in the N - 1 chunks whose second choice costs least.
 
 For a model of type BPE the scores are merge ranks: the best segmentation has the smallest rank sum, which
 need not be the one that greedy merging reaches. It decodes to the same text.
@@ -20,11 +20,11 @@ start earliest. Rows and the columns not named are kept.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import hashlib
 import heapq
 import itertools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,28 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .wordtable import LONGEST, WordTable, buffer, slices
+
 N_BEST = 4
-#: Distinct chunks that a worker remembers, in each of two generations.
-MEMO = 250_000
+#: Bytes of text that are cut up at once.
+SLICE = 1_000_000
+#: Chunks whose N best a worker remembers.
+SEARCHED = 50_000
 _BLANK = "▁"
 _PENALTY = 10.0
 
 
-class _Memo(dict):
-    """chunk -> what ``find`` says of it; of two generations, so that frequent chunks stay."""
-
-    def __init__(self, find):
-        self.find, self.old = find, {}
-
-    def __missing__(self, chunk: str):
-        found = self.old.get(chunk) or self.find(chunk)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
-
-
 class Pieces:
     """The lattice, search and decoding of one model file."""
 
@@ -64,7 +53,6 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
         #: character -> [the trie below it, id of the piece that ends here or -1, its score]
         self.trie: dict = {}
         least = 0.0
@@ -84,16 +72,21 @@ class Pieces:
         self.unknown = least - _PENALTY
         # no edge of the lattice spans two characters that no piece holds side by side
         self.pairs = {a + b for piece in self.pieces for a, b in itertools.pairwise(piece)}
-        self.raw = [p.replace(_BLANK, " ").encode() for p in self.pieces]
-        for i, b in self.bytes_of.items():
-            self.raw[i] = bytes([b])
-        # a character in no piece splits the lattice as a blank does, and so does a sign that no piece has after a letter
-        cut = "" if "\n" in chars else "\n"
-        after_word = {b for a, b in self.pairs if a.isalnum() or a == "_"}
-        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in after_word)
-        ends = f"{_BLANK}*\\w+(?=[{signs}])|" if signs else ""
-        self.chunks = re.compile(f"{ends}{_BLANK}*[^{_BLANK}{cut}]+|{_BLANK}+" + (f"|[{cut}]" if cut else ""))
-        self.memo = _Memo(self._found)
+        raw = [p.replace(_BLANK, " ").encode() for p in self.pieces]
+        for b, i in enumerate(self.byte_ids):
+            raw[i] = bytes([b])
+        self.raw_first = np.cumsum([0, *map(len, raw)])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        # which ASCII character may follow which character of one or two bytes inside a chunk
+        self.joined = np.zeros((0x800, 128), dtype=bool)
+        for a, b in self.pairs:
+            for x in (a, " ") if a == _BLANK else (a,):
+                for y in (b, " ") if b == _BLANK else (b,):
+                    if ord(x) < 0x800 and ord(y) < 128:
+                        self.joined[ord(x), ord(y)] = True
+        self.table = WordTable(self._learn, np.uint32, 2)
+        #: Row of the table -> what the search found, for as long as the table is not emptied.
+        self.searched: tuple[int, dict] = (0, {})
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position the (start, score, ids) of the lattice's edges that end there."""
@@ -145,17 +138,19 @@ class Pieces:
                 heapq.heappush(heap, (-(best[start] + score + cost), next(order), start, score + cost, (ids, *path)))
         return out
 
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, counts, and (score, how much less the second best scores) of chunks."""
+        found = [self.best(w.decode("utf-8", "surrogatepass").replace(" ", _BLANK)) for w in words]
+        return np.frombuffer(b"".join([f[0] for f in found]), np.uint32), np.array([len(f[0]) // 4 for f in found]), np.array([f[1:] for f in found])
+
     def best(self, chunk: str) -> tuple[bytes, float, float]:
         """(ids of the best segmentation, its score, how much less the second best scores)."""
-        return self.memo[chunk]
-
-    def _found(self, chunk: str) -> tuple[bytes, float, float]:
         pairs = self.pairs
         cuts = [i for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1) if pair not in pairs]
         if not cuts:
             return self._best(chunk)
         # the lattice falls into those of the parts
-        found = [self.memo[chunk[a:b]] for a, b in itertools.pairwise([0, *cuts, len(chunk)])]
+        found = [self._best(chunk[a:b]) for a, b in itertools.pairwise([0, *cuts, len(chunk)])]
         return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
 
     def _best(self, chunk: str) -> tuple[bytes, float, float]:
@@ -205,36 +200,120 @@ class Pieces:
                 second = best[i] + reached
         return array("I", ids).tobytes(), best[n], best[n] - second
 
-    def split(self, text: str) -> list[str]:
-        return self.chunks.findall(_BLANK + text.replace(" ", _BLANK)) if text else []
+    def column(self, texts: pa.Array, n: int = N_BEST) -> Iterator[Coded]:
+        """What is found of some texts in a row, for all texts in turn."""
+        data, edges = buffer(texts)
+        for a, b in slices(edges, SLICE):
+            yield self._slice(data[edges[a] : edges[b]], edges[a : b + 1] - edges[a], n)
+
+    def _slice(self, data: np.ndarray, edges: np.ndarray, n: int) -> Coded:
+        if (raw := data.tobytes()).find(_BLANK.encode()) >= 0:  # U+2581 and a blank are the same
+            own = [raw[a:b].replace(_BLANK.encode(), b" ") for a, b in itertools.pairwise(edges.tolist())]
+            data, edges = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+        # every text but an empty one gets a blank in front
+        full = np.diff(edges) > 0
+        data, edges = np.insert(data, edges[:-1][full], 32), edges + np.concatenate([[0], np.cumsum(full)])
+        cut = np.zeros(len(data), dtype=bool)
+        if len(data) > 1:
+            before = data[:-1].astype(np.int64)
+            wide = np.zeros(len(before), dtype=bool)
+            wide[1:] = (before[1:] & 0xC0 == 0x80) & (before[:-1] & 0xE0 == 0xC0)
+            code = before.copy()
+            code[1:][wide[1:]] = ((before[:-1] & 0x1F) << 6 | before[1:] & 0x3F)[wide[1:]]
+            here = np.flatnonzero((data[1:] < 128) & ((before < 128) | wide))
+            cut[here + 1] = ~self.joined[code[here], data[here + 1]]
+        cut[edges[:-1][full]] = True
+        starts = np.flatnonzero(cut)
+        rows = self.table.find(np.concatenate([data, np.zeros(LONGEST, np.uint8)]), starts, np.diff(np.append(starts, len(data))))
+        ids, places = self.table.ids(rows)
+        words = np.searchsorted(starts, edges)
+        ends = places[words[1:]]
+        length = np.diff(self.raw_first)[ids]
+        at = np.concatenate([[0], np.cumsum(length)])
+        decoded = self.raw[np.repeat(self.raw_first[ids] - at[:-1], length) + np.arange(at[-1])]
+        return Coded(self, n, ids, ends, rows, words, starts, data, decoded, at[np.concatenate([[0], ends])])
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of the best segmentation."""
-        return np.frombuffer(b"".join([self.memo[c][0] for c in self.split(text or "")]), dtype="<u4")
+    def decode(self, ids) -> str:
+        """The text of a segmentation."""
+        raw = b"".join([self.raw[self.raw_first[i] : self.raw_first[i + 1]].tobytes() for i in np.asarray(ids).tolist()])
+        return raw.decode("utf-8", "surrogatepass")[1:] if raw else ""
 
     def n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text."""
-        chunks = self.split(text or "")
-        if not chunks:
-            return [(0.0, np.zeros(0, dtype="<u4"))]
-        ids, scores, gaps = zip(*map(self.memo.__getitem__, chunks), strict=True)
-        total = sum(scores)
-        open_ = heapq.nsmallest(n - 1, zip(gaps, itertools.count())) if n > 1 else []
-        choices = [[(-s + scores[k], k, i) for s, i in self.search(chunks[k], n)] for gap, k in open_ if gap < np.inf]
-        ways = sorted(((sum(c[0] for c in way), number, way) for number, way in enumerate(itertools.product(*choices))), key=lambda w: w[:2])[:n]
-        out = []
+        (coded,) = self.column(pa.array([text or ""], pa.string()), n)
+        return list(coded.n_best(0))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of the best segmentation."""
+        (coded,) = self.column(pa.array([text or ""], pa.string()), 1)
+        return coded.ids
+
+
+@dataclasses.dataclass
+class Coded:
+    """Some texts in a row: the ids of their best segmentations, and the bytes these decode to."""
+
+    own: Pieces
+    n: int
+    ids: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    data: np.ndarray
+    decoded: np.ndarray
+    decoded_edges: np.ndarray
+
+    def text(self, k: int) -> str:
+        """What the k-th text's ids decode to."""
+        raw = self.decoded[self.decoded_edges[k] : self.decoded_edges[k + 1]].tobytes()
+        return raw.decode("utf-8", "surrogatepass")[1:] if raw else ""
+
+    def _ways(self, k: int) -> tuple[float, list]:
+        """(the best score, the n best as (loss, number, [(loss, word, ids)])) of the k-th text."""
+        rows = self.rows[self.words[k] : self.words[k + 1]]
+        score, gaps = self.own.table.values[rows].T if len(rows) else np.zeros((2, 0))
+        wanted = min(self.n - 1, len(gaps))
+        least = gaps <= np.partition(gaps, wanted - 1)[wanted - 1] if wanted else np.zeros(len(gaps), bool)
+        near = np.flatnonzero(least & (gaps < np.inf))
+        near = near[np.argsort(gaps[near], kind="stable")][:wanted]
+        choices = []
+        for w in near.tolist():
+            found = self._searched(int(rows[w]), self.words[k] + w)
+            choices.append([(found[0][0] - s, w, i) for s, i in found])
+        ways = [(sum([c[0] for c in way]), number, way) for number, way in enumerate(itertools.product(*choices))]
+        return float(score.sum()), heapq.nsmallest(self.n, ways, key=lambda w: w[:2])
+
+    def _searched(self, row: int, word: int) -> list:
+        own = self.own
+        if own.searched[0] != own.table.generation or len(own.searched[1]) >= SEARCHED:
+            own.searched = (own.table.generation, {})
+        key = (row, self.n)
+        if key not in own.searched[1]:
+            end = self.starts[word + 1] if word + 1 < len(self.starts) else len(self.data)
+            chunk = self.data[self.starts[word] : end].tobytes().decode("utf-8", "surrogatepass").replace(" ", _BLANK)
+            own.searched[1][key] = own.search(chunk, self.n)
+        return own.searched[1][key]
+
+    def scores(self, k: int) -> list[float]:
+        """The n best scores of the k-th text."""
+        total, ways = self._ways(k)
+        return [total - cost for cost, _, _ in ways]
+
+    def n_best(self, k: int) -> Iterator[tuple[float, np.ndarray]]:
+        """The n best (score, ids) of the k-th text."""
+        total, ways = self._ways(k)
+        rows = self.rows[self.words[k] : self.words[k + 1]]
         for cost, _, way in ways:
-            own = list(ids)
-            for delta, k, i in way:
+            parts = np.split(*self._parts(rows)) if len(rows) else [np.zeros(0, np.uint32)]
+            for delta, w, i in way:
                 if delta or cost:
-                    own[k] = np.array(i, dtype="<u4").tobytes()
-            out.append((total - cost, np.frombuffer(b"".join(own), dtype="<u4")))
-        return out
+                    parts[w] = np.array(i, dtype=np.uint32)
+            yield total - cost, np.concatenate(parts)
 
-    def decode(self, ids) -> str:
-        """The text of a segmentation."""
-        raw = b"".join([self.raw[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
-        return raw.decode("utf-8", "surrogatepass")[1:] if raw else ""
+    def _parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, edges = self.own.table.ids(rows)
+        return ids, edges[1:-1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -255,21 +334,27 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
-            out: dict = {k: [] for k in ("ids", "n", "crc", "score", "scores", "decoded", "same")}
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                ways = own.n_best(text, n)
-                score, ids = ways[0] if ways else (0.0, np.zeros(0, "<u4"))
-                decoded = own.decode(ids)
-                raw = ids.tobytes()
-                out["ids"].append(raw)
-                out["n"].append(len(ids))
-                out["crc"].append(zlib.crc32(raw))
-                out["score"].append(score)
-                out["scores"].append([s for s, _ in ways])
-                out["decoded"].append(decoded)
-                out["same"].append(decoded == (text or ""))
-            added = [pa.array(out["ids"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["crc"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["decoded"], pa.string()), pa.array(out["same"], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "decoded", "round_trip"])
+            column, at = batch.column(batch.schema.get_field_index("text")), 0
+            texts = column.fill_null("")
+            for coded in own.column(column, n):
+                size = len(coded.ends)
+                part, given = batch.slice(at, size), texts.slice(at, size).to_pylist()
+                at += size
+                edges = [0, *coded.ends.tolist()]
+                raw = coded.ids.astype("<u4").tobytes()
+                each = [raw[4 * a : 4 * b] for a, b in itertools.pairwise(edges)]
+                scores = [coded.scores(k) for k in range(size)]
+                decoded = [coded.text(k) for k in range(size)]
+                added = [
+                    pa.array(each, pa.binary()),
+                    pa.array(np.diff(edges), pa.int64()),
+                    pa.array(map(zlib.crc32, each), pa.int64(), size=size),
+                    pa.array([s[0] for s in scores], pa.float64()),
+                    pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(decoded, pa.string()),
+                    pa.array([a == b for a, b in zip(decoded, given, strict=True)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*batch.schema.names, "ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "decoded", "round_trip"])
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, {_ADDED}")

@@ -162,6 +162,40 @@ def test_pieces_keep_rows_and_columns(spark, docs):
     assert pieces.encode(empty(spark).drop("score"), SP).count() == 0
 
 
+def test_pieces_match_every_segmentation(spark):
+    """All segmentations of short texts, listed, against the operator's best and N best."""
+    model = pieces.Pieces(SP)
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["the", "a", "nd", " ", ".", "\n", "é", "你", "x", "ing"]) for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["", None, "a", "a", "▁a b"]
+
+    def every(s, at=0):
+        if at == len(s):
+            yield 0.0, ()
+            return
+        hits = [(p, model.pieces.index(s[at : at + size])) for size in range(1, len(s) - at + 1) for p in [at + size] if s[at : at + size] in known]
+        if not any(p == at + 1 for p, _ in hits):
+            for score, ids in every(s, at + 1):
+                yield score + model.unknown, (*(model.byte_ids[b] for b in s[at].encode()), *ids)
+        for p, i in hits:
+            for score, ids in every(s, p):
+                yield score + known[s[at:p]], (i, *ids)
+
+    import numpy as np
+    import sentencepiece
+
+    tool = sentencepiece.SentencePieceProcessor(model_file=SP)
+    known = {tool.id_to_piece(i): tool.get_score(i) for i in range(tool.vocab_size()) if not (tool.is_control(i) or tool.is_unknown(i) or tool.is_byte(i))}
+    out = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "doc_id AS ids", "text AS decoded").repartition(2), SP).collect()
+    assert len(out) == len(texts) and list(out[0].asDict()) == ["doc_id", "text", "ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "decoded", "round_trip"]
+    for r in out:
+        text = texts[r["doc_id"]] or ""
+        ways = sorted(every("▁" + text.replace(" ", "▁")), key=lambda w: -w[0]) if text else [(0.0, ())]
+        assert r["n_best_scores"] == [w[0] for w in ways[: pieces.N_BEST]] and r["score"] == ways[0][0]
+        ids = tuple(np.frombuffer(r["ids"], "<u4").tolist())
+        assert ids in {w[1] for w in ways if w[0] == ways[0][0]} and len(ids) == r["n_tokens"] and r["ids_crc32"] == zlib.crc32(r["ids"])
+        assert r["decoded"] == text.replace("▁", " ") and r["round_trip"] == ("▁" not in text)
+
+
 def test_ppm_base_matches_brute_force(spark, docs):
     import math
 
