@@ -38,6 +38,8 @@ from .wordtable import LONGEST, WordTable, buffer, slices
 N_BEST = 4
 #: Bytes of text that are cut up at once.
 SLICE = 1_000_000
+#: Chunks that a worker remembers.
+CHUNKS = 600_000
 #: Chunks whose N best a worker remembers.
 SEARCHED = 50_000
 _BLANK = "▁"
@@ -84,7 +86,7 @@ class Pieces:
                 for y in (b, " ") if b == _BLANK else (b,):
                     if ord(x) < 0x800 and ord(y) < 128:
                         self.joined[ord(x), ord(y)] = True
-        self.table = WordTable(self._learn, np.uint32, 2)
+        self.table = WordTable(self._learn, np.uint32, 2, CHUNKS)
         #: Row of the table -> what the search found, for as long as the table is not emptied.
         self.searched: tuple[int, dict] = (0, {})
 

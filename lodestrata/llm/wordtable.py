@@ -3,7 +3,7 @@
 Words are byte ranges of one buffer. Up to ``LONGEST`` bytes, a word and its length are four machine words, so
 comparing them is exact; the table is open-addressed and every step of a lookup works on all words at once.
 Longer words, which are rare, go through a dictionary. What is known of a word is a run of ids and a few
-numbers. A table that holds ``MOST`` words is emptied before the next lookup, so its memory is bounded.
+numbers. A table that holds ``most`` words is emptied before the next lookup, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 LONGEST = 24
-MOST = 800_000
-_SLOTS = 21
+MOST = 300_000
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x165667B19E3779F9))
 
@@ -23,14 +22,15 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 class WordTable:
     """``learn(words)`` gives the ids of all words in a row, how many belong to each, and the words' numbers."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], dtype, numbers: int = 0):
-        self.learn, self.dtype, self.numbers = learn, np.dtype(dtype), numbers
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], dtype, numbers: int = 0, most: int = MOST):
+        self.learn, self.dtype, self.numbers, self.most = learn, np.dtype(dtype), numbers, most
+        self.bits = max(20, (2 * most).bit_length())
         self.generation = 0
         self.clear()
 
     def clear(self) -> None:
         self.generation += 1
-        self.slots = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
         self.n, self.used = 0, 0
         self.keys = np.zeros((1024, 4), dtype=np.uint64)
         self.first = np.zeros(1024, dtype=np.int64)
@@ -41,7 +41,7 @@ class WordTable:
 
     def find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Rows of the words; ``data`` ends with LONGEST bytes that belong to none. Rows hold until the next call."""
-        if self.n > MOST:
+        if self.n > self.most:
             self.clear()
         view = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
         keys = np.empty((len(starts), 4), dtype=np.uint64)
@@ -54,7 +54,7 @@ class WordTable:
         hashes ^= hashes >> np.uint64(32)
         rows = np.full(len(starts), -1, dtype=np.int64)
         left = np.flatnonzero(sizes <= LONGEST)
-        slots = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         at = slots[left]
         missing = []
         while len(left):
@@ -64,7 +64,7 @@ class WordTable:
             rows[left[same]] = held[same]
             missing.append(left[empty])
             on = ~(same | empty)
-            left, at = left[on], (at[on] + 1) & ((1 << _SLOTS) - 1)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
         new = np.concatenate([np.zeros(0, np.int64), *missing])
         raw = None
         if len(new):
@@ -106,7 +106,7 @@ class WordTable:
             free = self.slots[at] < 0
             self.slots[at[free]] = rows[free]
             left = self.slots[at] != rows
-            rows, at = rows[left], (at[left] + 1) & ((1 << _SLOTS) - 1)
+            rows, at = rows[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in a row, and where each row's begin (with the end of all)."""
