@@ -2,23 +2,27 @@
 
 A page is a stream of tags and texts. Repeats in it are folded: a leaf element, or a run of items that
 follows itself, becomes one repeated group, and a text becomes a slot. What is left is the page's shape.
-The shapes of one host are aligned one after the other into a wrapper: items that agree stay, items that
-only one side has become optional, and a slot whose text is the same on every page stays a constant.
+The shapes of one host are aligned one after the other into a wrapper: items that agree stay, and items that
+only one side has become optional. So a wrapper is a regular expression over items with groups that repeat,
+items that are optional and slots of text, and every page of the host matches it.
 
-Shapes and slots are aggregated with map-side combine (host, shape, slot), so no page of a popular host
-meets another one; the shapes of a host are aligned bucket by bucket, then the few buckets' wrappers. Pages
-meet their host's wrapper in a join whose popular hosts are dealt over pieces in proportion to their
-share; the list of those has ``POPULAR`` hosts at most, since each has more than 1/POPULAR of all pages.
+A slot is an item of the wrapper with the elements around the text. The wrapper says which slots hold the
+main text (``choose``): those inside the article or main element, if the host's wrapper has one; otherwise
+those whose text varies from page to page, but for groups that repeat nothing but links. Slots inside the
+elements or landmark roles of menus, headers, footers, sidebars, forms, dialogs, scripts and styles hold
+none, nor do articles inside the article, which are the readers' comments; class names say nothing. A page
+is read by matching its items against its host's wrapper and taking the texts of the slots chosen there.
 
-The slots of a host's shapes say where it keeps its main text: the article (or main) element if they have
-one, else the smallest element around all texts that vary from page to page, boilerplate apart. The aligned
-items themselves are not matched against pages. From a page that part is read without the elements and class
-names that mark menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments,
-and without constants outside the article (paths whose texts are the same on all pages of a host).
+Shapes and slots are aggregated with map-side combine (host, shape, slot), so no page of a popular host
+meets another one. A host's shapes are aligned ``FAN`` at a time, then the wrappers of those, until one is
+left, so no task aligns more than that for a host. Pages meet their host's wrapper in a join whose popular
+hosts are dealt over pieces in proportion to their share; the list of those has ``POPULAR`` hosts at most,
+since each has more than 1/POPULAR of all pages.
 
 A null or empty html has the empty text. A null url, or one without a host, belongs to host ''. A page
-whose html has no tags is its text. Repeated rows are extracted alike. An empty
-table gives no rows.
+whose html has no tags is its text. Where nothing varies (one page, or copies of one), all slots outside the
+elements named above are text. Repeated rows are extracted alike. Columns other than page_id, url and html
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from __future__ import annotations
 import difflib
 import html as entities
 import json
-import os.path
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,26 +42,27 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 POPULAR = 500
-BUCKETS = 16
+#: Wrappers of one host that a task aligns into one.
+FAN = 64
+#: Bytes of html in a partition of the join of pages and wrappers.
+PARTITION_BYTES = 64_000_000
 #: Different pages, copies not counted, that a constant is on at least.
 CONSTANT_PAGES = 3
-#: Longest repeated run of items that is folded, and most items of a shape that are searched for repeats.
+#: Longest repeated run of items that is folded.
 RUN = 8
-LONGEST = 4_000
 
 # HTML element names by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_DROP = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas map label input".split())
-_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended comment comments disqus reply replies respond widget toolbar pagination pager login search".split())
-#: In a class, what follows one of these tells of the page around an element, not what it is.
-_ABOUT = frozenset("no not non has have with without hide show is".split())
+_DROP = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas input".split())
+#: Landmark roles and the elements that have them by themselves.
+_ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "main": "main", "article": "article"}
 _CLOSES_P = _BLOCK - frozenset("body head html title td th tr tbody thead tfoot".split())
 _SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NAMED = re.compile(r"(?:^|\s)(class|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -67,7 +72,7 @@ def host(url: str | None) -> str:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, rest): kind is open, close or text; rest is class words, or the text."""
+    """(kind, name, rest): kind is open, close or text; rest is the element's label, or the text."""
     at = 0
     while at < len(page):
         found = _TOKEN.search(page, at)
@@ -82,7 +87,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found[1]:
             yield "close", name, ""
             continue
-        yield "open", name, " ".join(sorted({w for _, v in _NAMED.findall(found[3]) for w in _words(v)}))
+        yield "open", name, _label(name, found[3]) if found[3] else name
         if name in _RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             stop = end.start() if end else len(page)
@@ -93,23 +98,31 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
-def _words(value: str) -> Iterator[str]:
-    """Words of a class, id or role attribute."""
-    for token in value.lower().strip("\"'").split():
-        for w in re.split(r"[^a-z0-9]+", token):
-            if w in _ABOUT:
-                break
-            if w and not w.isdigit():
-                yield w
+def _label(name: str, attributes: str) -> str:
+    """name!element.words: the element that a landmark role makes of it, and the words of its class."""
+    role, words = "", set()
+    for key, value in _NAMED.findall(attributes):
+        own = value.lower().strip("\"'").split()
+        if key.lower() == "role":
+            role = next((_ROLES[x] for x in own if x in _ROLES), "")
+        else:
+            words.update(w for w in (re.sub(r"[^a-z_-]+", "", x) for x in own) if w)
+    return name + (f"!{role}" if role else "") + "".join(f".{w}" for w in sorted(words))
+
+
+def _element(part: str) -> str:
+    """The element of a part of a path, by its landmark role if it has one."""
+    return part.split(".", 1)[0].rsplit("!", 1)[-1]
 
 
 class Walk:
     """A page's events with the open elements kept as a browser would."""
 
     def __init__(self):
+        #: (name, label)
         self.stack: list[tuple[str, str]] = []
 
-    def opened(self, name: str, words: str) -> None:
+    def opened(self, name: str, label: str) -> None:
         names = [n for n, _ in self.stack]
         if name in _CLOSES_P and "p" in names:
             self._close("p", ("td", "th", "button", "object"))
@@ -118,7 +131,7 @@ class Walk:
             for other in own.split():
                 self._close(other, barrier)
         if name not in _VOID:
-            self.stack.append((name, words))
+            self.stack.append((name, label))
 
     def closed(self, name: str) -> None:
         self._close(name, ())
@@ -132,99 +145,143 @@ class Walk:
                 return
 
     def path(self) -> str:
-        return "/".join(n + "".join("." + w for w in words.split()) for n, words in self.stack)
+        return "/".join([label for _, label in self.stack])
 
 
-def shape(page: str) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """The folded items of a page, and (path, hash, characters) of its slots by path."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, str, str, bool]]]:
+    """Items of a page, and (item, path, text, whether a block begins before it) of its texts."""
     walk = Walk()
     items: list[str] = []
-    slots: dict[str, list] = {}
+    texts: list[tuple[int, str, str, bool]] = []
+    block = True
     for kind, name, rest in tokens(page):
         if kind == "text":
-            if not rest.strip():
-                continue
-            items.append("#")
-            own = slots.setdefault(walk.path(), [xxhash.xxh64(), 0])
-            text = " ".join(entities.unescape(rest).split())
-            own[0].update(text.encode("utf-8", "surrogatepass") + b"\0")
-            own[1] += len(text)
+            text = entities.unescape(rest)
+            if text.strip():
+                items.append("#")
+            texts.append((max(0, len(items) - 1), walk.path(), text, block))
+            block = False
         elif kind == "open":
             walk.opened(name, rest)
-            items.append(f"<{name}{''.join('.' + w for w in rest.split())}>")
+            items.append(f"<{rest}>")
+            block |= name in _BLOCK
+            if name == "br":
+                texts.append((len(items) - 1, walk.path(), " ", block))
+                block = False
         else:
             walk.closed(name)
             items.append(f"</{name}>")
-    return fold(items), [(p, h.intdigest() - (1 << 64 if h.intdigest() >> 63 else 0), n) for p, (h, n) in sorted(slots.items())]
+            block |= name in _BLOCK
+    return items, texts
+
+
+def shape(page: str) -> tuple[list[str], list[tuple[int, str, int, int]]]:
+    """The folded items of a page, and (item, path, hash, characters) of its slots."""
+    items, texts = parse(page)
+    folded, place = fold(items)
+    slots: dict[tuple[int, str], list] = {}
+    for item, path, text, _ in texts:
+        if text := " ".join(text.split()):
+            own = slots.setdefault((place[item], path), [xxhash.xxh64(), 0])
+            own[0].update(text.encode("utf-8", "surrogatepass") + b"\0")
+            own[1] += len(text)
+    return folded, [(*key, h.intdigest() - (1 << 64 if h.intdigest() >> 63 else 0), n) for key, (h, n) in sorted(slots.items())]
 
 
-def fold(items: list[str]) -> list[str]:
-    """Leaf elements and runs that follow themselves as repeated groups."""
+def fold(items: list[str]) -> tuple[list[str], list[int]]:
+    """Leaf elements and runs that follow themselves as repeated groups; and the folded item that each item is in."""
     out: list[str] = []
+    held: list[int] = []  # items in each folded one
+
+    def join(n: int, group: str) -> None:
+        out[-n:] = [group]
+        held[-n:] = [sum(held[-n:])]
+
     for item in items:
         out.append(item)
-        if len(out) >= 3 and out[-2] == "#" and item.startswith("</") and re.match(rf"<{re.escape(item[2:-1])}[.>]", out[-3]):
-            out[-3:] = [f"({out[-3]} # {item})+"]
-        if len(out) <= LONGEST:
-            changed = True
-            while changed:
-                changed = False
-                for size in range(1, min(RUN, len(out) // 2) + 1):
-                    if out[-size:] == out[-2 * size : -size]:
-                        run = out[-size:]
-                        group = run[0] if size == 1 and run[0].endswith(")+") else f"({' '.join(run)})+"
-                        out[-2 * size :] = [group]
-                        changed = True
-                        break
-                # a group takes in another run of its own
-                for size in range(1, min(RUN, len(out) - 1) + 1):
-                    if out[-size - 1] == f"({' '.join(out[-size:])})+":
-                        del out[-size:]
-                        changed = True
-                        break
-    return out
+        held.append(1)
+        if len(out) >= 3 and out[-2] == "#" and item.startswith("</") and re.match(rf"<{re.escape(item[2:-1])}[.!>]", out[-3]):
+            join(3, f"({out[-3]} # {item})+")
+        changed = True
+        while changed:
+            changed = False
+            for size in range(1, min(RUN, len(out) // 2) + 1):
+                if out[-1] == out[-1 - size] and out[-size:] == out[-2 * size : -size]:
+                    run = out[-size:]
+                    join(2 * size, run[0] if size == 1 and run[0].endswith(")+") else f"({' '.join(run)})+")
+                    changed = True
+                    break
+            # a group takes in another run of its own
+            for size in range(1, min(RUN, len(out) - 1) + 1):
+                if out[-size - 1].endswith(")+") and out[-size - 1] == f"({' '.join(out[-size:])})+":
+                    join(size + 1, out[-size - 1])
+                    changed = True
+                    break
+    return out, [k for k, n in enumerate(held) for _ in range(n)] or [0]
+
+
+# A wrapper is a list of [item, optional, {path: [characters, smallest and largest hash, pages]}].
 
 
 def align(wrapper: list[list], other: list[list]) -> list[list]:
-    """One wrapper for both: [item, optional] lists, where items of one side only become optional."""
+    """One wrapper for both, where items of one side only become optional; both are subsequences of it."""
     if not wrapper or not other:
-        return [[i, True] for i, _ in wrapper or other]
+        return [[i, True, slots] for i, _, slots in wrapper or other]
     out: list[list] = []
-    for _, a, b, c, d in difflib.SequenceMatcher(None, [i for i, _ in wrapper], [i for i, _ in other], autojunk=False).get_opcodes():
+    for tag, a, b, c, d in difflib.SequenceMatcher(None, [x[0] for x in wrapper], [x[0] for x in other], autojunk=False).get_opcodes():
         left, right = wrapper[a:b], other[c:d]
-        if [i for i, _ in left] == [i for i, _ in right]:
-            out += [[i, o or p] for (i, o), (_, p) in zip(left, right, strict=True)]
+        if tag == "equal":
+            out += [[i, o or p, _summed(x, y)] for (i, o, x), (_, p, y) in zip(left, right, strict=True)]
         else:
-            out += [[i, True] for i, _ in left + right]
+            out += [[i, True, slots] for i, _, slots in left + right]
+    return out
+
+
+def _summed(left: dict, right: dict) -> dict:
+    out = dict(left)
+    for path, (chars, low, high, pages) in right.items():
+        seen = out.get(path)
+        out[path] = [seen[0] + chars, min(seen[1], low), max(seen[2], high), seen[3] + pages] if seen else [chars, low, high, pages]
     return out
 
 
 def expression(wrapper: list[list]) -> str:
     """The wrapper as a regular expression over items."""
-    return " ".join(f"({item})?" if optional else item for item, optional in wrapper)
+    return " ".join(f"({x[0]})?" if x[1] else x[0] for x in wrapper)
+
+
+def match(items: list[str], wrapper: list[list]) -> list[int]:
+    """For each folded item of a page the item of the wrapper that it matches, -1 if none.
+
+    An item matches the first equal one after the last that was matched; a page whose shape went into the wrapper
+    is a subsequence of it, so all its items find one.
+    """
+    places: dict[str, list[int]] = {}
+    for k, (item, *_) in enumerate(wrapper):
+        places.setdefault(item, []).append(k)
+    out, at = [], 0
+    for item in items:
+        own = places.get(item, [])
+        k = bisect_left(own, at)
+        out.append(own[k] if k < len(own) else -1)
+        at = out[-1] + 1 if out[-1] >= 0 else at
+    return out
 
 
 def dropped(path: str, form: str = "") -> bool:
     """Whether an element on the path marks something other than main text; form is the path of one that wraps the page.
 
-    The page itself and its outermost article or main cannot, whatever their classes, nor can a form around those.
+    A form around the article or main element, or around most of the page, does not; nor does a header inside those.
     """
-    inside, at = False, ""
     parts = path.split("/")
-    main = next((k for k, x in enumerate(parts) if x.split(".")[0] in ("article", "main")), -1)
-    for k, part in enumerate(parts):
-        name, *words = part.split(".")
-        at = f"{at}/{part}" if k else part
-        inside |= name in ("article", "main")
-        if name in ("html", "body") or k == main:
-            continue
-        if name == "form" and (k < main or at == form):
+    names = [_element(x) for x in parts]
+    main = next((k for k, x in enumerate(names) if x in ("article", "main")), len(names))
+    for k, name in enumerate(names):
+        if name == "form" and (k < main < len(names) or "/".join(parts[: k + 1]) == form):
             continue
-        if name in _DROP or name == "header" and not inside or not _DROP_WORDS.isdisjoint(words):
+        if name in _DROP or name == "header" and k < main:
             return True
-        if "header" in words and not inside:
-            return True
-    return False
+    return names.count("article") > 1
 
 
 def wrapping_form(sizes: dict[str, int]) -> str:
@@ -233,7 +290,7 @@ def wrapping_form(sizes: dict[str, int]) -> str:
     total = 0
     for path, n in sizes.items():
         parts = path.split("/")
-        names = [x.split(".")[0] for x in parts]
+        names = [_element(x) for x in parts]
         if _DROP.isdisjoint(set(names) - {"form"}):
             total += n
             if "form" in names:
@@ -242,164 +299,176 @@ def wrapping_form(sizes: dict[str, int]) -> str:
     return next((p for p, n in held.items() if 2 * n > total), "")
 
 
-def region(slots: dict[str, list]) -> str:
-    """Path of a host's main text, from {path: [characters, constant]}: article, main, or the smallest element around all that varies."""
-    form = wrapping_form({p: own[0] for p, own in slots.items()})
-    open_ = {p: own for p, own in slots.items() if not dropped(p, form)}
-    for wanted in ("article", "main"):
-        found: dict[str, int] = {}
-        for path, (chars, _) in open_.items():
-            parts = path.split("/")
-            k = next((k for k, x in enumerate(parts) if x.split(".")[0] == wanted), None)
-            if k is not None:
-                key = "/".join(parts[: k + 1])
-                found[key] = found.get(key, 0) + chars
-        if found:
-            return wanted
-    varying = [p.split("/") for p, (_, constant) in open_.items() if not constant]
-    if not varying:
-        return ""
-    parts = list(os.path.commonprefix(varying))
-    while len(parts) > 1 and (parts[-1].split(".")[0] not in _BLOCK or parts[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre")):
-        parts.pop()
-    return "/".join(parts)
-
-
-def extract(page: str | None, where: str = "article", constants: frozenset = frozenset(), form: str = "") -> str:
-    """Main text of a page, given its host's region and constants (path, hash), and the form that wraps its pages."""
+class Chosen:
+    """Which slots of a wrapper hold main text."""
+
+    def __init__(self, wrapper: list[list]):
+        self.wrapper = wrapper
+        sizes: dict[str, int] = {}
+        for _, _, slots in wrapper:
+            for path, own in slots.items():
+                sizes[path] = sizes.get(path, 0) + own[0]
+        self.form = wrapping_form(sizes)
+        open_ = {(k, path): own for k, (_, _, slots) in enumerate(wrapper) for path, own in slots.items() if not dropped(path, self.form)}
+        self.region = next((x for x in ("article", "main") if any(x in map(_element, path.split("/")) for _, path in open_)), "")
+        self.slots: dict[tuple[int, str], bool] = {}
+        for (k, path), (_, low, high, pages) in open_.items():
+            constant = low == high and pages >= CONSTANT_PAGES
+            item = wrapper[k][0]
+            menu = item.endswith(")+") and all("a" in map(_element, x.split("/")) for x in wrapper[k][2])
+            self.slots[k, path] = self.inside(path) if self.region else not constant and not menu
+        if not any(self.slots.values()):  # nothing varies that could be the text instead
+            self.slots = dict.fromkeys(open_, True)
+        #: Paths with some slot of main text, for items that no page before had.
+        self.paths = {path for (_, path), yes in self.slots.items() if yes}
+        self.known: dict = {}
+
+    def inside(self, path: str) -> bool:
+        return self.region in map(_element, path.split("/"))
+
+    def places(self, items: list[str]) -> list[int]:
+        key = tuple(items)
+        if key not in self.known:
+            if len(self.known) >= 1_000:
+                self.known.clear()
+            self.known[key] = match(items, self.wrapper)
+        return self.known[key]
+
+    def holds(self, item: int, path: str) -> bool:
+        yes = self.slots.get((item, path))
+        return (path in self.paths or bool(self.region) and self.inside(path) and not dropped(path, self.form)) if yes is None else yes
+
+
+def extract(page: str | None, chosen: Chosen | None = None) -> str:
+    """Main text of a page by its host's wrapper; by the page's own if it is null."""
     if not page:
         return ""
-    walk = Walk()
+    items, texts = parse(page)
+    folded, place = fold(items)
+    if chosen is None:
+        chosen = Chosen(_opened(folded, [(k, path, h, n, 1) for k, path, h, n in shape(page)[1]]))
+    at = chosen.places(folded)
+    kept = [chosen.holds(at[place[item]], path) for item, path, _, _ in texts]
+    if not any(k for k, x in zip(kept, texts, strict=True) if x[2].strip()) and chosen.region:
+        # this page lacks the region that its host has elsewhere
+        return extract(page)
     blocks: list[str] = []
     held: list[str] = []
-    found = False
-    # all texts of a path together, as in the host's slots
-    fixed = {p for p, h, _ in shape(page)[1] if (p, h) in constants} if constants and where not in ("article", "main") else set()
-
-    def flush() -> None:
-        if text := " ".join("".join(held).split()):
-            blocks.append(text)
-        held.clear()
-
-    def collect(where: str) -> None:
-        nonlocal found
-        walk.stack.clear()
-        for kind, name, rest in tokens(page):
-            if kind == "text":
-                path = walk.path()
-                inside = not where or any(n == where for n, _ in walk.stack) if where in ("", "article", "main") else path == where or path.startswith(where + "/")
-                if not inside or dropped(path, form):
-                    continue
-                found = True
-                text = entities.unescape(rest)
-                if where not in ("article", "main") and path in fixed:
-                    continue
-                held.append(text)
-            elif kind == "open":
-                if name in _BLOCK:
-                    flush()
-                elif name == "br":
-                    held.append(" ")
-                walk.opened(name, rest)
-            else:
-                if name in _BLOCK:
-                    flush()
-                walk.closed(name)
-        flush()
+    for (_, _, text, begins), keep in zip(texts, kept, strict=True):
+        if begins:
+            blocks.append("".join(held))
+            held.clear()
+        if keep or text == " " and held:
+            held.append(text)
+    blocks.append("".join(held))
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+
+
+def _opened(items: list[str], slots: list[tuple]) -> list[list]:
+    """The wrapper of one shape, from (item, path, low hash, characters, pages) or with a high hash before the characters."""
+    out = [[x, False, {}] for x in items]
+    for k, path, low, *rest in slots:
+        high, (chars, pages) = (rest[0] if len(rest) == 3 else low), rest[-2:]
+        out[k][2][path] = [chars, low, high, pages]
+    return out
+
 
-    collect(where)
-    if not found and where:  # this page lacks what its host has elsewhere
-        collect("main" if where == "article" and "<main" in page.lower() else "")
-    return "\n\n".join(blocks)
+_SLOTS = "host string, shape_id long, shape string, item int, path string, h long, chars long, page long"
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("path", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("page", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("shape_id", pa.int64()), ("shape", pa.string()), ("item", pa.int32()), ("path", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("page", pa.int64())])
     for batch in batches:
         out: dict = {k: [] for k in schema.names}
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             items, slots = shape(page or "")
-            name, own = host(url), json.dumps(items, ensure_ascii=False)
+            own = json.dumps(items, ensure_ascii=False)
             whole = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
-            for path, h, n in slots:
-                for k, v in zip(schema.names, (name, own, path, h, n, whole), strict=True):
+            key = (host(url), xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1)
+            # the shape itself goes with the first row alone
+            for row in [(*key, own, -1, "", 0, 0, whole), *[(*key, None, item, path, h, n, whole) for item, path, h, n in slots]]:
+                for k, v in zip(schema.names, row, strict=True):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[k], schema.field(k).type) for k in schema.names], schema=schema)
 
 
+def _open_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape_id, shape, slots) -> (host, place, wrapper)."""
+    for batch in batches:
+        out = []
+        for items, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = [(x["item"], x["path"], x["low"], x["high"], x["chars"], x["pages"]) for x in slots if x["item"] >= 0]
+            out.append(json.dumps(_opened(json.loads(items), own), ensure_ascii=False))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["host", "place", "wrapper"])
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host (and bucket), each with a wrapper and its slots -> one aligned row a host (and bucket)."""
-    held = None
+    """Rows sorted by host and bucket, each with a wrapper -> one aligned row a host and bucket."""
+    held: list | None = None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.int64()), pa.array([json.dumps(held[2], ensure_ascii=False)], pa.string())], names=["host", "place", "wrapper"])
+
     for batch in batches:
-        for name, bucket, wrapper, slots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            own, paths = json.loads(wrapper), json.loads(slots)
+        for name, bucket, wrapper in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if held and held[:2] == [name, bucket]:
-                held[2] = align(held[2], own)
-                for path, (chars, low, high, pages) in paths.items():
-                    seen = held[3].setdefault(path, [0, low, high, 0])
-                    held[3][path] = [seen[0] + chars, min(seen[1], low), max(seen[2], high), seen[3] + pages]
+                held[2] = align(held[2], json.loads(wrapper))
             else:
                 if held:
-                    yield _learnt(held)
-                held = [name, bucket, own, paths]
+                    yield row()
+                held = [name, bucket, json.loads(wrapper)]
     if held:
-        yield _learnt(held)
-
+        yield row()
 
-def _learnt(row: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.string()), pa.array([row[1]], pa.int32()), pa.array([json.dumps(row[2], ensure_ascii=False)], pa.string()), pa.array([json.dumps(row[3], ensure_ascii=False)], pa.string())], names=["host", "bucket", "wrapper", "slots"])
 
-
-_ROW = "host string, bucket int, wrapper string, slots string"
+_ROW = "host string, place long, wrapper string"
 
 
 def infer(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, wrapper (JSON of items), slots (JSON: path to characters, smallest and largest hash, pages)."""
-    slots = pages.select("url", "html").mapInArrow(_shapes, "host string, shape string, path string, h long, chars long, page long")
+    """host and wrapper (JSON) of every host."""
+    slots = pages.select("url", "html").mapInArrow(_shapes, _SLOTS)
     # a page has one shape, so a host's counts add up; the sketch never counts one or two pages as more
-    summed = slots.groupBy("host", F.xxhash64("shape").alias("shape_id"), "path").agg(F.first("shape").alias("shape"), F.sum("chars").alias("chars"), F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page").alias("pages"))
-    shapes = summed.groupBy("host", "shape_id").agg(F.first("shape").alias("shape"), F.map_from_entries(F.collect_list(F.struct("path", F.array("chars", "low", "high", "pages")))).alias("slots"))
-    rows = shapes.select("host", F.pmod("shape_id", F.lit(BUCKETS)).cast("int").alias("bucket"), "shape", F.to_json("slots").alias("slots"), "shape_id")
-    buckets = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "shape_id").select("host", "bucket", "shape", "slots").mapInArrow(_open_shapes, _ROW).mapInArrow(_learn, _ROW)
-    buckets = scratch.cut(buckets, "wrapper-buckets")
-    whole = buckets.repartition("host").sortWithinPartitions("host", "bucket").select("host", F.lit(0).alias("bucket"), "wrapper", "slots").mapInArrow(_learn, _ROW)
-    return scratch.cut(whole.select("host", "wrapper", "slots"), "wrappers")
-
-
-def _open_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [json.dumps([[x, False] for x in json.loads(s)], ensure_ascii=False) for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string()), batch.column(3)], names=["host", "bucket", "wrapper", "slots"])
+    summed = slots.groupBy("host", "shape_id", "item", "path").agg(F.max("shape").alias("shape"), F.sum("chars").alias("chars"), F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page").alias("pages"))
+    shapes = summed.groupBy("host", "shape_id").agg(F.max("shape").alias("shape"), F.collect_list(F.struct("item", "path", "low", "high", "chars", "pages")).alias("slots"))
+    rows = scratch.cut(shapes.mapInArrow(_open_shapes, _ROW), "wrappers-0")
+    level = 0
+    while True:
+        counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return rows.select("host", "wrapper")
+        # equal buckets by rank would need a sort of a host's rows; hashed ones differ little
+        dealt = rows.join(counts, "host").withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(level)), F.ceil(F.col("n") / FAN)))
+        learnt = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "place").select("host", "bucket", "wrapper").mapInArrow(_learn, _ROW)
+        level += 1
+        rows = scratch.cut(learnt, f"wrappers-{level}")
+        scratch.drop(f"wrappers-{level - 1}")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict = {}
+    known: dict[str | None, Chosen | None] = {None: None}
     for batch in batches:
         out = []
-        for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if slots not in known:
+        for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if wrapper not in known:
                 if len(known) > 500:
-                    known.clear()
-                own = json.loads(slots) if slots else {}
-                fixed = frozenset((p, low) for p, (_, low, high, pages) in own.items() if low == high and pages >= CONSTANT_PAGES)
-                form = wrapping_form({p: v[0] for p, v in own.items()})
-                if all((p, v[1]) in fixed or dropped(p, form) for p, v in own.items()):
-                    fixed = frozenset()  # nothing varies that could be the text instead
-                known[slots] = region({p: [v[0], (p, v[1]) in fixed] for p, v in own.items()}), fixed, form
-            out.append(extract(page, *known[slots]))
+                    known = {None: None}
+                known[wrapper] = Chosen(json.loads(wrapper))
+            out.append(extract(page, known[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    wrappers = infer(own, scratch).select("host", "slots")
+    wrappers = infer(own, scratch)
     name = F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    counts = scratch.cut(own.groupBy(name.alias("host")).agg(F.count("*").alias("n")), "host-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    step = max(1, total // POPULAR)
+    counts = scratch.cut(own.groupBy(name.alias("host")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size")), "host-counts")
+    total, size = counts.agg(F.sum("n"), F.sum("size")).first()
+    step = max(1, (total or 0) // POPULAR)
     # fewer than POPULAR hosts can have more than total / POPULAR pages each
     popular = counts.where(F.col("n") > step).select("host", F.ceil(F.col("n") / step).cast("int").alias("pieces"))
     dealt = own.withColumn("host", name).join(F.broadcast(popular), "host", "left").withColumn("piece", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("pieces", F.lit(1))).cast("int"))
     copies = wrappers.join(F.broadcast(popular), "host", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
-    return dealt.join(copies, ["host", "piece"], "left").select("page_id", "url", "html", "slots").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PARTITION_BYTES))
+    return dealt.repartition(parts, "host", "piece").join(copies, ["host", "piece"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -109,6 +109,18 @@ def test_substrings_match_sql(spark, docs, con):
     assert substring_dedup.find(empty(spark), Scratch(spark)).count() == 0
 
 
+def test_substrings_need_the_automata(spark, docs, con, monkeypatch):
+    """Occurrences come from the automata of confirmed phrases alone, for blocks of any size."""
+    from lodestrata.llm.q_substring import SQL
+
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
+    found = substring_dedup.find(docs, Scratch(spark))
+    assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(con.execute(SQL).fetchall(), key=str)
+    monkeypatch.setattr(substring_dedup, "_confirm", lambda phrase: lambda batches: iter(()))
+    without = {r["doc_id"]: r["n_removed"] for r in substring_dedup.find(docs, Scratch(spark)).collect()}
+    assert without[10] == 0 and without[3] == 0 and {r["doc_id"]: r["n_removed"] for r in found.collect()}[10] == 70
+
+
 @pytest.mark.parametrize("size", [24_000_000, 400])
 def test_decontamination_matches_sql(spark, docs, con, size):
     from lodestrata.llm.q_decontaminate import SQL
@@ -308,11 +320,46 @@ def test_pages_that_are_copies_keep_their_text(spark):
     assert set(out.values()) == {"Title\n\none body", "plain text"} and out[10] == "plain text" and len(out) == len(data)
 
 
-def test_pages_keep_text_under_classes_that_tell_of_other_parts(spark):
-    bodies = ["<body class='no-sidebar'><article class='post has-comments'><p>a {i}</p></article><div class=comments>c {i}</div></body>", "<body><div class='content with-sidebar'><p>a {i}</p></div><div class='left sidebar'>c {i}</div></body>", "<body><form id=f><div><p>a {i}</p></div><nav>c</nav></form></body>", "<body class=search><form><main><p>a {i}</p><form>c</form></main></form></body>", "<body><p>a {i}</p><form><p>c</p></form></body>"]
+def pages_of(spark, data):
+    out = wrappers.main_text(spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("page_id", "url", "html", "'x' AS text", "'y' AS host", "1 AS piece"), Scratch(spark))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    return {r["page_id"]: r["text"] for r in out.collect()}
+
+
+def test_pages_keep_text_whatever_its_classes(spark):
+    bodies = ["<body class='no-sidebar'><article class='post has-comments'><p>a {i}</p></article><div class=comments>c {i}</div></body>", "<body><div class='content with-sidebar'><p>a {i}</p></div><div role=complementary>c {i}</div></body>", "<body><form id=f><div><p>a {i}</p></div><nav>c</nav></form></body>", "<body class=search><form><main><p>a {i}</p><form>c</form></main></form></body>", "<body><p>a {i}</p><form><p>c</p></form></body>"]
+    bodies.append("<body><div class=menu>c {i}</div><article><p class=comment>a <label class='search-results'>{i}</label></p><article>c {i}</article><aside>c</aside></article></body>")
     data = [(10 * k + i, f"http://k{k}.example/{i}", f"<html>{x.replace('{i}', str(i))}</html>") for k, x in enumerate(bodies) for i in range(4)]
-    out = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark)).collect()}
-    assert out == {10 * k + i: f"a {i}" for k in range(len(bodies)) for i in range(4)}
+    assert pages_of(spark, data) == {10 * k + i: f"a {i}" for k in range(len(bodies)) for i in range(4)}
+
+
+def test_pages_are_read_by_the_wrapper_of_their_host(spark):
+    """Without an article, only what other pages of the host show tells main text from the rest."""
+    page = "<html><body><div><a href=/>Home</a> <b>The Site</b></div><div><h2>T{i}</h2><p>body {i}</p>{more}</div><ul><li><a href=/1>go {i}</a></li><li><a href=/2>on {i}</a></li></ul><p>All rights</p></body></html>"
+    data = [(i, f"http://a.example/{i}", page.replace("{i}", "abcdef"[i]).replace("{more}", "<blockquote>only here</blockquote>" if i == 2 else "")) for i in range(6)]
+    data += [(100, "http://b.example/", data[0][2])] * 2
+    out = pages_of(spark, data)
+    assert {i: out[i] for i in range(6)} == {i: f"T{x}\n\nbody {x}" + ("\n\nonly here" if i == 2 else "") for i, x in enumerate("abcdef")}
+    assert out[100] != out[0] and "The Site" in out[100]
+    alone = {i: wrappers.extract(x) for i, _, x in data[:6]}
+    assert all(alone[i] != out[i] for i in alone)
+
+
+def test_pages_of_many_shapes_are_aligned_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    rng = random.Random(31)
+    tags = ["h2", "h3", "ul", "pre", "table", "section"]
+    data = []
+    for i in range(40):
+        own = [rng.choice(tags) for _ in range(rng.randint(1, 6))]
+        data.append((i, "http://many.example/x", "<html><body><div>Site</div><div>" + "".join(f"<{t}>{t} {i} {k}</{t}>" for k, t in enumerate(own)) + "</div></body></html>"))
+    data += [(50, "http://many.example/long", "<html><body><div>Site</div><div>" + "<p>x <b>y</b></p>" * 3000 + "</div></body></html>"), (51, None, None), (52, "http://many.example/", ""), (51, None, None)]
+    out = pages_of(spark, data)
+    for i in range(40):
+        own = out[i].split("\n\n")
+        assert own == [x for x in wrappers.extract(data[i][2]).split("\n\n") if x != "Site"] and own
+    assert out[50] == "\n\n".join(["x y"] * 3000) and out[51] == out[52] == ""
+    assert wrappers.main_text(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark)).count() == 0
 
 
 def test_pages_without_article_keep_all_that_varies(spark):

@@ -143,9 +143,12 @@ def test_wrapper_alignment_and_extraction():
     page = "<html><body><nav><a href=/x>menu</a></nav><div class='ad box'>buy</div><article><h1>T &amp; t</h1><p><b>One<br><p>Two\n  words</p><aside>no</aside></article><footer>f</footer></body></html>"
     assert wrappers.extract(page) == "T & t\n\nOne\n\nTwo words"
     assert wrappers.extract(None) == "" and wrappers.extract("plain  text") == "plain text"
-    a, b = ([[x, False] for x in y] for y in (["<p>", "#", "</p>"], ["<p>", "<i>", "#", "</p>"]))
-    assert wrappers.expression(wrappers.align(a, b)) == "<p> (<i>)? # </p>"
-    assert wrappers.fold("<ul> <li> # </li> <li> # </li> <li> # </li> </ul>".split())[1] == "(<li> # </li>)+"
+    a, b = ([[x, False, {}] for x in y] for y in (["<p>", "#", "</p>"], ["<p>", "<i>", "#", "</p>"]))
+    both = wrappers.align(a, b)
+    assert wrappers.expression(both) == "<p> (<i>)? # </p>"
+    assert wrappers.match(["<p>", "#", "</p>"], both) == [0, 2, 3] and wrappers.match(["<p>", "<b>", "</p>"], both) == [0, -1, 3]
+    folded, place = wrappers.fold("<ul> <li> # </li> <li> # </li> <li> # </li> </ul>".split())
+    assert folded == ["<ul>", "(<li> # </li>)+", "</ul>"] and place == [0, *[1] * 9, 2]
     assert wrappers.host("https://a.example.com:80/x") == "a.example.com" and wrappers.host(None) == ""
 
 
