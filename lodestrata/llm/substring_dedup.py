@@ -4,11 +4,12 @@ A window is ``WINDOW`` consecutive words of one document. It is a repeat if its
 document with a smaller doc_id. Every word that a repeat covers goes.
 
 1. Phrases: of every run of WINDOW words the smallest hash among its ``PHRASE``-word runs is kept
-   (winnowing), so two equal windows hold the same kept phrase. Phrases of one document only fall away.
-2. Automata: each block of documents compiles the phrases that recur in it into an Aho-Corasick automaton
-   with pyahocorasick, and its documents stream through it once. That finds every occurrence, and the
-   windows around occurrences are all that can recur. Blocks are the shards, so an automaton's size is
-   bounded by its block, and the work follows the text.
+   (winnowing), so two equal windows hold the same kept phrase. Only hashes travel. A phrase kept in several
+   documents is confirmed: its words are read from the document with the smallest doc_id.
+2. Automata: documents are dealt over blocks, which are the shards. A block's confirmed phrases are compiled
+   into one Aho-Corasick automaton with pyahocorasick, and all documents of the block stream through it. That
+   alone says where confirmed phrases occur, and the windows around occurrences are all that can recur. A block's
+   automaton is bounded by its text, and every document is read once, however many phrases there are.
 3. Windows: the smallest doc_id of each is an aggregate with map-side combine over 96-bit hashes; the
    join back is one that Spark splits where a passage is in very many documents.
 
@@ -38,6 +39,8 @@ WINDOW = 50
 PHRASE = 25
 #: Bytes of text in a block, which bounds its automaton.
 BLOCK_BYTES = 4_000_000
+#: Bytes of text in a partition that streams blocks.
+PARTITION_BYTES = 64_000_000
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -66,69 +69,81 @@ def _read(window: int, phrase: int):
     return run
 
 
+def _confirm(phrase: int):
+    """(text, [(at, gram)]) -> the words of every gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, phrases = [], []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = split_words(text)
+                for own in wanted:
+                    grams.append(own["gram"])
+                    phrases.append(b" ".join(words[own["at"] : own["at"] + phrase]))
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(phrases, pa.binary())], names=["gram", "phrase"])
+
+    return run
+
+
 class Phrases:
     """Aho-Corasick automaton over phrases given as word runs."""
 
-    def __init__(self):
+    def __init__(self, phrases: list[bytes]):
         import ahocorasick
 
         self.vocabulary: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-
-    def number(self, words: list[bytes]) -> tuple[int, ...]:
         put = self.vocabulary.setdefault
-        return tuple([put(w, len(self.vocabulary) + 1) for w in words])
-
-    def add(self, phrase: tuple[int, ...]) -> None:
-        self.automaton.add_word(phrase, len(phrase))
+        for phrase in phrases:
+            own = tuple([put(w, len(self.vocabulary) + 1) for w in phrase.split()])
+            self.automaton.add_word(own, len(own))
+        self.automaton.make_automaton()
 
-    def occurrences(self, numbers: tuple[int, ...]) -> np.ndarray:
+    def occurrences(self, words: list[bytes]) -> np.ndarray:
         """Start of every phrase in a document, in order of their ends."""
+        if not self.vocabulary:
+            return np.zeros(0, dtype=np.int64)
+        get = self.vocabulary.get
+        numbers = tuple([get(w, 0) for w in words])  # 0 is in no phrase
         return np.array([end - size + 1 for end, size in self.automaton.iter(numbers)], dtype=np.int64)
 
 
-def _candidate_windows(block: list[tuple], window: int, phrase: int) -> Iterator[np.ndarray]:
-    """Window starts that can recur, for each (words, phrase positions) of a block."""
-    found = Phrases()
-    numbers = [found.number(words) for words, _ in block]
-    for own, (_, at) in zip(numbers, block, strict=True):
-        for p in at:
-            found.add(own[p : p + phrase])
-    found.automaton.make_automaton()
-    for own in numbers:
-        last = len(own) - window
-        starts = found.occurrences(own)
-        edge = np.zeros(len(own) + 2, dtype=np.int64)
-        np.add.at(edge, np.clip(starts - (window - phrase), 0, None), 1)
-        np.add.at(edge, np.minimum(starts, last) + 1, -1)
-        yield np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
+def candidate_windows(n: int, starts: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows of n words that hold a phrase at one of ``starts``."""
+    last = n - window
+    edge = np.zeros(n + 2, dtype=np.int64)
+    np.add.at(edge, np.clip(starts - (window - phrase), 0, None), 1)
+    np.add.at(edge, np.minimum(starts, last) + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
 
 
 def _locate(window: int, phrase: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        keys: list[tuple] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            starts, one, two = [], [], []
-            for (words, _), own in zip(block, _candidate_windows(block, window, phrase), strict=True):
-                hashes = WORD_HASHES.of(words)
-                starts.append(own.astype(np.int32))
-                one.append(long_grams(hashes, window)[own].astype(np.int64))
-                two.append((long_grams(hashes * _OTHER + np.uint64(1), window)[own] >> np.uint64(33)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int32()))], names=["doc_id", "tkey", "starts", "h1", "h2"])
+    """Rows sorted by block and kind -> documents with windows that can recur."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, phrases, copies, found = None, [], set(), None
         for batch in batches:
-            for doc_id, tkey, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                block.append((split_words(text), at))
-                keys.append((doc_id, tkey))
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield close()
-                    block, keys, size = [], [], 0
-        if block:
-            yield close()
+            out: dict = {k: [] for k in ("doc_id", "tkey", "text", "starts", "h1", "h2")}
+            for own, kind, words, doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if own != block:
+                    block, phrases, copies, found = own, [], set(), None
+                if kind == 0:
+                    phrases.append(words)
+                    continue
+                if kind == 1 or (doc_id, tkey) in copies:
+                    copies.add((doc_id, tkey))
+                    continue
+                if found is None:
+                    found = Phrases(phrases)
+                words = split_words(text)
+                if len(words) < window or not len(at := found.occurrences(words)):
+                    continue
+                starts = candidate_windows(len(words), at, window, phrase)
+                hashes = WORD_HASHES.of(words)
+                for k, v in zip(out, (doc_id, tkey, text, starts.astype(np.int32), long_grams(hashes, window)[starts].astype(np.int64), (long_grams(hashes * _OTHER + np.uint64(1), window)[starts] >> np.uint64(33)).astype(np.int32)), strict=True):
+                    out[k].append(v)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
 
@@ -168,17 +183,33 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
     copies = read.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
     read_first = scratch.cut(salted(read, scratch.cut(copies, "copies"), "sha", "doc_id").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "placed-words")
     scratch.drop("words")
-    sources = read_first.where("NOT copy AND doc_id IS NOT NULL AND size(grams) > 0")
+    scratch.drop("copies")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(blocks))
+    sources = read_first.where("NOT copy AND doc_id IS NOT NULL AND size(grams) > 0").select("doc_id", "tkey", "grams", "at")
     phrases = sources.select("doc_id", "tkey", F.explode(F.arrays_zip("grams", "at")).alias("p")).select("doc_id", "tkey", F.col("p.grams").alias("gram"), F.col("p.at").alias("at"))
-    recurring = scratch.cut(phrases.groupBy("gram").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("gram"), "recurring")
-    where = phrases.join(recurring, "gram").groupBy("doc_id", "tkey").agg(F.collect_list("at").alias("at"))
-    candidates = scratch.cut(texts.join(where, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "at"), "candidates")
-
-    located = scratch.cut(candidates.mapInArrow(_locate(window, phrase), "doc_id long, tkey long, starts array<int>, h1 array<long>, h2 array<int>"), "windows")
+    recurring = scratch.cut(phrases.groupBy("gram").agg(F.min(F.struct("doc_id", "tkey", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("gram", "first.*"), "recurring")
+    places = recurring.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
+    # one row of each text that rows share
+    once = texts.join(places, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
+    confirmed = scratch.cut(once.select("text", "places").mapInArrow(_confirm(phrase), "gram long, phrase binary"), "confirmed")
+    scratch.drop("recurring")
+    wanted = phrases.select(block.alias("block"), "gram").distinct().join(confirmed, "gram")
+
+    # in a block come first its phrases, then the copies, which need no windows, then its texts
+    none = F.lit(None)
+    rows = wanted.select("block", F.lit(0).alias("kind"), "phrase", none.cast("long").alias("doc_id"), none.cast("long").alias("tkey"), none.cast("string").alias("text"))
+    rows = rows.unionByName(read_first.where("copy").select(block.alias("block"), F.lit(1).alias("kind"), none.cast("binary").alias("phrase"), "doc_id", "tkey", none.cast("string").alias("text")))
+    rows = rows.unionByName(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select(block.alias("block"), F.lit(2).alias("kind"), none.cast("binary").alias("phrase"), "doc_id", "tkey", "text"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    stream = rows.repartition(parts, "block").sortWithinPartitions("block", "kind")
+    located = scratch.cut(stream.mapInArrow(_locate(window, phrase), "doc_id long, tkey long, text string, starts array<int>, h1 array<long>, h2 array<int>"), "windows")
+    scratch.drop("confirmed")
     windows = located.select("doc_id", "tkey", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "tkey", F.col("w.starts").alias("start"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     firsts = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "firsts")
     gone = windows.join(firsts, ["h1", "h2"]).where("first < doc_id").groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
-    cut = candidates.join(gone, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "starts").mapInArrow(_cut(window), "doc_id long, tkey long, n_removed long, kept_sha binary, spans array<int>")
+    cut = located.select("doc_id", "tkey", "text").join(gone, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "starts").mapInArrow(_cut(window), "doc_id long, tkey long, n_removed long, kept_sha binary, spans array<int>")
     cut = scratch.cut(cut.groupBy("doc_id", "tkey").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha").alias("kept_sha"), F.first("spans").alias("spans")), "cut")
 
     whole = F.col("copy") & (F.col("n_words") >= window)
