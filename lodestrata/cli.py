@@ -186,10 +186,14 @@ def _fix(args) -> int:
     if args.max_rows and not args.dry_run:
         raise LoadError("a part of a file is not repaired")
     out = api.repair.plan(done, config, args.min_confidence, args.drop_duplicates)
-    if args.format == "json" or args.dry_run or args.explain:
+    if args.format == "json" or args.show_values:
         sys.stdout.write(report.plan_json(out, args.show_values))
-        if args.dry_run:
-            return 0
+    elif args.dry_run or args.explain:
+        sys.stdout.write(report.plan_text(out, args.explain))
+    if args.dry_run:
+        return 0
+    if (gates := api.repair.hazards(out)) and not args.force:
+        raise LoadError(f"{args.path}: not written ({', '.join(gates)}); a spreadsheet could run what it would hold, --force writes it all the same")
     to, log = args.output or f"{os.path.splitext(args.path)[0]}.fixed", args.log or f"{os.path.splitext(args.path)[0]}.changes"
     if {os.path.abspath(to), os.path.abspath(log)} & {os.path.abspath(args.path)} or to == log:
         raise OSError("output and log may not replace the input or each other")

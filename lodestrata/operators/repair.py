@@ -143,6 +143,32 @@ def _apply(df: DataFrame, source: str, to: str, steps: str | None, rules: list[t
     return df
 
 
+#: What each rule does, for a reader.
+EXPLAINED = {
+    "trim-whitespace": "cuts blanks at both ends; nothing between them changes",
+    "collapse-spaces": "makes several blanks in a row one; names that differ in spacing alone become equal",
+    "blank-null": "empties cells that say in words that there is no value",
+    "plain-number": "writes numbers without currency signs, grouping or brackets, with a point; only where the convention is proven",
+    "iso-date": "writes days as year-month-day; only where the order of day and month is proven",
+    "canonical-label": "writes labels that differ in case or spacing in the best capitalised, most frequent spelling",
+    "sentinel-null": "empties numbers that stand for no value, such as -999",
+    "drop-duplicates": "keeps the first of rows that are equal once repaired",
+}
+
+
+def hazards(repair: Repair) -> list[str]:
+    """Why the repaired table should not be written: cells that only the repair made formulas, or a name that is one."""
+    out = []
+    made = [N.is_formula_like(F.col(f"r{p.index}")) & ~N.is_formula_like(F.col(f"c{p.index}")) for p in repair.done.columns]
+    if made and not repair.rows.where(F.array_contains(F.array(*made), True)).isEmpty():
+        out.append("introduced-formula")
+    names = repair.done.table.header
+    spark = repair.rows.sparkSession
+    if any(n.strip()[:1] in tuple("=+-@") for n in names) and not spark.createDataFrame([(n,) for n in names], "v string").where(N.is_formula_like(F.col("v"))).isEmpty():
+        out.append("header-hazard")
+    return out
+
+
 def plan(done: Profiled, config: Config | None = None, min_confidence: str = "high", drop_duplicates: bool = False) -> Repair:
     """The repaired table with its audit; nothing runs until its frames are used."""
     config = config or Config()

@@ -80,6 +80,25 @@ def rollup(reports: list[tuple[str, list[Finding]]], top: int = 8) -> dict:
     return {"files": {path: summary(found) for path, found in reports}, "shared": [{"code": k, "files": n} for n, k in common]}
 
 
+def plan_text(repair, explain: bool = False) -> str:
+    """A repair preview for a reader: counts by column and rule, what is refused and why; no cell values."""
+    from pyspark.sql import functions as F
+
+    from .repair import EXPLAINED
+
+    counts = repair.changes.groupBy("column_index", "column", "rule", "confidence").agg(F.count("*").alias("n")).orderBy("column_index", "rule").collect()
+    out = [plural(sum(r["n"] for r in counts), "change") + f" in {plural(len({r['column_index'] for r in counts}), 'column')}"]
+    out += [f"  {safe(r['column'])}: {r['rule']} ({r['confidence']})  {plural(r['n'], 'cell')}" for r in counts]
+    if repair.dropped is not None:
+        out.append("  rows: drop-duplicates (high)  " + plural(repair.dropped.count(), "row"))
+    if repair.refusals:
+        out += ["", f"{plural(len(repair.refusals), 'refusal')}:", *[f"  {safe(r.column)}: {r.rule}: {r.reason}" for r in repair.refusals]]
+    if explain:
+        used = list(dict.fromkeys(r["rule"] for r in counts)) + (["drop-duplicates"] if repair.dropped is not None else [])
+        out += ["", "What the rules do:", *[f"  {rule}: {EXPLAINED[rule]}" for rule in used]]
+    return "\n".join(out) + "\n"
+
+
 def plan_json(repair, show_values: bool = False, limit: int = 20) -> str:
     """A repair preview: counts by column and rule; values only when asked for, and never private ones."""
     from pyspark.sql import functions as F

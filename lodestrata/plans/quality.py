@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import os
 
 from pyspark.sql import functions as F
 
@@ -15,11 +14,9 @@ from ..operators import impact as I
 from ..operators import references as R
 from ..operators import repair as P
 from ..operators.config import ColumnPolicy, Config
-from ..operators.drift import compare
-from ..operators.initialize import learn, to_toml
 from ..operators.profile import DATE_EVIDENCE, NUMBER_EVIDENCE, profile, profile_frame
 from ..sources.tables import TextTable, from_dataframe, read_csv, read_parquet
-from .catalog import register
+from .catalog import register, shared_path
 from .dirt import cte, dirty
 
 #: What counts as now, so that results do not age.
@@ -68,11 +65,6 @@ def profile_lineitem(spark, sf_dir):
     return profile_frame(done).select(F.col("column").alias("column_name"), "kind", "n_rows", "n_null", F.col("distinct").alias("distinct_values"), "min", "max", F.round("median", 6).alias("median"))
 
 
-@register("profile_orders_dirty")
-def profile_orders_dirty(spark, sf_dir):
-    return profile_frame(profile(dirty(spark, sf_dir, "orders"), NOW))
-
-
 @register("robust_stats_outliers", """
 WITH m AS (SELECT median(value) AS med FROM events), a AS (SELECT median(abs(value - med)) AS mad FROM events, m)
 SELECT round(med, 6) AS median, round(mad, 6) AS mad, count(*) FILTER (abs(0.6745 * (value - med) / mad) > 6.0) AS n_outliers
@@ -302,11 +294,6 @@ def drift_categories(spark, sf_dir):
     return categories(new, 0).join(categories(old, 0), "value", "left_anti")
 
 
-@register("drift_findings")
-def drift_findings(spark, sf_dir):
-    return C.findings_frame(spark, compare(*_halves(spark, sf_dir, ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])))
-
-
 # --- repair and impact -----------------------------------------------------------------------------
 
 _BEST = f"""WITH {cte('orders')}, t AS (SELECT priority AS raw, CASE WHEN {_is_null('priority')} THEN '' ELSE regexp_replace({_strip('priority')}, ' +', ' ', 'g') END AS v FROM d),
@@ -383,32 +370,12 @@ def impact_duplicates(spark, sf_dir):
     return I.duplicate_impact(I.prepare(done), "value").select("duplicate_rows", F.round("duplicate_amount", 4).alias("duplicate_amount"))
 
 
-# --- whole reports ---------------------------------------------------------------------------------
-
-
-@register("findings_orders_dirty")
-def findings_orders_dirty(spark, sf_dir):
-    return C.findings_frame(spark, C.run_checks(profile(dirty(spark, sf_dir, "orders"), NOW), Config(key=["order_id"])))
-
-
-@register("header_checks")
-def header_checks(spark, sf_dir):
-    table = _read(spark, sf_dir, "nation")
-    odd = TextTable(table.df, ["id", " ID ", "id"])
-    return C.findings_frame(spark, C.header(profile(odd, NOW), Config()))
-
-
-@register("init_config")
-def init_config(spark, sf_dir):
-    found = C.run_checks(profile(_read(spark, sf_dir, "customer"), NOW))
-    return spark.createDataFrame([(to_toml(learn(found)),)], "config string")
+# --- files ------------------------------------------------------------------------------------------
 
 
 @register("csv_round_trip", "SELECT CAST(n_nationkey AS STRING) AS n_nationkey, n_name, CAST(n_regionkey AS STRING) AS n_regionkey FROM nation")
 def csv_round_trip(spark, sf_dir):
-    # written where the session keeps shared files, so that executors and the driver see one folder
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodestrata").rstrip("/")
-    path = f"{root}/csv-{os.getpid()}-{spark.sparkContext.applicationId}"
+    path = shared_path(spark, "csv")
     spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     table = read_csv(spark, path)
     return table.df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(table.header)])
