@@ -11,13 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where all of Spark is one process and the session names no folder, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints/lodestrata"
 
 
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = DEFAULT_DIR
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
