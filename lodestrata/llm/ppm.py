@@ -5,8 +5,8 @@ and one end. As bytes, blanks stand between words and a line feed for the end.
 
 The pretrained trie holds byte contexts of up to ``ORDER`` bytes with the counts of the byte that
 followed, gathered from all training documents. A byte is predicted in the longest context known; if
-the context has not seen it, the model escapes (method C: the distinct bytes seen weigh against all
-counts) to the next shorter context with the bytes of the longer one excluded, down to a uniform choice
+the context has not seen it, the model escapes (method D: half a count of every distinct byte seen goes to
+the escape) to the next shorter context with the bytes of the longer one excluded, down to a uniform choice
 among bytes never seen. Excluded counts depend on the context alone, so they are stored with it and the
 code length of a byte is a table look-up.
 
@@ -348,8 +348,8 @@ class Model:
             fresh = np.where(known, self.distinct[k][context] if len(self.distinct[k]) else 0, 0) - gone_distinct[open_]
             some = known & (fresh > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                seen = np.log10((self.counts[k][at] if len(self.counts[k]) else np.zeros(len(at))) / (total + fresh))
-                escape = np.log10(fresh / (total + fresh))
+                seen = np.log10(((self.counts[k][at] if len(self.counts[k]) else np.zeros(len(at))) - 0.5) / total)
+                escape = np.log10(fresh / (2 * total))
             out[open_[hit]] += seen[hit]
             left = ~hit
             out[open_[left & some]] += escape[left & some]
@@ -390,11 +390,11 @@ def code_length(data: bytes, order: int = ORDER) -> float:
             open_ = {s: n for s, n in counts.items() if s not in excluded}
             if not open_:
                 continue
-            total = sum(open_.values()) + len(open_)
+            total = sum(open_.values())
             if symbol in open_:
-                bits -= np.log2(open_[symbol] / total)
+                bits -= np.log2((open_[symbol] - 0.5) / total)
                 break
-            bits -= np.log2(len(open_) / total)
+            bits -= np.log2(len(open_) / (2 * total))
             excluded |= set(open_)
         else:
             bits += np.log2(256 - len(excluded))

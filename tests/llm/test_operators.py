@@ -228,6 +228,42 @@ def test_ppm_base_matches_brute_force(spark, docs):
     assert ppm.score(empty(spark), Scratch(spark)).count() == 0
 
 
+def test_ppm_scores_match_brute_force(spark):
+    """A trie of dictionaries, read byte by byte with escapes and exclusion."""
+    import math
+
+    rng = random.Random(17)
+    data = [(i, " ".join(rng.choice(["Ab", "abc", "b", "cab", "é", "x"]) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(None, "ab zz"), (3, "ab ab"), (50, None), (51, "q" * 400)]
+    counts: dict[bytes, Counter] = {}
+    for d, x in data:
+        if zlib.crc32(str(d).encode()) % 7 != 2 or d is None:
+            own = b"\n" * 5 + b" ".join((x or "").lower().encode().split()) + b"\n"
+            for i in range(5, len(own)):
+                for k in range(6):
+                    counts.setdefault(own[i - k : i], Counter())[own[i]] += 1
+
+    def price(context: bytes, symbol: int) -> float:
+        out, excluded = 0.0, set()
+        for k in range(5, -1, -1):
+            seen = counts.get(context[5 - k :], {})
+            open_ = {s: n for s, n in seen.items() if s not in excluded}
+            if open_:
+                total = sum(open_.values())
+                if symbol in open_:
+                    return out + math.log10((open_[symbol] - 0.5) / total)
+                out += math.log10(len(open_) / 2 / total)
+            excluded |= set(seen)
+        return out - math.log10(256 - len(excluded))
+
+    out = ppm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), Scratch(spark)).collect()
+    texts = {}
+    for d, x in data:
+        texts.setdefault(d, set()).add(b"\n" * 5 + b" ".join((x or "").lower().encode().split()) + b"\n")
+    assert len(out) == len(data)
+    for r in out:
+        assert any(math.isclose(r["score"], sum(price(own[i - 5 : i], own[i]) for i in range(5, len(own))), rel_tol=1e-5) for own in texts[r["doc_id"]])
+
+
 def test_ppm_keeps_every_run_of_the_corpus(spark):
     import math
 
