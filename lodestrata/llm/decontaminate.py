@@ -5,8 +5,9 @@ outside ASCII. Every window of ``WINDOW`` consecutive words of a test item (an i
 is one window) goes into one automaton over word numbers. Each document runs through it once; matches
 are word positions, which map back to character offsets of the original text.
 
-The automaton is broadcast as a word list of checked size: beyond ``AUTOMATON_BYTES`` of benchmark text
-the items are dealt into several automata, each of which scans the documents in turn.
+The automaton is built in every worker from a broadcast list of test texts of checked size. A byte of their
+text costs about 60 bytes of automaton, so one automaton takes ``AUTOMATON_BYTES`` of it; the items of a larger
+table are dealt into several, each of which scans the documents in turn.
 
 Null or empty texts have no words and no hits. Items without words, or with a null id or text, have no
 windows. Rows that repeat an item, or a window that several items share, count for each distinct item
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WINDOW = 10
-AUTOMATON_BYTES = 24_000_000
+#: Benchmark text of one automaton, which is some 120 MB in every worker.
+AUTOMATON_BYTES = 2_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\\x80-\U0010ffff]+")
@@ -49,17 +52,26 @@ class Windows:
         import ahocorasick
 
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        #: Words of a window, and the items that have it, by the window's number.
+        self.sizes = array("B") if window < 256 else array("L")
+        self.owners: list = []
         for item, text in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             for i in range(max(1, len(own) - window + 1)) if own else ():
-                owners.setdefault(tuple(own[i : i + window]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, who in owners.items():
-            self.automaton.add_word(key, (len(key), frozenset(who)))
-        if owners:
+                key = tuple(own[i : i + window])
+                k = self.automaton.get(key, -1)
+                if k < 0:
+                    self.automaton.add_word(key, len(self.owners))
+                    self.sizes.append(len(key))
+                    self.owners.append(item)
+                elif isinstance(self.owners[k], set):
+                    self.owners[k].add(item)
+                elif self.owners[k] != item:
+                    self.owners[k] = {self.owners[k], item}
+        self.empty = not self.owners
+        if not self.empty:
             self.automaton.make_automaton()
-        self.empty = not owners
 
     def scan(self, own: list[bytes]) -> tuple[list[list[int]], set]:
         """([first, past-the-last] word of every stretch that windows hit, items with an occurring window)."""
@@ -68,15 +80,15 @@ class Windows:
         if self.empty or not own:
             return spans, items
         known = self.vocabulary.get
-        for end, (size, who) in self.automaton.iter(tuple([known(w, 0) for w in own])):
-            first = end - size + 1
+        for end, k in self.automaton.iter(tuple([known(w, 0) for w in own])):
+            first, who = end - self.sizes[k] + 1, self.owners[k]
             while spans and spans[-1][0] >= first:
                 spans.pop()
             if spans and spans[-1][1] >= first:
                 spans[-1][1] = end + 1
             else:
                 spans.append([first, end + 1])
-            items |= who
+            items |= who if isinstance(who, set) else {who}
         return spans, items
 
 
