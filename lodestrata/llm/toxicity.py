@@ -12,14 +12,14 @@ twice. The machine is trained in the space of ``LANDMARKS`` words. Its weights a
 their subsequences, so they collapse into one table of weights by subsequence, and a text is scored by
 looking its subsequences up, in bulk, without a landmark in sight.
 
-Other marks stand in clean texts as well, but seldom: runs that toxic texts of a language carry in some share
-of their words with far higher odds than its clean texts (a likelihood-ratio test, at a chance over all runs,
-and near the language's best). They are counted as they stand.
+Other marks stand in clean texts as well, but seldom: runs that toxic texts carry in some share of their words
+with far higher odds than clean texts (a likelihood-ratio test, at a chance over all runs). The best, and those
+near it, make a set; the next set comes from the toxic texts that none of these explains, and so on, so that each
+language gets its own. They are counted as they stand. No column but the text is looked at.
 
 A text's probability is a logistic function of its highest words and of how many words are above the
-margin, and of the share of words with marks of the second kind for each language that has them, fitted on
-labelled texts that the marks did not come from. Languages are those of the column ``lang``; without it all
-texts are taken together.
+margin, and of the share of words with marks of each set of the second kind, fitted on
+labelled texts that the marks did not come from.
 
 Null and empty texts, and texts without words, score as a text whose words are all unremarkable. Null
 labels, labels without a document and labels with a null doc_id teach nothing. With labels of one class
@@ -50,7 +50,7 @@ POSITIVE, NEGATIVE = 1_500, 4_000
 #: Chance, over all runs, that a character run is taken for a mark of toxic texts by accident.
 CHANCE = 1e-3
 #: Shares of a text's words with a run that are told apart in the contrast of toxic and clean texts, its least
-#: odds ratio, and its least likelihood ratio, of the language's largest.
+#: odds ratio, and its least likelihood ratio, of a set's largest.
 SHARES = (0.0, 0.005, 0.01, 0.02)
 ODDS = 8.0
 NEAR_BEST = 0.8
@@ -143,11 +143,11 @@ class Model:
     weights: list[float]
     bias: float
     base: float
-    #: Patterns of the marks of the second kind, by language.
+    #: Patterns of the marks of the second kind, by set.
     marks: list[str] = dataclasses.field(default_factory=list)
 
     def summary(self, text: str | None) -> list[float]:
-        """[highest word, second highest, log of 1 + words above the margin, log share of marks by language]."""
+        """[highest word, second highest, log of 1 + words above the margin, log share of marks by set]."""
         values = word_scores(text, self.table) + self.intercept if text else np.zeros(0)
         if not len(values):
             return [-1.0, -1.0, 0.0] + [math.log(LEAST_SHARE)] * len(self.marks)
@@ -180,31 +180,37 @@ def witnesses(words: list[set[str]], toxic: np.ndarray) -> set[str]:
     return {run for run, n in in_toxic.items() if in_clean[run] <= min(allowed, n // 20) and n >= least}
 
 
-def contrasts(words: list[set[str]], toxic: np.ndarray, groups: list) -> dict[object, set[str]]:
-    """By group (language): character runs that its toxic texts carry in some number of words with higher odds than its clean ones."""
-    found: dict = {}
-    for group in sorted(set(groups), key=str):
-        own = [(w, bool(y)) for w, y, g in zip(words, toxic, groups, strict=True) if g == group]
-        n = [sum(y == k for _, y in own) for k in (False, True)]
-        if not all(n):
-            continue
-        carried = (Counter(), Counter())
-        for w, y in own:
-            in_words = Counter(run for word in w for run in _runs(word))
-            carried[y].update((run, k) for run, c in in_words.items() for k in SHARES if c > k * len(w))
-        least = statistics.NormalDist().inv_cdf(1 - CHANCE / max(1, len(carried[True])))
-        share, ratios = n[1] / len(own), {}
-        for key, a in carried[True].items():
-            b = carried[False][key]
-            cells = (a + 0.5, n[1] - a + 0.5, b + 0.5, n[0] - b + 0.5)
+def contrasts(words: list[set[str]], toxic: np.ndarray) -> list[set[str]]:
+    """Sets of character runs that toxic texts carry in some share of their words with higher odds than clean ones.
+
+    Each set is what tells most of the toxic texts that the sets before it have not explained: other languages, mostly.
+    """
+    n = [int((toxic == k).sum()) for k in (0, 1)]
+    carried: list[dict] = []
+    for own in words:
+        in_words = Counter(run for word in own for run in _runs(word))
+        carried.append({(run, k) for run, c in in_words.items() for k in SHARES if c > k * len(own)})
+    clean = Counter(key for own, y in zip(carried, toxic, strict=True) if not y for key in own)
+    left = [own for own, y in zip(carried, toxic, strict=True) if y]
+    least = statistics.NormalDist().inv_cdf(1 - CHANCE / max(1, len(set().union(*left)))) ** 2 if left else 0.0
+    found: list[set[str]] = []
+    while left and n[0]:
+        m, ratios = len(left), {}
+        share = m / (m + n[0])
+        for key, a in Counter(key for own in left for key in own).items():
+            b = clean[key]
+            cells = (a + 0.5, m - a + 0.5, b + 0.5, n[0] - b + 0.5)
             if cells[0] * cells[3] < ODDS * cells[1] * cells[2]:
                 continue
-            expected = [(x + y) * z for x, y in ((a, b), (n[1] - a, n[0] - b)) for z in (share, 1 - share)]
-            ratio = 2 * sum(o * math.log(o / e) for o, e in zip((a, b, n[1] - a, n[0] - b), expected, strict=True) if o)
-            if ratio >= least**2:
-                ratios[key[0]] = max(ratio, ratios.get(key[0], 0.0))
-        if ratios:
-            found[group] = {run for run, ratio in ratios.items() if ratio >= NEAR_BEST * max(ratios.values())}
+            expected = [(x + y) * z for x, y in ((a, b), (m - a, n[0] - b)) for z in (share, 1 - share)]
+            ratio = 2 * sum(o * math.log(o / e) for o, e in zip((a, b, m - a, n[0] - b), expected, strict=True) if o)
+            if ratio >= least:
+                ratios[key] = ratio
+        if not ratios:
+            break
+        best = {key for key, ratio in ratios.items() if ratio >= NEAR_BEST * max(ratios.values())}
+        found.append({run for run, _ in best})
+        left = [own for own in left if best.isdisjoint(own)]
     return found
 
 
@@ -285,13 +291,13 @@ def _machine(positive: list[str], pool: list[str]) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The model; it is learnt from a sample of bounded size, on the driver."""
-    texts, y, counts, langs = quality.sample(docs, labels, label, per_class, "lang")
+    texts, y, counts = quality.sample(docs, labels, label, per_class)
     base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
-    return learn(texts, y, base, langs)
+    return learn(texts, y, base)
 
 
-def learn(texts: list[str], y: np.ndarray, base: float, langs: list) -> Model:
-    """The model of labelled texts, whose languages are langs, where a share of base has label 1."""
+def learn(texts: list[str], y: np.ndarray, base: float) -> Model:
+    """The model of labelled texts, where a share of base has label 1."""
     if len(set(y.tolist())) < 2:
         return Model(None, 0.0, [], 0.0, base)
     held = np.zeros(len(y), dtype=bool)
@@ -307,7 +313,7 @@ def learn(texts: list[str], y: np.ndarray, base: float, langs: list) -> Model:
     pool = sorted(set().union(clean, *(_tokens(t) for t, h, z in zip(texts, held, y, strict=True) if not h and not z)))
     rare = witnesses(words, toxic)
     others = [{w for w in own if rare.isdisjoint(_runs(w))} for own in words]
-    marks = [pattern(x) for x in contrasts(others, toxic, [langs[i] for i in np.flatnonzero(~held)]).values()]
+    marks = [pattern(x) for x in contrasts(others, toxic)]
     positive = sorted((w for w in seen if not rare.isdisjoint(_runs(w)) and not clean[w]), key=lambda w: (-seen[w], w))[:POSITIVE]
     if not positive and not marks:
         return Model(None, 0.0, [], 0.0, base)
