@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hash a worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Values of a signature.
 SIGNATURE = 96
 _SEED = 20_240_214
