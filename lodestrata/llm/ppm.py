@@ -42,7 +42,8 @@ WIDTH = ORDER + 1
 SHARDS = 256
 #: Bytes of text in a block, whose distinct words and byte runs are held in memory at once.
 BLOCK_BYTES = 12_000_000
-CHUNK_BYTES = 2_000_000
+#: Bytes of text whose words and byte runs are held one by one, repeated ones too, in many times that memory.
+CHUNK_BYTES = 500_000
 END = 10
 _PAD = bytes([END]) * ORDER
 END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 64 if xxhash.xxh64_intdigest(b"") >> 63 else 0)
@@ -73,6 +74,12 @@ def runs(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+def distinct_of(values: np.ndarray) -> np.ndarray:
+    """Distinct values, rising; sorts the array in place, faster than the hashes of np.unique."""
+    values.sort()
+    return values[np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]])]
+
+
 class Counter:
     """Counts of integers, compacted as they come."""
 
@@ -220,40 +227,55 @@ def _returned(keys: np.ndarray, shards: np.ndarray, values: dict[int, bytes], re
     return out
 
 
+def chunked(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First and last place of runs of lines of ``CHUNK_BYTES``; a longer line is one of its own."""
+    ends = [0]
+    while ends[-1] < len(lines):
+        length, end = 0, ends[-1]
+        while end < len(lines) and (length < CHUNK_BYTES or end == ends[-1]):
+            length, end = length + len(lines[end]) + 1, end + 1
+        ends.append(end)
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def _finish(total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.log10(total + distinct + 1)
         for batch in batches:
             for docs, size, body, shards, sent in zip(*(batch.column(i) for i in range(5)), strict=True):
                 values = dict(zip(shards.as_py(), sent.as_py(), strict=True))
-                text = pa.decompress(body.as_py(), decompressed_size=size.as_py(), codec="zstd", asbytes=True)
-                lines = text.split(b"\n")[:-1]
-                n_words = np.array([x.count(b" ") + 1 if x else 0 for x in lines], dtype=np.int64)
-                own = text.split()
-                number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+                lines = pa.decompress(body.as_py(), decompressed_size=size.as_py(), codec="zstd", asbytes=True).split(b"\n")[:-1]
+                spans = chunked(lines)
+                number: dict[bytes, int] = {}
+                words, n_words, found, held = [], [], [np.zeros(0, np.uint64)], 0
+                for a, b in spans:  # words and runs of a chunk at a time; of the block, words by number and distinct runs
+                    n_words.append(np.array([x.count(b" ") + 1 if x else 0 for x in lines[a:b]], dtype=np.int64))
+                    own = b" ".join(lines[a:b]).split()
+                    for w in dict.fromkeys(own):
+                        if w not in number:
+                            number[w] = len(number)
+                    words.append(np.fromiter(map(number.__getitem__, own), dtype=np.int32, count=len(own)))
+                    del own
+                    found.append(distinct_of(runs([x + b"\n" for x in lines[a:b]])[0]))
+                    held += len(found[-1])
+                    if held > 1_000_000:
+                        found = [distinct_of(np.concatenate(found))]
+                        held = 0
                 hashes = word_hashes(number)
                 keys = np.unique(hashes)
                 c = _returned(keys, word_shard(keys), values, unpack)[np.searchsorted(keys, hashes)]
                 gain = np.log10(c + 1.0)
-                word = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
-                doc = np.repeat(np.arange(len(lines)), n_words)
-                known_words = np.bincount(doc, c[word] > 0, len(lines)).astype(np.int64)
-                base = np.bincount(doc, gain[word], len(lines)) + gain[-1] - (n_words + 1) * scale
-                ends, found = [0], []
-                while ends[-1] < len(lines):
-                    length, end = 0, ends[-1]
-                    while end < len(lines) and (length < CHUNK_BYTES or end == ends[-1]):
-                        length, end = length + len(lines[end]) + 1, end + 1
-                    ends.append(end)
-                chunks = [[x + b"\n" for x in lines[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                for x in chunks:
-                    found.append(np.unique(runs(x)[0]))
-                grams = np.unique(np.concatenate(found))
+                grams = distinct_of(np.concatenate(found))
+                del found
                 table = Prices(grams, _returned(grams, shard_of(grams), values, lambda x: np.frombuffer(x, dtype=np.float32)))
-                out = []
-                for x in chunks:
-                    own, starts = runs(x)
+                known_words, base, out = [], [], []
+                for (a, b), word, n in zip(spans, words, n_words, strict=True):
+                    doc = np.repeat(np.arange(b - a), n)
+                    known_words.append(np.bincount(doc, c[word] > 0, b - a).astype(np.int64))
+                    base.append(np.bincount(doc, gain[word], b - a) + gain[-1] - (n + 1) * scale)
+                    own, starts = runs([x + b"\n" for x in lines[a:b]])
                     out.append(np.add.reduceat(table.find(own)[0], starts))
+                n_words, known_words, base = (np.concatenate(x) for x in (n_words, known_words, base))
                 ids = docs.as_py()
                 yield _batch({"doc_id": ids, "held_out": [held_out(x) for x in ids], "n_tokens": n_words + 1, "n_known": known_words + int(c[-1] > 0), "base_score": base, "score": np.concatenate(out)}, _SCORES)
 

@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import decontaminate, eliasfano, minhash, ppm, quality, shingles, substring_dedup, tokens, toxicity, wrappers
@@ -107,6 +109,40 @@ def test_ppm_is_a_distribution_and_fast_prices_agree():
     assert np.isclose(empty.scores([b"\n"])[0], -np.log10(256))
 
 
+def test_ppm_finishes_a_block_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    vocabulary = [bytes(rng.integers(97, 123, k % 9 + 1).tolist()) for k in range(3000)]
+    texts = [ppm.stream([vocabulary[k] for k in rng.integers(0, 3000, n)]) for n in rng.integers(0, 600, 300)]
+    streams = [b"\n", b"a\n", *texts * 8, b"\n"]
+    body = b"".join(streams)
+    assert len(body) > 3_000_000
+    grams = np.unique(np.concatenate([np.unique(ppm.runs(streams[k : k + 200])[0]) for k in range(0, len(streams), 200)]))
+    prices = -rng.random(len(grams)).astype(np.float32)
+    words = sorted(set(body.split()))
+    counts = np.append(rng.integers(0, 3, len(words)), 7)
+    hashes = ppm.word_hashes(words)
+    keys, of = np.unique(hashes), np.argsort(hashes)
+    cuts, order = ppm.dealt(ppm.shard_of(grams))
+    sent = {k: prices[order[a:b]].tobytes() for k, (a, b) in cuts.items()}
+    cuts, order = ppm.dealt(ppm.word_shard(keys))
+    sent |= {k: ppm.pack(counts[of][order[a:b]]) for k, (a, b) in cuts.items()}
+    columns = {"docs": [list(range(len(streams)))], "size": [len(body)], "body": [pa.compress(body, codec="zstd", asbytes=True)], "shards": pa.array([list(sent)], pa.list_(pa.int32())), "sent": [list(sent.values())]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    out = next(ppm._finish(1000, 100)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(body)
+    count = dict(zip(words, counts.tolist(), strict=False))
+    for k in [*range(5), 700, 1500, len(streams) - 2, len(streams) - 1]:
+        own = [*streams[k].split(), None]
+        row = {c: out.column(c)[k].as_py() for c in out.schema.names}
+        c = np.array([count.get(w, 7) for w in own])
+        assert (row["doc_id"], row["n_tokens"], row["n_known"]) == (k, len(own), (c > 0).sum())
+        assert np.isclose(row["base_score"], np.log10((c + 1) / 1101).sum())
+        assert np.isclose(row["score"], prices[np.searchsorted(grams, ppm.runs([streams[k]])[0])].astype(float).sum())
+
+
 def test_adaptive_code_length_learns():
     assert ppm.code_length(b"abcabcabc" * 30) < ppm.code_length(bytes(random.Random(2).choices(range(97, 123), k=270)))
     assert ppm.code_length(b"") == 0
