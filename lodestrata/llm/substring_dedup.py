@@ -41,6 +41,8 @@ PHRASE = 25
 BLOCK_BYTES = 4_000_000
 #: Bytes of text in a partition that streams blocks.
 PARTITION_BYTES = 64_000_000
+#: Bytes of a batch whose texts are held as Python objects at once.
+SLICE_BYTES = 2_000_000
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -48,9 +50,17 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, in slices of about ``SLICE_BYTES``."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _read(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, sha, grams, at = [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = split_words(text)
@@ -73,7 +83,7 @@ def _confirm(phrase: int):
     """(text, [(at, gram)]) -> the words of every gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             grams, phrases = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = split_words(text)
@@ -122,7 +132,7 @@ def _locate(window: int, phrase: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, phrases, copies, found = None, [], set(), None
-        for batch in batches:
+        for batch in _slices(batches):
             out: dict = {k: [] for k in ("doc_id", "tkey", "text", "starts", "h1", "h2")}
             for own, kind, words, doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if own != block:
@@ -150,7 +160,7 @@ def _locate(window: int, phrase: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, sha, spans = [], [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = split_words(text)
@@ -225,7 +235,7 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         at = batch.schema.get_field_index("text")
         out = []
         for text, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist(), strict=True):

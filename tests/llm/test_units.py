@@ -175,6 +175,25 @@ def test_cut_removes_words_and_keeps_the_rest():
     assert substring_dedup.covered(6, [0, 3], 2).tolist() == [True, True, False, True, True, False]
 
 
+def test_substring_workers_hold_a_part_of_a_batch():
+    rng = random.Random(8)
+    texts = [None, "", *[" ".join(rng.choices(["ab", "cde", "fghij", "k"], k=rng.randrange(1600))) for _ in range(4000)]]
+    ids, starts = pa.array(range(len(texts))), pa.array([[0, 60] if x and x.count(" ") > 120 else [] for x in texts], pa.list_(pa.int32()))
+    read, cut, strip = substring_dedup._read(50, 25), substring_dedup._cut(50), substring_dedup._strip
+    for run, more in ((read, {}), (cut, {"starts": starts}), (strip, {"__spans": starts})):
+        batch = pa.RecordBatch.from_pydict({"doc_id": ids, "tkey": ids, "text": pa.array(texts, pa.string()), **more})
+        alone = [run(iter([batch.slice(k, 1)])) for k in (0, 1, 2, 2500, len(texts) - 1)]
+        tracemalloc.start()
+        rows, at = [], 0
+        for out in run(iter([batch])):
+            rows += [out.slice(k - at, 1) for k in (0, 1, 2, 2500, len(texts) - 1) if at <= k < at + len(out)]
+            at += len(out)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert at == len(texts) and peak < batch.nbytes / 2
+        assert [x.to_pylist() for x in rows] == [next(x).to_pylist() for x in alone]
+
+
 def test_wrapper_alignment_and_extraction():
     page = "<html><body><nav><a href=/x>menu</a></nav><div class='ad box'>buy</div><article><h1>T &amp; t</h1><p><b>One<br><p>Two\n  words</p><aside>no</aside></article><footer>f</footer></body></html>"
     assert wrappers.extract(page) == "T & t\n\nOne\n\nTwo words"
