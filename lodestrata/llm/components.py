@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import lean
 
 SALT = 16
 
@@ -50,7 +51,7 @@ def salted(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "
 def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """(id, component) of every id in ``links`` (a, b) that is not its component's smallest id."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    edges = scratch.cut(links.mapInArrow(_thin, "a long, b long"), name)
+    edges = scratch.cut(links.mapInArrow(lean(_thin), "a long, b long"), name)
     mark = _mark(edges)
     if not mark[0]:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import lean
 
 WINDOW = 10
 #: Benchmark text of one automaton, which is some 120 MB in every worker.
@@ -146,7 +147,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_
 
     def one(part: DataFrame, to: DataFrame, named: str) -> DataFrame:
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # of checked size
-        return to.mapInArrow(_scan(spark.sparkContext.broadcast(rows), window), f"{named}, {_ADDED}")
+        return to.mapInArrow(lean(_scan(spark.sparkContext.broadcast(rows), window)), f"{named}, {_ADDED}")
 
     if shards == 1:
         return one(items, docs, schema)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .components import SALT, components
 from .scratch import Scratch
 from .shingles import SIGNATURE, shingle_set, signature
+from .workers import lean
 
 DEPTH = 4
 TREES = SIGNATURE // DEPTH
@@ -186,7 +187,7 @@ def _links(tree: int, sig: np.ndarray, sets: list[np.ndarray], cls: np.ndarray,
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, on shingles of ``size`` words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.cut(texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "signatures")
+    signed = scratch.cut(texts.mapInArrow(lean(_sign(size)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls")), "set-classes")
     reps = usable.join(classes, (usable.k1 == classes.k1) & (usable.k2 == classes.k2) & (usable.doc_id == classes.cls), "left_semi").select(F.col("doc_id").alias("cls"), "k1", "sig").dropDuplicates(["cls", "k1"])
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
         "cls",
     )
     order = ["tree", "prefix", "deep", "cls"]
-    members = scratch.cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "tree int, prefix long, cls long, before long, shared int"), "members")
+    members = scratch.cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_neighbours), "tree int, prefix long, cls long, before long, shared int"), "members")
 
     pairs = members.where("before <> cls").groupBy(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b")).agg(F.sum("shared").alias("shared"))
     both = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("of"))
@@ -212,13 +213,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     wanted = members.select(F.col("cls").alias("doc_id")).distinct()
-    sets = scratch.cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingled, "id long, shingles binary"), "shingle-sets")
+    sets = scratch.cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lean(shingled), "id long, shingles binary"), "shingle-sets")
 
     def confirmed(rows: DataFrame, name: str) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         full = rows.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        return scratch.cut(full.mapInArrow(_confirm, "a long, b long").distinct(), name)
+        return scratch.cut(full.mapInArrow(lean(_confirm), "a long, b long").distinct(), name)
 
     links = confirmed(candidates, "links")
     found = components(links, scratch, "component-links")
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     )
     full = dealt.join(reps.select("cls", "sig"), "cls").join(sets.withColumnRenamed("id", "cls"), "cls").select("tree", "prefix", "i", "j", "blk", "cls", "comp", "sig", "shingles")
     keys = ["tree", "prefix", "i", "j"]
-    new = scratch.cut(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_open, "a long, b long").distinct(), "opened")
+    new = scratch.cut(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_open), "a long, b long").distinct(), "opened")
     found = components(links.unionByName(new), scratch, "component-links")
 
     label = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("component_id"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("salt"))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .wordtable import LONGEST, WordTable, buffer, slices
+from .workers import give_back, lean
 
 N_BEST = 4
 #: Bytes of text that are cut up at once.
@@ -217,7 +218,7 @@ class Pieces:
         data, edges = np.insert(data, edges[:-1][full], 32), edges + np.concatenate([[0], np.cumsum(full)])
         cut = np.zeros(len(data), dtype=bool)
         if len(data) > 1:
-            before = data[:-1].astype(np.int64)
+            before = data[:-1].astype(np.uint16)
             wide = np.zeros(len(before), dtype=bool)
             wide[1:] = (before[1:] & 0xC0 == 0x80) & (before[:-1] & 0xE0 == 0xC0)
             code = before.copy()
@@ -232,7 +233,9 @@ class Pieces:
         ends = places[words[1:]]
         length = np.diff(self.raw_first)[ids]
         at = np.concatenate([[0], np.cumsum(length)])
-        decoded = self.raw[np.repeat(self.raw_first[ids] - at[:-1], length) + np.arange(at[-1])]
+        source = np.repeat(self.raw_first[ids] - at[:-1], length)
+        source += np.arange(at[-1])
+        decoded = self.raw[source]
         return Coded(self, n, ids, ends, rows, words, starts, data, decoded, at[np.concatenate([[0], ends])])
 
     def decode(self, ids) -> str:
@@ -357,9 +360,10 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                     pa.array([a == b for a, b in zip(decoded, given, strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*batch.schema.names, "ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "decoded", "round_trip"])
+                give_back()
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {_ADDED}")
+    return docs.mapInArrow(lean(run), f"{schema}, {_ADDED}")
 
 
 def sha256(text: str) -> str:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import lean
+
 #: Labelled rows taken for each class at most, by hash of doc_id, and the longest text among them.
 SAMPLE_PER_CLASS = 2_000
 SAMPLE_MAX_CHARS = 60_000
@@ -158,10 +160,13 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tools = Compressors(shared.value) if shared.value.good else None
         for texts in batches:
             yield pd.Series([shared.value.base if tools is None else tools.score(x) for x in texts], dtype="float64")
 
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(scored)(batches)
+
     return docs.withColumn(column, probability(F.col("text")))

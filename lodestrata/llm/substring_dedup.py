@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .components import salted
 from .scratch import Scratch
 from .shingles import WORD_HASHES, long_grams, split_words, winnow
+from .workers import lean
 
 WINDOW = 50
 PHRASE = 25
@@ -189,7 +190,7 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
     ``spans`` holds the word positions where removed stretches begin and end, in turn.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
-    read = scratch.cut(texts.mapInArrow(_read(window, phrase), "doc_id long, tkey long, n_words long, sha binary, grams array<long>, at array<int>"), "words")
+    read = scratch.cut(texts.mapInArrow(lean(_read(window, phrase)), "doc_id long, tkey long, n_words long, sha binary, grams array<long>, at array<int>"), "words")
     copies = read.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
     read_first = scratch.cut(salted(read, scratch.cut(copies, "copies"), "sha", "doc_id").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "placed-words")
     scratch.drop("words")
@@ -203,7 +204,7 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
     places = recurring.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
     # one row of each text that rows share
     once = texts.join(places, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
-    confirmed = scratch.cut(once.select("text", "places").mapInArrow(_confirm(phrase), "gram long, phrase binary"), "confirmed")
+    confirmed = scratch.cut(once.select("text", "places").mapInArrow(lean(_confirm(phrase)), "gram long, phrase binary"), "confirmed")
     scratch.drop("recurring")
     wanted = phrases.select(block.alias("block"), "gram").distinct().join(confirmed, "gram")
 
@@ -214,12 +215,12 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
     rows = rows.unionByName(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select(block.alias("block"), F.lit(2).alias("kind"), none.cast("binary").alias("phrase"), "doc_id", "tkey", "text"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     stream = rows.repartition(parts, "block").sortWithinPartitions("block", "kind")
-    located = scratch.cut(stream.mapInArrow(_locate(window, phrase), "doc_id long, tkey long, text string, starts array<int>, h1 array<long>, h2 array<int>"), "windows")
+    located = scratch.cut(stream.mapInArrow(lean(_locate(window, phrase)), "doc_id long, tkey long, text string, starts array<int>, h1 array<long>, h2 array<int>"), "windows")
     scratch.drop("confirmed")
     windows = located.select("doc_id", "tkey", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "tkey", F.col("w.starts").alias("start"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     firsts = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "firsts")
     gone = windows.join(firsts, ["h1", "h2"]).where("first < doc_id").groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
-    cut = located.select("doc_id", "tkey", "text").join(gone, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "starts").mapInArrow(_cut(window), "doc_id long, tkey long, n_removed long, kept_sha binary, spans array<int>")
+    cut = located.select("doc_id", "tkey", "text").join(gone, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "starts").mapInArrow(lean(_cut(window)), "doc_id long, tkey long, n_removed long, kept_sha binary, spans array<int>")
     cut = scratch.cut(cut.groupBy("doc_id", "tkey").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha").alias("kept_sha"), F.first("spans").alias("spans")), "cut")
 
     whole = F.col("copy") & (F.col("n_words") >= window)
@@ -265,4 +266,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phra
     """``docs`` with repeated passages cut from text; rows and other columns stay."""
     spans = find(docs, scratch, window, phrase).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__key"])
     joined = docs.withColumn("__key", F.xxhash64("text")).join(spans.withColumnRenamed("__key", "__k"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__k")), "left").select(*[F.col(c) for c in docs.columns], "__spans")
-    return joined.mapInArrow(_strip, joined.schema).drop("__spans")
+    return joined.mapInArrow(lean(_strip), joined.schema).drop("__spans")

@@ -1,8 +1,11 @@
 """Pieces of the operators against brute force, without Spark."""
 
+import ctypes
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -10,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm import decontaminate, eliasfano, minhash, ppm, quality, shingles, substring_dedup, tokens, toxicity, wrappers
+from lodestrata.llm import decontaminate, eliasfano, minhash, ppm, quality, shingles, substring_dedup, tokens, toxicity, workers, wrappers
 from lodestrata.llm.pieces import Pieces
 
 
@@ -194,6 +197,53 @@ def test_substring_workers_hold_a_part_of_a_batch():
         assert [x.to_pylist() for x in rows] == [next(x).to_pylist() for x in alone]
 
 
+_WORKER = """
+import ctypes, random, re, sys
+import pyarrow as pa
+import public_tokenizers
+from lodestrata.llm import pieces
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Docs:
+    schema = type("Schema", (), {"fields": []})
+    def drop(self, *names):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+rng = random.Random(4)
+words = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(20000)]
+texts = [" ".join(rng.choices(words, k=400)) for _ in range(2000)]
+batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+run = pieces.encode(Docs(), public_tokenizers.path("piece_bpe_32k.model"))
+trim = ctypes.CDLL(None).malloc_trim
+for out in run(iter([batch, batch])):
+    del out
+last = held()
+pa.default_memory_pool().release_unused()
+trim(0)
+print(last - held())
+"""
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs glibc")
+def test_workers_keep_no_freed_memory_after_a_task():
+    kept = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True).stdout
+    assert float(kept) < 10
+
+
+def test_lean_gives_memory_back_after_batches_and_failures(monkeypatch):
+    calls = []
+    monkeypatch.setattr(workers, "give_back", lambda: calls.append(1))
+    assert list(workers.lean(lambda batches: (2 * x for x in batches))(iter([1, 2, 3]))) == [2, 4, 6] and len(calls) == 4
+    calls.clear()
+    with pytest.raises(ZeroDivisionError):
+        list(workers.lean(lambda batches: (1 // x for x in batches))(iter([0])))
+    assert calls
+
+
 def test_wrapper_alignment_and_extraction():
     page = "<html><body><nav><a href=/x>menu</a></nav><div class='ad box'>buy</div><article><h1>T &amp; t</h1><p><b>One<br><p>Two\n  words</p><aside>no</aside></article><footer>f</footer></body></html>"
     assert wrappers.extract(page) == "T & t\n\nOne\n\nTwo words"
