@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .buffers import slices, utf8
 from .rankselect import Bits
+from .scratch import apart
 from .workers import lean
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -77,8 +78,8 @@ def _run(kept: list[str], cut: int, suffix_first: int):
 def fill_in_middle(docs: DataFrame, seed: int = 1, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
     """``docs`` (doc_id, text) without text, plus n, form (plain, psm or spm), prefix_chars, middle_chars and output."""
     kept = [c for c in docs.columns if c != "text" and c not in _ADDED]
-    inner = max([len(c) for c in docs.columns], default=0) * "_"  # longer than any name, so it clashes with none
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("text", F.lit("")).alias(f"{inner}text"), *[x.alias(f"{inner}{k}") for k, x in enumerate(_draws(seed))])
+    own = apart(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("text", F.lit("")).alias(f"{own}text"), *[x.alias(f"{own}{k}") for k, x in enumerate(_draws(seed))])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept], *[f"{k} {v}" for k, v in _ADDED.items()]])
     return rows.mapInArrow(lean(_run(kept, cut, suffix_first)), schema)
 

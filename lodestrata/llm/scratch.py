@@ -50,6 +50,11 @@ def _drop_roots() -> None:
             pass
 
 
+def apart(columns: list[str]) -> str:
+    """A prefix for columns of an operator's own that makes none of these names."""
+    return "_" * max(map(len, columns), default=0) + "_"
+
+
 class Scratch:
     """The scratch tables of one operator call; ``drop`` removes those that nothing reads any more."""
 
