@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register queries.
-MODULES = ("q_tokens", "q_quality", "q_decontaminate", "q_embedding", "q_minhash", "q_substring", "q_ppm", "q_pieces", "q_pages", "q_toxicity", "q_infill", "q_codebooks")
+MODULES = ("q_tokens", "q_quality", "q_decontaminate", "q_embedding", "q_minhash", "q_substring", "q_ppm", "q_pieces", "q_pages", "q_toxicity", "q_infill", "q_codebooks", "q_private")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
