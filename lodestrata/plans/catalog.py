@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from ..sources.store import shared_path  # noqa: F401  (for the queries)
 
-#: Used where all of Spark is one process and names no folder, as in tests.
-LOCAL_DIR = "/tmp/checkpoints/lodestrata"
+Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -36,13 +34,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and the executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = LOCAL_DIR
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

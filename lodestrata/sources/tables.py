@@ -8,22 +8,32 @@ from __future__ import annotations
 
 import csv
 import dataclasses
+import io
+import itertools
 import os
+import pickle
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.findings import Finding
+from . import store
+from .lexer import Bytes, Effect, Marks, columns
 
 CSV_SUFFIXES = (".csv", ".tsv")
 NAMED_ONLY_SUFFIXES = (".txt", ".tab")
 EXCEL_SUFFIXES = (".xlsx", ".xlsm")
 PARQUET_SUFFIXES = (".parquet", ".pq")
-#: Most characters of one cell.
+#: Most bytes of one cell.
 CELL_CHARS = 16 * 1024 * 1024
 SNIFF_BYTES = 64 * 1024
+#: Bytes of a file's lines that a worker holds at once.
+BATCH_BYTES = 8 * 1024 * 1024
+_BOM = b"\xef\xbb\xbf"
 
 
 class LoadError(Exception):
@@ -130,73 +140,19 @@ def sniff_delimiter(sample: str, override: str | None = None) -> str:
         return ","
 
 
-def _scan_part(content: bytes, last: int) -> tuple[int, int, int]:
-    """(NULs, CRLFs, bare LFs) of a part of a file; ``last`` is the byte before it."""
-    crlf = content.count(b"\r\n") + (last == 13 and content[:1] == b"\n")
-    return content.count(b"\0"), crlf, content.count(b"\n") - crlf
-
-
 def scan_bytes(content: bytes) -> dict:
     """What a file's bytes say before any parsing: BOM, encoding, NULs and line ends."""
-    bad = None
-    try:
-        content.decode("utf-8")
-    except UnicodeDecodeError as error:
-        bad = error.start
-    nuls, crlf, lf = _scan_part(content, 0)
-    return {"bom": content.startswith(b"\xef\xbb\xbf"), "invalid_at": bad, "nuls": nuls, "crlf": crlf, "lf": lf, "ends_open": bool(content) and content[-1:] not in (b"\n", b"\r")}
-
-
-def quote_fault(text: str, delimiter: str) -> str | None:
-    """Why a file's quoting cannot be read without guessing, or None."""
-    state, line, opened = "start", 1, 0
-    for c in text:
-        if c == "\n":
-            line += 1
-        if state == "quoted":
-            if c == '"':
-                state = "closed"
-        elif state == "closed":
-            if c == '"':
-                state = "quoted"
-            elif c == delimiter or c in "\r\n":
-                state = "start"
-            else:
-                return f"line {line}: text follows a closing quote"
-        elif c == '"':
-            if state == "plain":
-                return f"line {line}: a quote stands inside an unquoted field"
-            state, opened = "quoted", line
-        else:
-            state = "start" if c == delimiter or c in "\r\n" else "plain"
-    return f"line {opened}: a quoted field never ends" if state == "quoted" else None
-
-
-_FACTS = "bom boolean, invalid_at long, nuls long, crlf long, lf long, ends_open boolean, fault string, head binary"
-
+    return _byte_facts(Bytes.of(content))
 
-def _file_facts(delimiter: str | None):
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for content in batch["content"]:
-                facts = scan_bytes(content)
-                text = content.decode("utf-8-sig" if facts["invalid_at"] is None else "latin-1")
-                own = sniff_delimiter(text[:SNIFF_BYTES], delimiter)
-                rows.append(facts | {"fault": quote_fault(text, own), "head": content[:SNIFF_BYTES]})
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FACTS.split(", ")])
 
-    return run
+def _byte_facts(found: Bytes) -> dict:
+    return {"bom": found.head.startswith(_BOM), "invalid_at": found.invalid_at, "nuls": found.nuls, "crlf": found.crlf, "lf": found.lf - found.crlf, "ends_open": bool(found.size) and found.last not in (b"\n", b"\r")}
 
 
-def file_facts(spark: SparkSession, path: str, delimiter: str | None = None) -> dict:
-    """Byte-level facts of one file, found where the file is read and not on the driver."""
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_file_facts(delimiter), _FACTS).collect()
-    if len(rows) != 1:
-        raise LoadError(f"{path}: expected one file, found {len(rows)}")
-    return rows[0].asDict()
+def quote_fault(text: str, delimiter: str) -> str | None:
+    """Why a file's quoting cannot be read without guessing, or None."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return Effect.of(raw, delimiter.encode()).message()
 
 
 def _byte_findings(facts: dict) -> list[Finding]:
@@ -214,63 +170,188 @@ def _byte_findings(facts: dict) -> list[Finding]:
     return out
 
 
-def _parsed(spark: SparkSession, path: str, sep: str, encoding: str, schema: T.StructType) -> DataFrame:
-    options = {"header": False, "multiLine": True, "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": CELL_CHARS, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
-    return spark.read.options(**options).schema(schema).csv(path)
+def _contents(batches, end: bytes):
+    """(start of the file range, its next bytes) of a task's lines; every line is given its end again."""
+    for batch in batches:
+        starts = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), len(starts)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                yield int(starts[i]), end.join([*batch.column(1).slice(i, j - i).to_pylist(), b""])
+
+
+def _bits(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, np.uint8)
+
+
+def _effects(end: bytes, sep: bytes):
+    """One row a range of the file: what its bytes are, and what they do to a reader."""
+
+    def run(batches):
+        for at, group in itertools.groupby(_contents(batches, end), key=lambda x: x[0]):
+            held, does = Bytes(), Effect()
+            for _, content in group:
+                held, does = held.then(Bytes.of(content)), does.then(Effect.of(_bits(content), sep))
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pickle.dumps((held, does))], pa.binary())], names=["start", "summary"])
+
+    return run
+
+
+class _Cutter:
+    """Batches of records, and of parts of records whose rest is in another range."""
+
+    def __init__(self, sep: bytes, width: int):
+        self.sep, self.width = sep, width
+        self.schema = pa.schema([("row_no", pa.int64()), ("width", pa.int64()), *[(f"c{i}", pa.string()) for i in range(width)], ("seam", pa.int64()), ("part_at", pa.int64()), ("part", pa.binary())])
+
+    def ddl(self) -> str:
+        return ", ".join(["row_no long, width long", *[f"c{i} string" for i in range(self.width)], "seam long, part_at long, part binary"])
+
+    def part(self, seam: int, at: int, content: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"seam": seam, "part_at": at, "part": content}], self.schema)
+
+    def records(self, content: bytes, row: int) -> tuple[pa.RecordBatch, bytes]:
+        """(the whole records, numbered from ``row``; what begins a record without its end), from outside quotes."""
+        ends, _ = Marks(_bits(content), self.sep).outside(0)
+        whole = int(ends[-1]) + 1 if len(ends) else 0
+        cells, first, count = Marks(_bits(content[:whole]), self.sep).fields()
+        if len(cells) and pc.max(pc.binary_length(cells)).as_py() > CELL_CHARS:
+            raise ValueError(f"a cell is longer than {CELL_CHARS} bytes")
+        n = len(first)
+        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), pa.array(count), *columns(cells, first, count, self.width), *empty], schema=self.schema), content[whole:]
+
+
+def _cut(end: bytes, encoding: str, cutter: _Cutter, entries: dict[int, tuple[int, int, int]]):
+    """The records of each range, from the state that it is truly entered in.
 
+    ``entries``: start of a range -> (1 if it begins inside quotes, number of the first record that ends in it, number
+    of the record that its last line may leave open).
+    """
 
-def _records(sep: str, encoding: str, width: int):
     def run(batches):
-        import io
+        for at, group in itertools.groupby(_contents(batches, end), key=lambda x: x[0]):
+            if at not in entries:
+                raise RuntimeError("the file's ranges are not those that were scanned; did it change?")
+            (inside, row, seam), carry = entries[at], b""
+            for _, content in group:
+                if encoding != "utf-8":
+                    content = content.decode(encoding).encode()
+                if inside:  # up to the end of the record that an earlier range began
+                    ends, _ = Marks(_bits(content), cutter.sep).outside(1)
+                    if not len(ends):
+                        carry += content
+                        continue
+                    cut = int(ends[0]) + 1
+                    yield cutter.part(row, at, carry + content[:cut])
+                    carry, content, inside, row = b"", content[cut:], 0, row + 1
+                batch, carry = cutter.records(carry + content, row)
+                row += batch.num_rows
+                if batch.num_rows:
+                    yield batch
+            if carry:
+                yield cutter.part(seam, at, carry)
 
-        import pandas as pd
+    return run
+
+
+def _mended(cutter: _Cutter):
+    """Records from their parts, in order."""
 
-        csv.field_size_limit(CELL_CHARS)
-        names = [*(f"c{i}" for i in range(width)), "_bad"]
+    def run(batches):
         for batch in batches:
-            for content in batch["content"]:
-                text = content.decode("utf-8-sig" if encoding == "UTF-8" else "latin-1")
-                held = []
-                for cells in csv.reader(io.StringIO(text, newline=""), delimiter=sep):
-                    if cells:
-                        held.append([*cells[:width], *[""] * (width - len(cells)), None if len(cells) == width else sep.join(cells)])
-                    if len(held) >= 10_000:
-                        yield pd.DataFrame(held, columns=names, dtype=object)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=names, dtype=object)
+            for seam, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield cutter.records(b"".join(x["part"] for x in parts), seam)[0]
 
     return run
 
 
+def _pinned(spark: SparkSession) -> SparkSession:
+    """A session whose files are cut into the same ranges again, whatever executors come and go."""
+    own = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
+    return own
+
+
+@dataclasses.dataclass
+class Scanned:
+    """A delimited file after one pass: its bytes, the effect of its ranges, and how each is to be entered."""
+
+    held: Bytes
+    effect: Effect
+    entries: dict[int, tuple[int, int, int]]
+    end: bytes
+    open_seams: bool
+
+
+def _lines(session: SparkSession, path: str, end: bytes) -> DataFrame:
+    lines = session.read.option("lineSep", end.decode()).text(path)
+    return lines.select(F.col("_metadata.file_block_start"), F.col("value").cast("binary"))
+
+
+def scan_file(session: SparkSession, path: str, head: bytes, sep: bytes) -> Scanned:
+    """One pass over a file, in ranges; the driver holds one summary a range, as it holds the ranges themselves."""
+    end = b"\r" if b"\r" in head and b"\n" not in head else b"\n"
+    rows = _lines(session, path, end).mapInArrow(_effects(end, sep), "start long, summary binary").collect()
+    ranges = sorted((r["start"], *pickle.loads(r["summary"])) for r in rows)
+    held, effect, entered = Bytes.of(head[:3]) if head.startswith(_BOM) else Bytes(), Effect(), []
+    for at, own, does in ranges:
+        entered.append((at, effect.turns, effect.records[0], does.ends[effect.turns]))
+        held, effect = held.then(own), effect.then(does)
+    entries, seam = {}, effect.records[0]
+    for at, state, row, ends in reversed(entered):
+        entries[at] = (state, row, seam)
+        seam = row if ends else seam
+    last = store.read_range(session, path, store.size(session, path) - 1, 1) if ranges else b""
+    if last and last != end:  # the last line had no end
+        held = dataclasses.replace(held, size=held.size - 1, lf=held.lf - (end == b"\n"), crlf=held.crlf - (last == b"\r" and end == b"\n"))
+    return Scanned(dataclasses.replace(held, last=last), effect, entries, end, any(state for _, state, _, _ in entered))
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, max_rows: int | None = None) -> TextTable:
-    """A delimited file: strict quoting, ragged rows padded or cut and reported, blank lines skipped."""
-    facts = file_facts(spark, path, delimiter)
-    if facts["fault"]:
-        raise LoadError(f"{path}: {facts['fault']}")
-    encoding = "UTF-8" if facts["invalid_at"] is None else "ISO-8859-1"
-    head = bytes(facts["head"]).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", "ignore")
-    if not head.strip():
+    """A delimited file of any size: strict quoting, ragged rows padded or cut and reported, blank lines skipped.
+
+    Ranges of the file are scanned, then cut into cells from the state that the ranges before leave them in; a record
+    over the end of a range is put together from its parts. The table is written to the shared folder once, with rows
+    numbered as they stand in the file, and read from there whenever it is used.
+    """
+    if not store.exists(spark, path) or store.is_folder(spark, path):
+        raise LoadError(f"{path}: expected one file, found {'a folder' if store.exists(spark, path) else 'none'}")
+    head, session = store.read_range(spark, path, 0, SNIFF_BYTES), _pinned(spark)
+    scanned, encoding, sep = None, "utf-8", sniff_delimiter(head.decode("utf-8-sig", "ignore"), delimiter)
+    while scanned is None:
+        scanned = scan_file(session, path, head, sep.encode(encoding))
+        if encoding == "utf-8" and scanned.held.invalid_at is not None:
+            encoding, before = "latin-1", sep.encode()
+            sep = sniff_delimiter(head.decode(encoding), delimiter)
+            if sep.encode(encoding) != before:  # it was looked for in another form, or is another
+                scanned = None
+    if fault := scanned.effect.message():
+        raise LoadError(f"{path}: {fault}")
+    text = head.decode("utf-8-sig" if encoding == "utf-8" else encoding, "ignore")
+    csv.field_size_limit(CELL_CHARS)
+    header = next(filter(None, csv.reader(io.StringIO(text, newline=""), delimiter=sep)), None)
+    if header is None or not text.strip():
         raise LoadError(f"{path}: the file has no header")
-    sep = sniff_delimiter(head, delimiter)
-    header = next(csv.reader(head.splitlines(keepends=True), delimiter=sep))
-    width = len(header)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_bad", T.StringType())])
-    if facts["crlf"] and facts["lf"]:
-        # the engine's parser expects one kind of line end; such a file is read record by record, in one task
-        raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_records(sep, encoding, width), schema)
-    else:
-        raw = _parsed(spark, path, sep, encoding, schema)
-    # one file is one multi-line split, so ids are dense and in file order; the header has the first
-    numbered = raw.select(F.monotonically_increasing_id().alias("row_no"), *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(width)], "_bad").where("row_no > 0").withColumn("row_no", F.col("row_no") - 1)
-    # the parser sees ragged rows only when it reads every column, so the parsed table is kept
-    numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
-    table = TextTable(numbered.drop("_bad"), header, path, sep, _byte_findings(facts))
-    ragged = numbered.where(F.col("_bad").isNotNull())
-    count = ragged.count()
-    if count:
-        lines = [r["row_no"] + 2 for r in ragged.select("row_no").orderBy("row_no").limit(5).collect()]
-        table.findings.insert(0, Finding("ragged-rows", "error", f"{count} rows do not have {width} fields.", detail={"count": count, "lines": lines, "expected": width}))
+    cutter = _Cutter(sep.encode(), len(header))
+    paths = [store.shared_path(spark, "csv")]
+    _lines(session, path, scanned.end).mapInArrow(_cut(scanned.end, encoding, cutter, scanned.entries), cutter.ddl()).write.parquet(paths[0])
+    if scanned.open_seams:
+        parts = session.read.parquet(paths[0]).where("seam IS NOT NULL").groupBy("seam").agg(F.array_sort(F.collect_list(F.struct("part_at", "part"))).alias("parts"))
+        paths.append(store.shared_path(spark, "csv"))
+        parts.mapInArrow(_mended(cutter), cutter.ddl()).write.parquet(paths[1])
+    numbered = spark.read.schema(cutter.ddl()).parquet(*paths).where("row_no > 0").withColumn("row_no", F.col("row_no") - 1)
+    names = [f"c{i}" for i in range(len(header))]
+    table = TextTable(numbered.select("row_no", *names), header, path, sep, _byte_findings(_byte_facts(scanned.held)))
+    ragged = numbered.where(F.col("width") != len(header)).select("row_no")
+    first = [r["row_no"] + 2 for r in ragged.orderBy("row_no").limit(5).collect()]
+    if first:
+        count = ragged.count()
+        table.findings.insert(0, Finding("ragged-rows", "error", f"{count} rows do not have {len(header)} fields.", detail={"count": count, "lines": first, "expected": len(header)}))
     return _bounded(table, max_rows)
 
 
