@@ -20,7 +20,7 @@ from .operators.findings import exit_code
 from .operators.impact import ImpactError
 from .operators.initialize import learn, to_toml
 from .operators.references import ReferenceFault
-from .sources import sinks
+from .sources import sinks, store
 from .sources.tables import EXCEL_SUFFIXES, LoadError, discover
 
 FAILURES = (LoadError, ConfigError, ImpactError, ReferenceFault, baselines.BaselineError, DriftError, OSError)
@@ -110,7 +110,7 @@ def _out(args, text: str, *inputs: str) -> None:
         return
     if any(os.path.abspath(args.output) == os.path.abspath(x) for x in inputs if x):
         raise OSError(f"{args.output} is an input")
-    sinks.write_text(args.output, text)
+    sinks.write_text(api.session(), args.output, text)
 
 
 def _profiled(path: str, args) -> profiling.Profiled:
@@ -119,7 +119,7 @@ def _profiled(path: str, args) -> profiling.Profiled:
 
 def _targets(args) -> list[tuple[str, dict]]:
     out = []
-    for path in discover(args.paths if hasattr(args, "paths") else [args.path]):
+    for path in discover(api.session(), args.paths if hasattr(args, "paths") else [args.path]):
         if getattr(args, "all_sheets", False) and path.lower().endswith(EXCEL_SUFFIXES):
             from .sources import excel
 
@@ -171,7 +171,7 @@ def _profile(args) -> int:
 
 def _diff(args) -> int:
     config = _config(args)
-    old = baselines.verify(args.baseline_store, args.baseline) if args.saved else args.baseline
+    old = baselines.verify(api.session(), args.baseline_store, args.baseline) if args.saved else args.baseline
     new = _profiled(args.current, args)
     found = compare(_profiled(old, args), new, config)
     render = {"text": report.text, "json": report.as_json, "html": report.as_html}[args.format]
@@ -199,7 +199,7 @@ def _fix(args) -> int:
         raise OSError("output and log may not replace the input or each other")
     sep = "\t" if args.path.endswith((".tsv", ".tab")) else done.table.delimiter
     sinks.write_csv(out.table, done.table.header, to, sep)
-    sha = "" if os.path.isdir(args.path) else sinks.file_digest(api.session(), args.path)
+    sha = "" if store.is_folder(api.session(), args.path) else store.digest(api.session(), args.path)
     sinks.audit_log(out, sha).write.mode("overwrite").option("header", True).option("escape", '"').csv(log)
     print(f"repaired rows in {to}, {report.plural(out.changes.count(), 'change')} in {log}, {report.plural(len(out.refusals), 'refusal')}")
     return 0
@@ -231,27 +231,27 @@ def _init(args) -> int:
     if args.dry_run:
         sys.stdout.write(text)
         return 0
-    if os.path.exists(args.output) and not args.force:
+    if store.exists(api.session(), args.output) and not args.force:
         raise OSError(f"{args.output} exists")
-    sinks.write_text(args.output, text)
+    sinks.write_text(api.session(), args.output, text)
     print(f"{args.output}: {report.plural(len(learnt.kept), 'finding')} still reported")
     return 0
 
 
 def _baseline(args) -> int:
     if args.action == "list":
-        print("\n".join(baselines.names(args.store)))
+        print("\n".join(baselines.names(api.session(), args.store)))
     elif args.action == "save":
         done = profiling.profile(api.open_table(args.path, **_how(args)))
-        print(json.dumps(baselines.save(args.store, args.name, args.path, done.n_rows, done.table.header)))
+        print(json.dumps(baselines.save(api.session(), args.store, args.name, args.path, done.n_rows, done.table.header)))
     elif args.action == "show":
-        print(json.dumps(baselines.show(args.store, args.name), indent=1))
+        print(json.dumps(baselines.show(api.session(), args.store, args.name), indent=1))
     elif args.action == "verify":
-        print(baselines.verify(args.store, args.name))
+        print(baselines.verify(api.session(), args.store, args.name))
     elif not args.yes:
         raise baselines.BaselineError("deleting a baseline needs --yes")
     else:
-        baselines.delete(args.store, args.name)
+        baselines.delete(api.session(), args.store, args.name)
     return 0
 
 

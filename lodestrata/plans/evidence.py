@@ -491,7 +491,7 @@ def format_dispatch(spark, sf_dir):
     from ..sources.tables import discover, read_any
 
     rows = [("nation.parquet", "parquet" if len(read_any(spark, f"{sf_dir}/nation.parquet").header) else "")]
-    for path, tried, outcome in (("a.xls", lambda: read_any(spark, "a.xls"), "refused"), ("a.csv", lambda: discover(["/no/such/folder/a.csv"]), "missing")):
+    for path, tried, outcome in (("a.xls", lambda: read_any(spark, "a.xls"), "refused"), ("a.csv", lambda: discover(spark, ["/no/such/folder/a.csv"]), "missing")):
         try:
             tried()
         except LoadError:

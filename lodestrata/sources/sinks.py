@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 
 def write_csv(cells: DataFrame, header: list[str], path: str, delimiter: str = ",", single: bool = False) -> str:
     """Rows of (row_no, c0 ... cN) with a header, in row order, as part files of a folder.
@@ -44,23 +43,6 @@ def audit_log(repair, source_sha: str = "") -> DataFrame:
     return rows
 
 
-def file_digest(spark, path: str) -> str:
-    """SHA-256 of a file, computed where it is read."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-
-
-def write_text(path: str, text: str) -> None:
-    """A small report, written whole or not at all."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, name = tempfile.mkstemp(dir=folder)
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text)
-            f.flush()
-            os.fsync(f.fileno())
-        if os.path.exists(path):
-            os.chmod(name, os.stat(path).st_mode & 0o777)
-        os.replace(name, path)
-    except BaseException:
-        os.unlink(name)
-        raise
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small report, written whole or not at all, wherever Spark writes."""
+    store.put(spark, path, text.encode())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,7 +38,9 @@ def _remove_made() -> None:
 def place(spark: SparkSession, path: str):
     """(file system, path) of Hadoop."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    # local files may be written by others, so they have no checksum files beside them
+    return fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs, at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -87,6 +90,44 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(at, True)
 
 
+def copy(spark: SparkSession, from_: str, to: str) -> None:
+    """A file, or a folder with all in it, streamed to a new place."""
+    (a, x), (b, y) = place(spark, from_), place(spark, to)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"{from_} could not be copied")
+
+
+def move(spark: SparkSession, from_: str, to: str) -> None:
+    """A new name; FileExistsError if it is taken."""
+    (fs, x), (_, y) = place(spark, from_), place(spark, to)
+    if fs.exists(y) or not fs.rename(x, y):
+        raise FileExistsError(to)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """A file, or all files under a folder, sorted."""
+    if not is_folder(spark, path):
+        return [path]
+    return [f for at, folder in listing(spark, path) for f in (files(spark, at) if folder else [at])]
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file; of a folder, that of its files' names and digests. Bytes stream, none are held."""
+
+    def one(name: str) -> str:
+        fs, at = place(spark, name)
+        stream = fs.open(at)
+        try:
+            return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    if not is_folder(spark, path):
+        return one(path)
+    parts = [f"{f[len(path.rstrip('/')) :].lstrip('/')}:{one(f)}" for f in files(spark, path)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
 def create(spark: SparkSession, path: str, content: bytes) -> None:
     """A new file; FileExistsError if there is one, whoever made it."""
     fs, at = place(spark, path)
@@ -110,6 +151,8 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
     create(spark, staged, content)
     _, from_ = place(spark, staged)
     try:
+        if fs.exists(at):
+            fs.setPermission(from_, fs.getFileStatus(at).getPermission())
         _replace(spark, fs, from_, at)
     except BaseException:
         fs.delete(from_, False)

@@ -16,7 +16,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,8 +124,27 @@ def _bounded(table: TextTable, max_rows: int | None) -> TextTable:
     return dataclasses.replace(table, df=table.df.orderBy("row_no").limit(max_rows))
 
 
+#: Files whose first row numbers are sent to every task; more are joined as Spark sees fit.
+FEW_FILES = 100_000
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet scan with its rows numbered as they stand in the files, by file name: the same in every run."""
+    placed = df.withColumns({f"{name}_file": F.col("_metadata.file_path"), f"{name}_at": F.col("_metadata.row_index")})
+    sizes = df.groupBy(F.col("_metadata.file_path").alias(f"{name}_file")).agg(F.count("*").alias("n"))
+    files = sizes.count()
+    if files <= 1:
+        return placed.withColumnRenamed(f"{name}_at", name).drop(f"{name}_file")
+    before = Window.orderBy(f"{name}_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    first = sizes.select(f"{name}_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{name}_first"))
+    joined = placed.join(F.broadcast(first) if files <= FEW_FILES else first, f"{name}_file")
+    return joined.withColumn(name, F.col(f"{name}_at") + F.col(f"{name}_first")).drop(f"{name}_file", f"{name}_at", f"{name}_first")
+
+
 def read_parquet(spark: SparkSession, path: str, max_rows: int | None = None) -> TextTable:
-    return _bounded(from_dataframe(spark.read.parquet(path), path), max_rows)
+    df = spark.read.parquet(path)
+    name = "_" * max(map(len, df.columns), default=0) + "_row"
+    return _bounded(from_dataframe(number_rows(df, name), path, order=name), max_rows)
 
 
 def sniff_delimiter(sample: str, override: str | None = None) -> str:
@@ -374,19 +393,27 @@ def read_any(spark: SparkSession, path: str, delimiter: str | None = None, sheet
     return read_csv(spark, path, delimiter, max_rows)
 
 
-def discover(paths: list[str], recursive: bool = True) -> list[str]:
-    """Files named, and the table files under directories named, sorted."""
-    out: list[str] = []
+def discover(spark: SparkSession, paths: list[str], recursive: bool = True) -> list[str]:
+    """Files named, those that patterns match, and the table files under folders named, sorted; on any store.
+
+    A folder whose name is that of a Parquet table is a table.
+    """
+    suffixes = CSV_SUFFIXES + EXCEL_SUFFIXES + PARQUET_SUFFIXES
+
+    def under(folder: str) -> list[str]:
+        out = []
+        for path, inner in store.listing(spark, folder):
+            if path.lower().endswith(PARQUET_SUFFIXES) or not inner and path.lower().endswith(suffixes):
+                out.append(path)
+            elif inner and recursive:
+                out += under(path)
+        return out
+
+    found: list[str] = []
     for path in paths:
-        if os.path.isdir(path) and not path.endswith(PARQUET_SUFFIXES):
-            found = []
-            for top, dirs, files in os.walk(path):
-                found += [os.path.join(top, f) for f in files if os.path.splitext(f)[1].lower() in CSV_SUFFIXES + EXCEL_SUFFIXES + PARQUET_SUFFIXES]
-                if not recursive:
-                    dirs.clear()
-            out += sorted(found)
-        elif not os.path.exists(path):
+        own = [path] if store.exists(spark, path) else [p for p, _ in store.listing(spark, path)]
+        if not own:
             raise LoadError(f"{path}: no such file")
-        else:
-            out.append(path)
-    return list(dict.fromkeys(out))
+        for p in own:
+            found += under(p) if store.is_folder(spark, p) and not p.rstrip("/").lower().endswith(PARQUET_SUFFIXES) else [p]
+    return list(dict.fromkeys(found))

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 import pytest
 
@@ -6,9 +7,11 @@ from lodestrata.operators import baselines, checks, drift, impact, repair, repor
 from lodestrata.operators.config import Config, ConfigError, parse
 from lodestrata.operators.findings import Finding, collapse, ordered, summary
 from lodestrata.operators.initialize import learn, to_toml
-from lodestrata.operators.profile import profile
+from lodestrata.operators.profile import dictionary, profile
 from lodestrata.operators.references import Reference, ReferenceFault, check_reference
-from lodestrata.sources.tables import LoadError, TextTable, column_keys, quote_fault, read_csv, scan_bytes, sniff_delimiter
+from lodestrata.sources import sinks
+from lodestrata.sources import store as files
+from lodestrata.sources.tables import LoadError, TextTable, column_keys, discover, quote_fault, read_csv, read_parquet, scan_bytes, sniff_delimiter
 
 NOW = datetime.datetime(2024, 6, 1)
 
@@ -139,18 +142,70 @@ def test_reports_collapse_and_learning():
     assert report.annotations("a,b", found).startswith("::error file=a%2Cb")
 
 
-def test_baselines(tmp_path):
+def test_baselines(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a\n1\n")
     store = str(tmp_path / "s")
-    baselines.save(store, "one", str(path), 1, ["a"])
-    assert baselines.names(store) == ["one"] and baselines.verify(store, "one").endswith("t.csv")
-    with pytest.raises(baselines.BaselineError):
-        baselines.save(store, "two", str(path), 0, ["a"])
-    with pytest.raises(baselines.BaselineError):
-        baselines.save(store, "../x", str(path), 1, ["a"])
+    saved = baselines.save(spark, store, "one", str(path), 1, ["a"])
+    assert saved["sha256"] == hashlib.sha256(b"a\n1\n").hexdigest()
+    assert baselines.names(spark, store) == ["one"] and baselines.verify(spark, store, "one").endswith("t.csv")
+    for name, rows in (("one", 1), ("two", 0), ("../x", 1)):
+        with pytest.raises(baselines.BaselineError):
+            baselines.save(spark, store, name, str(path), rows, ["a"])
+    files.create(spark, f"{store}/.lock", b"")
+    for refused in (lambda: baselines.save(spark, store, "two", str(path), 1, ["a"]), lambda: baselines.delete(spark, store, "one")):
+        with pytest.raises(baselines.BaselineError):
+            refused()
+    files.remove(spark, f"{store}/.lock")
+    folder = tmp_path / "parts.parquet"
+    spark.range(5).repartition(2).write.parquet(str(folder))
+    baselines.save(spark, store, "parts", str(folder), 5, ["id"])
+    assert spark.read.parquet(baselines.verify(spark, store, "parts")).count() == 5
     (tmp_path / "s" / "one" / "t.csv").write_text("changed")
     with pytest.raises(baselines.BaselineError):
-        baselines.verify(store, "one")
-    baselines.delete(store, "one")
-    assert not baselines.names(store)
+        baselines.verify(spark, store, "one")
+    baselines.delete(spark, store, "one")
+    assert baselines.names(spark, store) == ["parts"] and sorted(x.name for x in (tmp_path / "s").iterdir()) == ["parts"]
+    with pytest.raises(baselines.BaselineError):
+        baselines.show(spark, store, "one")
+
+
+def test_files_are_whole_or_not_there(spark, tmp_path):
+    path = f"{tmp_path}/r.txt"
+    sinks.write_text(spark, path, "one é")
+    (tmp_path / "r.txt").chmod(0o640)
+    sinks.write_text(spark, path, "two")
+    assert (tmp_path / "r.txt").read_text() == "two" and (tmp_path / "r.txt").stat().st_mode & 0o777 == 0o640
+    assert [x.name for x in tmp_path.iterdir()] == ["r.txt"]
+    with pytest.raises(FileExistsError):
+        files.create(spark, path, b"three")
+    assert files.read_range(spark, path, 1, 9) == b"wo"
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("b.csv", "a.TSV", "sub/c.xlsx", "sub/d.txt", "sub/t.parquet/part-0.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    top = str(tmp_path)
+    assert discover(spark, [top]) == [f"{top}/{x}" for x in ("a.TSV", "b.csv", "sub/c.xlsx", "sub/t.parquet")]
+    assert discover(spark, [top], recursive=False) == [f"{top}/a.TSV", f"{top}/b.csv"]
+    assert discover(spark, [f"{top}/*.csv", f"{top}/sub/d.txt", f"{top}/b.csv"]) == [f"{top}/b.csv", f"{top}/sub/d.txt"]
+    assert discover(spark, [f"file://{top}/sub"])[0].startswith("file:/")
+    with pytest.raises(LoadError):
+        discover(spark, [f"{top}/none*"])
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(1000).selectExpr("id", "CAST(id % 7 AS STRING) AS w").repartitionByRange(5, "id").sortWithinPartitions("id").write.option("parquet.block.size", 1024).parquet(path)
+    want = [(k, str(k)) for k in range(1000)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "700", "2000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_parquet(spark, path)
+            assert sorted(map(tuple, got.df.select("row_no", "c0").collect())) == want
+            assert {r["value"]: r["first_row"] for r in dictionary(got, [1]).collect()} == {str(k): k for k in range(7)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert read_parquet(spark, path, 3).df.count() == 3
