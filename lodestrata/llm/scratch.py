@@ -55,10 +55,23 @@ def apart(columns: list[str]) -> str:
     return "_" * max(map(len, columns), default=0) + "_"
 
 
+#: Bytes of an Arrow batch; the engine's 64 MB stand in the JVM, in a pipe and in a worker at once, for each task.
+BATCH_BYTES = 8 * 1024 * 1024
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a smaller bound."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """The scratch tables of one operator call; ``drop`` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.paths: dict[str, str] = {}
 
