@@ -202,9 +202,9 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
     phrases = sources.select("doc_id", "tkey", F.explode(F.arrays_zip("grams", "at")).alias("p")).select("doc_id", "tkey", F.col("p.grams").alias("gram"), F.col("p.at").alias("at"))
     recurring = scratch.cut(phrases.groupBy("gram").agg(F.min(F.struct("doc_id", "tkey", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("gram", "first.*"), "recurring")
     places = recurring.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
-    # one row of each text that rows share
-    once = texts.join(places, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
-    confirmed = scratch.cut(once.select("text", "places").mapInArrow(lean(_confirm(phrase)), "gram long, phrase binary"), "confirmed")
+    # rows that share a text confirm its phrases again, and short phrases are cheaper to make distinct than texts
+    said = texts.join(places, ["doc_id", "tkey"]).select("text", "places").mapInArrow(lean(_confirm(phrase)), "gram long, phrase binary")
+    confirmed = scratch.cut(said.groupBy("gram").agg(F.first("phrase").alias("phrase")), "confirmed")
     scratch.drop("recurring")
     wanted = phrases.select(block.alias("block"), "gram").distinct().join(confirmed, "gram")
 
