@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, minhash, pieces, quality, substring_dedup
-from lodestrata.llm.scratch import Scratch
+from lodestrata.llm.scratch import Scratch, small_batches
 
 #: Documents under this probability of being good go.
 QUALITY_THRESHOLD = 0.3
@@ -22,6 +22,7 @@ PIECES = "piece_bpe_32k.model"
 
 def quality_filter(spark, docs, sf_dir):
     """Documents that the compression classifier does not reject."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, "__quality")
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
@@ -41,12 +42,14 @@ def substring_cut(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Documents in which no benchmark window occurs."""
+    small_batches(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
 def encoding(spark, docs, sf_dir):
     """Every document with its SentencePiece ids and the text decoded from them."""
+    small_batches(spark)
     coded = pieces.encode(docs, public_tokenizers.path(PIECES))
     return coded.select("doc_id", F.col("decoded").alias("text"), *[c for c in docs.columns if c not in ("doc_id", "text")], "ids", "n_tokens", "ids_crc32", "score", "n_best_scores", "round_trip")
 
