@@ -2,7 +2,7 @@
 
 The table is unpivoted and grouped by (column, value), with map-side combine, so that each distinct value is
 parsed once however often it occurs. Everything that is known of a column is then one aggregate over the
-dictionary, weighted by counts; the driver sees one row a column.
+dictionary, weighted by counts; the driver sees one row a column. Medians are exact ranks found by ever finer histograms.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as X
 from ..sources.tables import TextTable
+from .order_stats import medians
 
 KINDS = ("date", "compact", "numeric", "boolean", "text")
 NUMBER_EVIDENCE = ("en", "eu", "neutral", "group-en", "group-eu", "ambiguous")
@@ -132,7 +133,6 @@ def facts(words: DataFrame, now: datetime.datetime) -> DataFrame:
             f"{c}_min": F.min(value),
             f"{c}_max": F.max(value),
             f"{c}_mean": F.sum(value * n) / F.sum(held),
-            f"{c}_median": F.percentile(value, F.lit(0.5), F.when(value.isNotNull(), n).otherwise(0)),
             f"{c}_whole": F.min((value == F.floor(value)).cast("int")),
             f"{c}_negative": _count(value < 0),
         }
@@ -255,10 +255,16 @@ class Profiled:
         """Median absolute deviation of numeric columns, around the medians already known."""
         if not columns:
             return {}
-        words = self.words.where(F.col("col").isin(*columns))
-        deviation = F.abs(self.number(columns) - self.by_column({i: self.columns[i].median for i in columns}))
-        rows = words.withColumn("x", deviation).groupBy("col").agg(F.percentile("x", F.lit(0.5), F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("mad")).collect()
-        return {r["col"]: r["mad"] for r in rows}
+        own = {i: self.columns[i] for i in columns if self.columns[i].median is not None}
+        if not own:
+            return {}
+        away = F.abs(self.number(list(own)) - self.by_column({i: p.median for i, p in own.items()}))
+        reach = {i: max(p.max - p.median, p.median - p.min) for i, p in own.items()}
+        return medians(self.numbers(list(own), away), {i: (0.0, reach[i], p.n_numbers, p.distinct) for i, p in own.items()})
+
+    def numbers(self, columns: list[int], x: Column) -> DataFrame:
+        """(col, x, n) of the dictionary rows of these columns that have a number."""
+        return self.words.where(F.col("col").isin(*columns)).select("col", x.alias("x"), "n").where(F.col("x").isNotNull())
 
     def number(self, columns: list[int]) -> Column:
         """A dictionary row's number under its column's convention."""
@@ -286,17 +292,22 @@ def profile(table: TextTable, now: datetime.datetime | None = None, columns: lis
     for i, (name, key) in enumerate(zip(table.header, table.keys, strict=True)):
         if i not in rows:
             if empty is None:
-                empty = {f.name: 0 if not f.name.endswith(("_min", "_max", "_mean", "_median")) and not f.name.startswith("first_") else None for f in facts(words, now).schema.fields}
+                empty = {f.name: 0 if not f.name.endswith(("_min", "_max", "_mean")) and not f.name.startswith("first_") else None for f in facts(words, now).schema.fields}
             own = dict(empty)
         else:
             own = rows[i]
         own |= decide(own)
         c = own["convention"]
-        for k in ("min", "max", "mean", "median"):
+        for k in ("min", "max", "mean"):
             own[k] = own[f"{c}_{k}"] if own["n_numbers"] else None
-        own["whole"] = bool(own[f"{c}_whole"])
+        own |= {"whole": bool(own[f"{c}_whole"]), "median": None}
         out.append(ColumnProfile(name, key, i, own))
-    return Profiled(table, words, out, total, now)
+    done = Profiled(table, words, out, total, now)
+    counted = {p.index: (p.min, p.max, p.n_numbers, p.distinct) for p in out if p.n_numbers}
+    if counted:
+        for i, median in medians(done.numbers(list(counted), done.number(list(counted))), counted).items():
+            out[i].facts["median"] = median
+    return done
 
 
 _OUT = "column_index long, column string, kind string, n_rows long, n_null long, n_disguised long, null_rate double, distinct long, median double, min double, max double, mean double, convention string, date_order string"
