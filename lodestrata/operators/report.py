@@ -86,7 +86,7 @@ def plan_text(repair, explain: bool = False) -> str:
 
     from .repair import EXPLAINED
 
-    counts = repair.changes.groupBy("column_index", "column", "rule", "confidence").agg(F.count("*").alias("n")).orderBy("column_index", "rule").collect()
+    counts = repair.counts().orderBy("column_index", "rule").collect()
     out = [plural(sum(r["n"] for r in counts), "change") + f" in {plural(len({r['column_index'] for r in counts}), 'column')}"]
     out += [f"  {safe(r['column'])}: {r['rule']} ({r['confidence']})  {plural(r['n'], 'cell')}" for r in counts]
     if repair.dropped is not None:
@@ -104,7 +104,7 @@ def plan_json(repair, show_values: bool = False, limit: int = 20) -> str:
     from pyspark.sql import functions as F
 
     changes = repair.changes
-    counts = changes.groupBy("column_index", "column", "rule", "confidence").agg(F.count("*").alias("n")).orderBy("column_index", "rule").collect()
+    counts = repair.counts().orderBy("column_index", "rule").collect()
     out = {"schema_version": 1, "changes": [r.asDict() for r in counts], "refusals": [vars(r) for r in repair.refusals]}
     if show_values:
         rows = changes.where(~F.col("column").isin(*repair.private)) if repair.private else changes

@@ -50,6 +50,8 @@ class TextTable:
     delimiter: str = ","
     findings: list[Finding] = dataclasses.field(default_factory=list)
     declared: dict[int, str] = dataclasses.field(default_factory=dict)
+    #: Whether a row has the same number whenever the table is read.
+    stable: bool = True
 
     def __post_init__(self):
         self.keys = column_keys(self.header)
@@ -109,11 +111,20 @@ def text_of(column: Column, kind: T.DataType) -> Column:
 
 
 def from_dataframe(df: DataFrame, path: str = "", names: list[str] | None = None, order: str | None = None) -> TextTable:
-    """Any DataFrame as a text table, in the order of its rows as read, or of a number column that is then no cell."""
+    """Any DataFrame as a text table, in the order of its rows as read, or of a column of unique numbers that is then no cell."""
     fields = [f for f in df.schema.fields if f.name != order]
     cells = [text_of(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
     own = df.select((F.monotonically_increasing_id() if order is None else F.col(order).cast("long")).alias("row_no"), *cells)
-    return TextTable(own, names or [f.name for f in fields], path, declared={i: f.dataType.simpleString() for i, f in enumerate(fields)})
+    return TextTable(own, names or [f.name for f in fields], path, declared={i: f.dataType.simpleString() for i, f in enumerate(fields)}, stable=order is not None)
+
+
+def pinned(table: TextTable) -> TextTable:
+    """The table with row numbers that stay; one numbered as it is read is written to the shared folder once."""
+    if table.stable:
+        return table
+    spark, path = table.df.sparkSession, store.shared_path(table.df.sparkSession, "rows")
+    table.df.write.parquet(path)
+    return dataclasses.replace(table, df=spark.read.schema(table.df.schema).parquet(path), stable=True)
 
 
 def _bounded(table: TextTable, max_rows: int | None) -> TextTable:
