@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_id_name, normal_name
+from ..functions.text import names_identifier, plain_name
 from .checks import sensitive_columns
 from .config import Config
 from .findings import Finding, redact
@@ -64,7 +64,7 @@ def _column(old: Profiled, i: int, new: Profiled, j: int, config: Config) -> lis
     if b.null_rate - a.null_rate >= NULL_JUMP:
         out.append(Finding("null-rate-jump", "warning", f"{b.name!r} lacks more values than before.", b.name, at | {"from": round(a.null_rate, 4), "to": round(b.null_rate, 4)}))
     role = config.policy(a.name, a.key).role
-    named = role != "measure" if role is not None else looks_like_id_name(a.name) or normal_name(a.name) in _POSTAL
+    named = role != "measure" if role is not None else names_identifier(a.name) or plain_name(a.name) in _POSTAL
     if a.kind == b.kind == "numeric" and not named and a.median and b.median is not None and abs(b.median - a.median) / abs(a.median) >= MEDIAN_SHIFT:
         out.append(Finding("distribution-shift", "warning", f"The median of {b.name!r} moved from {a.median:g} to {b.median:g}.", b.name, at | {"from": a.median, "to": b.median}))
     if a.kind == b.kind == "categorical":

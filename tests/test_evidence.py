@@ -4,18 +4,22 @@ import duckdb
 import pytest
 
 import lodestrata.plans.evidence  # noqa: F401
+import lodestrata.plans.files  # noqa: F401
+import lodestrata.plans.planted  # noqa: F401
 import lodestrata.plans.quality  # noqa: F401
+from tests.typed_cases import CASES
 from lodestrata.cli import main
 from lodestrata.plans import catalog
+from lodestrata.plans.files import TABLES
 
 SF = "/root/testdata/sf0.01"
-NAMES = ("kind_decisions", "planted_damage", "findings_orders_dirty", "drift_findings", "reference_findings", "policy_findings", "redacted_findings", "text_predicates", "name_predicates", "number_evidence_kinds", "date_formats", "file_bytes", "quote_states", "ragged_lines", "repair_refusals", "repair_preview", "write_gates", "sink_round_trip", "configurations", "report_formats", "stream_watermark")
+NAMES = ("kind_decisions", "planted_damage", "findings_orders_dirty", "drift_findings", "reference_findings", "policy_findings", "redacted_findings", "text_predicates", "name_predicates", "number_evidence_kinds", "date_formats", "file_bytes", "quote_states", "ragged_lines", "repair_refusals", "repair_preview", "write_gates", "sink_round_trip", "configurations", "report_formats", "stream_watermark", "header_checks", "no_rows", "collapsed_findings", "silenced_findings", "discovered_tables", "baseline_store", "init_config")
 
 
 @pytest.fixture(scope="module")
 def con():
     made = duckdb.connect()
-    for t in ("orders", "customer", "events", "nation"):
+    for t in TABLES:
         made.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return made
 
@@ -28,6 +32,14 @@ def test_query_equals_its_sql(spark, con, name):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("name", CASES)
+def test_typed_case(spark, con, name):
+    case, sql = CASES[name]
+    found = case(spark, SF)
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, con.execute(f"SELECT {columns} FROM ({sql})").fetchall()))
+
+
 def test_command_line(spark, tmp_path, capsys):
     good = tmp_path / "a.csv"
     good.write_text("id,word\n1, x\n2,y\n3,y\n")

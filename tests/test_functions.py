@@ -51,7 +51,7 @@ def test_text(spark):
     assert run(spark, ["4111 1111 1111 1111", "4111 1111 1111 1112", "1234"], lambda V: X.is_card(V)) == [True, False, False]
     assert run(spark, ["GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"], lambda V: X.is_iban(V)) == [True, False]
     assert run(spark, ["=1+1", "-5", "-x", "+1", " @a", "x"], lambda V: N.is_formula_like(V)) == [True, False, True, False, True, False]
-    assert X.looks_like_id_name("paid") and X.looks_like_id_name("order key") and not X.looks_like_id_name("name")
+    assert X.names_identifier("paid") and X.names_identifier("order key") and not X.names_identifier("name")
 
 
 def test_repeated_and_null_columns(spark):
