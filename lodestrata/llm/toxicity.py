@@ -5,21 +5,21 @@ that spans n characters weighs ``DECAY ** n``, spans end at ``SPAN``, and a mark
 character. So an insult with inserted, dropped or changed characters stays close to the insult. Single
 characters between blanks count as one spelt-out word.
 
-Labels are on texts, and there are two kinds of marks. An insult is one word in many. Words with a character
-run that occurs in toxic texts alone, more often than chance explains, are the positive examples, and so are
-disguises of the most frequent; words of other texts are the negative ones, with the worst mistakes added
-twice. The machine is trained in the space of ``LANDMARKS`` words. Its weights are a sum over landmarks of
+Labels are on texts, so words to learn from are found first, of two kinds. An insult is one word in many. Words
+with a character run that occurs in toxic texts alone, more often than chance explains, are positive examples, and
+so are disguises of the most frequent; words of other texts are the negative ones, with the worst mistakes added
+twice. A machine is trained in the space of ``LANDMARKS`` words. Its weights are a sum over landmarks of
 their subsequences, so they collapse into one table of weights by subsequence, and a text is scored by
 looking its subsequences up, in bulk, without a landmark in sight.
 
-Other marks stand in clean texts as well, but seldom: runs that toxic texts carry in some share of their words
-with far higher odds than clean texts (a likelihood-ratio test, at a chance over all runs). The best, and those
-near it, make a set; the next set comes from the toxic texts that none of these explains, and so on, so that each
-language gets its own. They are counted as they stand. No column but the text is looked at.
+Toxic texts without such a word differ by how many of their words are of some sort: they carry runs in a share of
+their words with far higher odds than clean texts (a likelihood-ratio test, at a chance over all runs). The best run,
+and those that are not significantly worse, make a set; the next set comes from the toxic texts that none of these
+explains, and so on, so that each language gets its own. For each set another machine learns the toxic texts' words
+that hold its runs against words that do not. No column but the text is looked at.
 
-A text's probability is a logistic function of its highest words and of how many words are above the
-margin, and of the share of words with marks of each set of the second kind, fitted on
-labelled texts that the marks did not come from.
+A text's probability is a logistic function of its highest words and of how many words are above the first machine's
+margin, and of the share of words above each other machine's, fitted on labelled texts that no machine learnt from.
 
 Null and empty texts, and texts without words, score as a text whose words are all unremarkable. Null
 labels, labels without a document and labels with a null doc_id teach nothing. With labels of one class
@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import dataclasses
 import math
-import re
 import statistics
 from collections import Counter
 from collections.abc import Iterator
@@ -49,11 +48,10 @@ SAMPLE_PER_CLASS = 2_000
 POSITIVE, NEGATIVE = 1_500, 4_000
 #: Chance, over all runs, that a character run is taken for a mark of toxic texts by accident.
 CHANCE = 1e-3
-#: Shares of a text's words with a run that are told apart in the contrast of toxic and clean texts, its least
-#: odds ratio, and its least likelihood ratio, of a set's largest.
+#: Shares of a text's words with a run that are told apart in the contrast of toxic and clean texts, and its least
+#: odds ratio.
 SHARES = (0.0, 0.005, 0.01, 0.02)
 ODDS = 8.0
-NEAR_BEST = 0.8
 #: Added to the share of marked words before its logarithm.
 LEAST_SHARE = 0.005
 #: Positive words, most frequent first, whose disguises are learnt as well.
@@ -124,36 +122,35 @@ def features(word: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scores(text: str, weights: np.ndarray) -> np.ndarray:
-    """The kernel machine's value for every word of a text, without its intercept."""
+    """Each machine's value (a column of ``weights``) for every word of a text, without its intercept."""
     own = numbers(text)
-    value = np.zeros(len(own))
+    value = np.zeros((len(own), weights.shape[1]))
     for at, code, weight in _subsequences(own):
         value[at] += weight * weights[code]
     starts = np.flatnonzero(own == 0)
     length = np.diff(np.append(starts, len(own)))
-    total = np.add.reduceat(value, starts)
+    total = np.add.reduceat(value, starts, axis=0)
     real = length > 1
-    return total[real] / _scale(length[real].astype(float))
+    return total[real] / _scale(length[real].astype(float))[:, None]
 
 
 @dataclasses.dataclass
 class Model:
+    #: Weights by subsequence and intercepts, a column for each machine, that of insults first.
     table: np.ndarray | None
-    intercept: float
+    intercepts: np.ndarray
     weights: list[float]
     bias: float
     base: float
-    #: Patterns of the marks of the second kind, by set.
-    marks: list[str] = dataclasses.field(default_factory=list)
 
     def summary(self, text: str | None) -> list[float]:
-        """[highest word, second highest, log of 1 + words above the margin, log share of marks by set]."""
-        values = word_scores(text, self.table) + self.intercept if text else np.zeros(0)
-        if not len(values):
-            return [-1.0, -1.0, 0.0] + [math.log(LEAST_SHARE)] * len(self.marks)
+        """[highest word, second highest, log of 1 + words above the margin, log share above each other margin]."""
+        every = word_scores(text, self.table) + self.intercepts if text else np.zeros((0, len(self.intercepts)))
+        if not len(every):
+            return [-1.0, -1.0, 0.0] + [math.log(LEAST_SHARE)] * (len(self.intercepts) - 1)
+        values = every[:, 0]
         top = np.partition(values, -2)[-2:] if len(values) > 1 else np.array([-1.0, values[0]])
-        lower = text.lower()
-        shares = [math.log(LEAST_SHARE + len(re.findall(x, lower)) / len(values)) for x in self.marks]
+        shares = np.log(LEAST_SHARE + (every[:, 1:] > 0).mean(axis=0)).tolist()
         return [float(np.clip(top[1], -2, 2)), float(np.clip(top[0], -2, 2)), math.log1p(float((values > 0).sum())), *shares]
 
     def score(self, text: str | None) -> float:
@@ -180,10 +177,11 @@ def witnesses(words: list[set[str]], toxic: np.ndarray) -> set[str]:
     return {run for run, n in in_toxic.items() if in_clean[run] <= min(allowed, n // 20) and n >= least}
 
 
-def contrasts(words: list[set[str]], toxic: np.ndarray) -> list[set[str]]:
+def contrasts(words: list[set[str]], toxic: np.ndarray, explained: np.ndarray) -> list[set[str]]:
     """Sets of character runs that toxic texts carry in some share of their words with higher odds than clean ones.
 
-    Each set is what tells most of the toxic texts that the sets before it have not explained: other languages, mostly.
+    Each set is what tells most of the toxic texts that are not ``explained`` yet, by the sets before it or otherwise:
+    other languages, mostly.
     """
     n = [int((toxic == k).sum()) for k in (0, 1)]
     carried: list[dict] = []
@@ -191,7 +189,7 @@ def contrasts(words: list[set[str]], toxic: np.ndarray) -> list[set[str]]:
         in_words = Counter(run for word in own for run in _runs(word))
         carried.append({(run, k) for run, c in in_words.items() for k in SHARES if c > k * len(own)})
     clean = Counter(key for own, y in zip(carried, toxic, strict=True) if not y for key in own)
-    left = [own for own, y in zip(carried, toxic, strict=True) if y]
+    left = [own for own, y, known in zip(carried, toxic, explained, strict=True) if y and not known]
     least = statistics.NormalDist().inv_cdf(1 - CHANCE / max(1, len(set().union(*left)))) ** 2 if left else 0.0
     found: list[set[str]] = []
     while left and n[0]:
@@ -208,17 +206,12 @@ def contrasts(words: list[set[str]], toxic: np.ndarray) -> list[set[str]]:
                 ratios[key] = ratio
         if not ratios:
             break
-        best = {key for key, ratio in ratios.items() if ratio >= NEAR_BEST * max(ratios.values())}
+        best = {key for key, ratio in ratios.items() if ratio >= max(ratios.values()) - least}
         found.append({run for run, _ in best})
         left = [own for own in left if best.isdisjoint(own)]
     return found
 
 
-def pattern(found: set[str]) -> str:
-    """Regular expression of runs, where ^ stands for the start of a word."""
-    return "|".join(f"(?<!\\S)[{re.escape(_AROUND)}]?{re.escape(x[1:])}" if x[0] == "^" else re.escape(x) for x in sorted(found))
-
-
 def disguised(word: str) -> list[str]:
     """The word with characters set between, doubled, inserted or replaced."""
     inner = len(word) // 2
@@ -226,20 +219,28 @@ def disguised(word: str) -> list[str]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 40) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by dual coordinate descent; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    norm = (x * x).sum(axis=1)
+    """Linear support vector machine by dual coordinate descent; the last weight is the intercept.
+
+    Examples that rest at a bound are looked at again in every fifth round only.
+    """
+    x = np.column_stack([x, np.ones(len(x))]) * y[:, None]
+    norm, bound = (x * x).sum(axis=1).tolist(), cost.tolist()
+    alpha, w = [0.0] * len(x), np.zeros(x.shape[1])
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(x)):
-            step = np.clip(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0, cost[i]) - alpha[i]
-            if step:
-                alpha[i] += step
-                w += step * y[i] * x[i]
-                moved = max(moved, abs(step))
-        if moved < 1e-4:
+    moving = np.arange(len(x))
+    for epoch in range(epochs):
+        every = epoch % 5 == 0
+        moved, last = [], 0.0
+        for i in rng.permutation(len(x) if every else moving).tolist():
+            before = alpha[i]
+            now = min(max(before - (float(x[i] @ w) - 1) / norm[i], 0.0), bound[i])
+            if now != before:
+                alpha[i] = now
+                w += (now - before) * x[i]
+                moved.append(i)
+                last = max(last, abs(now - before))
+        moving = np.array(moved, dtype=np.int64)
+        if every and last < 1e-4:
             break
     return w[:-1], float(w[-1])
 
@@ -255,9 +256,9 @@ def _tokens(text: str) -> set[str]:
     return {w for w in text.lower().split() if len(w) <= 24}
 
 
-def _machine(positive: list[str], pool: list[str]) -> tuple[np.ndarray, float]:
+def _machine(positive: list[str], pool: list[str], known_disguises: int = 0, turns: int = 3) -> tuple[np.ndarray, float]:
     """Table of weights by subsequence, and intercept, of the machine that tells positive words from the pool's."""
-    positive = positive + [x for w in positive[:DISGUISED] for x in disguised(w)]
+    positive = positive + [x for w in positive[:known_disguises] for x in disguised(w)]
     rng = np.random.default_rng(11)
     negative = [pool[i] for i in rng.permutation(len(pool))[:NEGATIVE]]
     half = min(len(positive), LANDMARKS // 2)
@@ -271,17 +272,23 @@ def _machine(positive: list[str], pool: list[str]) -> tuple[np.ndarray, float]:
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6) + 1e-3)) @ vectors.T
 
+    known: dict[str, np.ndarray] = {}
+
     def embed(own: list[str]) -> np.ndarray:
-        return np.array([space[:, c].astype(np.float64) @ v for c, v in map(features, own)]).reshape(len(own), len(marks)) @ root
+        for word in own:
+            if word not in known:
+                codes, weights = features(word)
+                known[word] = space[:, codes] @ weights
+        return np.array([known[w] for w in own]).reshape(len(own), len(marks)) @ root
 
     table, intercept = np.zeros(_IDS**3), 0.0
-    for turn in range(3):
+    for turn in range(turns):
         x = np.vstack([embed(positive), embed(negative)])
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         cost = np.where(sign > 0, 10.0 * max(1.0, len(negative) / (4 * len(positive))), 10.0)
         w, intercept = _svm(x, sign, cost)
         table = (root @ w) @ space.astype(np.float64)
-        if turn < 2:  # add the clean words that the machine is most wrong about
+        if turn < turns - 1:  # add the clean words that the machine is most wrong about
             more = pool if len(pool) <= 40_000 else [pool[i] for i in rng.permutation(len(pool))[:40_000]]
             scores = np.array([v for w_ in range(0, len(more), 2000) for v in _bulk(more[w_ : w_ + 2000], table)])
             worst = [more[i] for i in np.argsort(-scores)[:1500]]
@@ -299,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 def learn(texts: list[str], y: np.ndarray, base: float) -> Model:
     """The model of labelled texts, where a share of base has label 1."""
     if len(set(y.tolist())) < 2:
-        return Model(None, 0.0, [], 0.0, base)
+        return Model(None, np.zeros(1), [], 0.0, base)
     held = np.zeros(len(y), dtype=bool)
     for k in (0, 1):
         own = np.flatnonzero(y == k)
@@ -312,14 +319,18 @@ def learn(texts: list[str], y: np.ndarray, base: float) -> Model:
     # clean words as they stand, so that signs around a word are seen to be harmless
     pool = sorted(set().union(clean, *(_tokens(t) for t, h, z in zip(texts, held, y, strict=True) if not h and not z)))
     rare = witnesses(words, toxic)
-    others = [{w for w in own if rare.isdisjoint(_runs(w))} for own in words]
-    marks = [pattern(x) for x in contrasts(others, toxic)]
+    insults = np.array([any(not rare.isdisjoint(_runs(w)) for w in own) for own in words], dtype=bool)
+    sets = contrasts(words, toxic, insults)
     positive = sorted((w for w in seen if not rare.isdisjoint(_runs(w)) and not clean[w]), key=lambda w: (-seen[w], w))[:POSITIVE]
-    if not positive and not marks:
-        return Model(None, 0.0, [], 0.0, base)
-    # without marks of the first kind, no word is above the margin
-    table, intercept = _machine(positive, pool) if positive else (np.zeros(_IDS**3, dtype=np.float32), -1.0)
-    model = Model(table, intercept, [], 0.0, base, marks)
+    if not positive and not sets:
+        return Model(None, np.zeros(1), [], 0.0, base)
+    # without insults, no word is above the margin
+    machines = [_machine(positive, pool, DISGUISED) if positive else (np.zeros(_IDS**3, dtype=np.float32), -1.0)]
+    for runs in sets:
+        held_by = {w: not runs.isdisjoint(_runs(w)) for w in set(seen) | set(clean)}
+        own = sorted((w for w in seen if held_by[w]), key=lambda w: (-seen[w], w))[:POSITIVE]
+        machines.append(_machine(own, sorted(w for w, h in held_by.items() if not h), turns=2))
+    model = Model(np.stack([t for t, _ in machines], axis=1), np.array([i for _, i in machines]), [], 0.0, base)
     rest = np.flatnonzero(held)
     if len(set(y[rest].tolist())) < 2:
         rest = np.arange(len(y))
@@ -330,7 +341,7 @@ def learn(texts: list[str], y: np.ndarray, base: float) -> Model:
 
 
 def _bulk(words: list[str], table: np.ndarray) -> np.ndarray:
-    return word_scores(" ".join(words), table)
+    return word_scores(" ".join(words), table[:, None])[:, 0]
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

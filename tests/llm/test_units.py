@@ -270,7 +270,9 @@ def test_string_kernel_tolerates_gaps():
     table = np.zeros(64**3)
     codes, weights = toxicity.features("idiot")
     table[codes] = weights
-    values = toxicity.word_scores("the idiot i d i o t", table)
+    values = toxicity.word_scores("the idiot i d i o t", np.stack([table, 2 * table], axis=1))
+    assert np.allclose(values[:, 1], 2 * values[:, 0])
+    values = values[:, 0]
     assert np.isclose(values[1], kernel("idiot", "idiot")) and values[2] > values[0]
     assert set(itertools.islice(toxicity.disguised("idiot"), 2)) == {"i.d.i.o.t", "i-d-i-o-t"}
     assert hashlib.sha256(b"").hexdigest()
