@@ -6,12 +6,15 @@ The shapes of one host are aligned one after the other into a wrapper: items tha
 only one side has become optional. So a wrapper is a regular expression over items with groups that repeat,
 items that are optional and slots of text, and every page of the host matches it.
 
-A slot is an item of the wrapper with the elements around the text. The wrapper says which slots hold the
-main text (``choose``): those inside the article or main element, if the host's wrapper has one; otherwise
-those whose text varies from page to page, but for groups that repeat nothing but links. Slots inside the
+A slot is an item of the wrapper with the elements around the text. The wrapper says which slots hold the main text (``Chosen``): those inside the article or main
+element, if the host's wrapper has one; otherwise all but for groups that repeat nothing but links. Of these,
+stale slots go, whose texts return on other pages more often than those of the slots with most text, as notices
+and rotating adverts do. Headings, and slots of an article, go only where most of their texts return, headings of an
+article not at all. Of groups that repeat inside the article, those go whose parts are a line and a text without a
+heading, which are the readers' comments, as are articles inside it. Slots inside the
 elements or landmark roles of menus, headers, footers, sidebars, forms, dialogs, scripts and styles hold
-none, nor do articles inside the article, which are the readers' comments; class names say nothing. A page
-is read by matching its items against its host's wrapper and taking the texts of the slots chosen there.
+none; class names say nothing. A page is read by matching its items against its host's wrapper and taking the
+texts of the slots chosen there.
 
 Shapes and slots are aggregated with map-side combine (host, shape, slot), so no page of a popular host
 meets another one. A host's shapes are aligned ``FAN`` at a time, then the wrappers of those, until one is
@@ -40,14 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import lean
 
 POPULAR = 500
 #: Wrappers of one host that a task aligns into one.
 FAN = 64
 #: Bytes of html in a partition of the join of pages and wrappers.
 PARTITION_BYTES = 64_000_000
-#: Different pages, copies not counted, that a constant is on at least.
-CONSTANT_PAGES = 3
+#: Texts of a stale slot at least, by how much more of them are on another page than of the largest slots', and by how
+#: much more of a heading's or of a slot inside an article.
+STALE_TEXTS, STALE_MORE, STALE_MOST = 3, 0.05, 0.5
 #: Longest repeated run of items that is folded.
 RUN = 8
 
@@ -56,6 +61,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _DROP = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas input".split())
+_INLINE = "a abbr b bdi bdo cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+_IN_LINE = f"(/({'|'.join(_INLINE)})([.!][^/]*)?)+$"
 #: Landmark roles and the elements that have them by themselves.
 _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "main": "main", "article": "article"}
 _CLOSES_P = _BLOCK - frozenset("body head html title td th tr tbody thead tfoot".split())
@@ -220,7 +227,7 @@ def fold(items: list[str]) -> tuple[list[str], list[int]]:
     return out, [k for k, n in enumerate(held) for _ in range(n)] or [0]
 
 
-# A wrapper is a list of [item, optional, {path: [characters, smallest and largest hash, pages]}].
+# A wrapper is a list of [item, optional, {path: characters}].
 
 
 def align(wrapper: list[list], other: list[list]) -> list[list]:
@@ -239,9 +246,8 @@ def align(wrapper: list[list], other: list[list]) -> list[list]:
 
 def _summed(left: dict, right: dict) -> dict:
     out = dict(left)
-    for path, (chars, low, high, pages) in right.items():
-        seen = out.get(path)
-        out[path] = [seen[0] + chars, min(seen[1], low), max(seen[2], high), seen[3] + pages] if seen else [chars, low, high, pages]
+    for path, chars in right.items():
+        out[path] = out.get(path, 0) + chars
     return out
 
 
@@ -302,21 +308,25 @@ def wrapping_form(sizes: dict[str, int]) -> str:
 class Chosen:
     """Which slots of a wrapper hold main text."""
 
-    def __init__(self, wrapper: list[list]):
+    def __init__(self, wrapper: list[list], stale: dict[str, float] | None = None):
         self.wrapper = wrapper
         sizes: dict[str, int] = {}
         for _, _, slots in wrapper:
-            for path, own in slots.items():
-                sizes[path] = sizes.get(path, 0) + own[0]
+            sizes = _summed(sizes, slots)
         self.form = wrapping_form(sizes)
-        open_ = {(k, path): own for k, (_, _, slots) in enumerate(wrapper) for path, own in slots.items() if not dropped(path, self.form)}
+        open_ = {(k, path): n for k, (_, _, slots) in enumerate(wrapper) for path, n in slots.items() if not dropped(path, self.form)}
         self.region = next((x for x in ("article", "main") if any(x in map(_element, path.split("/")) for _, path in open_)), "")
         self.slots: dict[tuple[int, str], bool] = {}
-        for (k, path), (_, low, high, pages) in open_.items():
-            constant = low == high and pages >= CONSTANT_PAGES
-            item = wrapper[k][0]
+        chars = {True: 0, False: 0}
+        for (k, path), n in open_.items():
+            item, more = wrapper[k][0], (stale or {}).get(re.sub(_IN_LINE, "", path), 0.0)
             menu = item.endswith(")+") and all("a" in map(_element, x.split("/")) for x in wrapper[k][2])
-            self.slots[k, path] = self.inside(path) if self.region else not constant and not menu
+            heading = _HEADING.search(path)
+            old = more > (STALE_MOST if self.region or heading else STALE_MORE) and not (self.region and heading)
+            self.slots[k, path] = not old and (self.inside(path) and not comments(item) if self.region else not menu)
+            chars[old] += n if self.inside(path) else 0
+        if self.region and chars[True] >= chars[False]:  # copies of one article, it seems
+            self.slots = {(k, path): self.inside(path) and not comments(wrapper[k][0]) for k, path in open_}
         if not any(self.slots.values()):  # nothing varies that could be the text instead
             self.slots = dict.fromkeys(open_, True)
         #: Paths with some slot of main text, for items that no page before had.
@@ -339,6 +349,16 @@ class Chosen:
         return (path in self.paths or bool(self.region) and self.inside(path) and not dropped(path, self.form)) if yes is None else yes
 
 
+_HEADING = re.compile(r"/h[1-6]\b")
+_INNER = re.compile(r"<([a-z0-9]+)[^<>]*> # </\1>")
+_HEADED = re.compile(r"<h[1-6][^a-z]|<t[rdh][^a-z]|<d[td][^a-z]|<figure")
+
+
+def comments(item: str) -> bool:
+    """Whether a repeated group is one of readers' comments: boxes of a line and a text, without heading or table."""
+    return item.endswith(")+") and len(_INNER.findall(item)) > 1 and len(set(_INNER.findall(item))) > 1 and item.startswith(("(<div", "(<li", "(<section", "(<article")) and not _HEADED.search(item)
+
+
 def extract(page: str | None, chosen: Chosen | None = None) -> str:
     """Main text of a page by its host's wrapper; by the page's own if it is null."""
     if not page:
@@ -346,7 +366,7 @@ def extract(page: str | None, chosen: Chosen | None = None) -> str:
     items, texts = parse(page)
     folded, place = fold(items)
     if chosen is None:
-        chosen = Chosen(_opened(folded, [(k, path, h, n, 1) for k, path, h, n in shape(page)[1]]))
+        chosen = Chosen(_opened(folded, [(k, path, n) for k, path, _, n in shape(page)[1]]))
     at = chosen.places(folded)
     kept = [chosen.holds(at[place[item]], path) for item, path, _, _ in texts]
     if not any(k for k, x in zip(kept, texts, strict=True) if x[2].strip()) and chosen.region:
@@ -365,11 +385,10 @@ def extract(page: str | None, chosen: Chosen | None = None) -> str:
 
 
 def _opened(items: list[str], slots: list[tuple]) -> list[list]:
-    """The wrapper of one shape, from (item, path, low hash, characters, pages) or with a high hash before the characters."""
+    """The wrapper of one shape, from (item, path, characters)."""
     out = [[x, False, {}] for x in items]
-    for k, path, low, *rest in slots:
-        high, (chars, pages) = (rest[0] if len(rest) == 3 else low), rest[-2:]
-        out[k][2][path] = [chars, low, high, pages]
+    for k, path, chars in slots:
+        out[k][2][path] = chars
     return out
 
 
@@ -397,7 +416,7 @@ def _open_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for items, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            own = [(x["item"], x["path"], x["low"], x["high"], x["chars"], x["pages"]) for x in slots if x["item"] >= 0]
+            own = [(x["item"], x["path"], x["chars"]) for x in slots if x["item"] >= 0]
             out.append(json.dumps(_opened(json.loads(items), own), ensure_ascii=False))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["host", "place", "wrapper"])
 
@@ -424,19 +443,31 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ROW = "host string, place long, wrapper string"
 
 
+def returning(slots: DataFrame) -> DataFrame:
+    """host and stale, {path of a block: by how much more of its texts return on other pages than of the paths with most text}."""
+    every = slots.where("item >= 0").groupBy("host", "path", "h", "page").agg(F.max("chars").alias("chars"))  # copies of a page count once
+    # what a page has in one kind of block is one text
+    texts = every.groupBy("host", F.regexp_replace("path", _IN_LINE, "").alias("path"), "page").agg(F.bit_xor(F.xxhash64("h")).alias("h"), F.sum("chars").alias("chars"))
+    by_text = texts.groupBy("host", "path", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    paths = by_text.groupBy("host", "path").agg(F.sum("n").alias("n"), (1 - F.count("*") / F.sum("n")).alias("returns"), F.sum("chars").alias("chars"))
+    most = paths.groupBy("host").agg(F.max("chars").alias("most"))
+    usual = paths.join(most, "host").where("2 * chars >= most").groupBy("host").agg(F.min("returns").alias("usual"))
+    more = F.col("returns") - F.col("usual")
+    return paths.join(usual, "host").where((F.col("n") >= STALE_TEXTS) & (more > STALE_MORE)).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", more.alias("more")))).alias("stale"))
+
+
 def infer(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host and wrapper (JSON) of every host."""
-    slots = pages.select("url", "html").mapInArrow(_shapes, _SLOTS)
-    # a page has one shape, so a host's counts add up; the sketch never counts one or two pages as more
-    summed = slots.groupBy("host", "shape_id", "item", "path").agg(F.max("shape").alias("shape"), F.sum("chars").alias("chars"), F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page").alias("pages"))
-    shapes = summed.groupBy("host", "shape_id").agg(F.max("shape").alias("shape"), F.collect_list(F.struct("item", "path", "low", "high", "chars", "pages")).alias("slots"))
+    """host, wrapper (JSON) and stale paths of every host."""
+    slots = scratch.cut(pages.select("url", "html").mapInArrow(lean(_shapes), _SLOTS), "slots")
+    summed = slots.groupBy("host", "shape_id", "item", "path").agg(F.max("shape").alias("shape"), F.sum("chars").alias("chars"))
+    shapes = summed.groupBy("host", "shape_id").agg(F.max("shape").alias("shape"), F.collect_list(F.struct("item", "path", "chars")).alias("slots"))
     rows = scratch.cut(shapes.mapInArrow(_open_shapes, _ROW), "wrappers-0")
     level = 0
     while True:
         counts = rows.groupBy("host").agg(F.count("*").alias("n"))
         most = counts.agg(F.max("n")).first()[0] or 0
         if most <= 1:
-            return rows.select("host", "wrapper")
+            return rows.select("host", "wrapper").join(scratch.cut(returning(slots), "stale-paths"), "host", "left")
         # equal buckets by rank would need a sort of a host's rows; hashed ones differ little
         dealt = rows.join(counts, "host").withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(level)), F.ceil(F.col("n") / FAN)))
         learnt = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "place").select("host", "bucket", "wrapper").mapInArrow(_learn, _ROW)
@@ -446,16 +477,19 @@ def infer(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, Chosen | None] = {None: None}
+    """Rows sorted by host and piece, the wrapper before its pages, which alone carries it."""
+    place, chosen = None, None
     for batch in batches:
-        out = []
-        for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if wrapper not in known:
-                if len(known) > 500:
-                    known = {None: None}
-                known[wrapper] = Chosen(json.loads(wrapper))
-            out.append(extract(page, known[wrapper]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        out: dict = {"page_id": [], "url": [], "text": []}
+        for name, piece, wrapper, stale, page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (name, piece) != place:
+                place, chosen = (name, piece), None
+            if wrapper is not None:
+                chosen = Chosen(json.loads(wrapper), dict(stale or ()))
+                continue
+            for k, v in zip(out, (page_id, url, extract(page, chosen)), strict=True):
+                out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["url"], pa.string()), pa.array(out["text"], pa.string()), pa.array(map(len, out["text"]), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -469,6 +503,10 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     # fewer than POPULAR hosts can have more than total / POPULAR pages each
     popular = counts.where(F.col("n") > step).select("host", F.ceil(F.col("n") / step).cast("int").alias("pieces"))
     dealt = own.withColumn("host", name).join(F.broadcast(popular), "host", "left").withColumn("piece", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("pieces", F.lit(1))).cast("int"))
-    copies = wrappers.join(F.broadcast(popular), "host", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    copies = wrappers.join(F.broadcast(popular), "host", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
     parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PARTITION_BYTES))
-    return dealt.repartition(parts, "host", "piece").join(copies, ["host", "piece"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    none = F.lit(None)
+    rows = copies.select("host", "piece", "wrapper", "stale", none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"))
+    rows = rows.unionByName(dealt.select("host", "piece", none.cast("string").alias("wrapper"), none.cast("map<string, double>").alias("stale"), "page_id", "url", "html"))
+    together = rows.repartition(parts, "host", "piece").sortWithinPartitions("host", "piece", F.col("wrapper").isNull())
+    return together.mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")

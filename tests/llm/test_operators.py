@@ -405,9 +405,31 @@ def test_pages_without_article_keep_all_that_varies(spark):
     assert out == {i: f"T{x}\n\na {x}\n\nlong text of page {x}\n\nb" for i, x in enumerate("abcd")}
 
 
+def test_adverts_and_comments_go_by_the_wrapper(spark, monkeypatch):
+    """A slot whose texts return on other pages is no main text, and boxes of a name and a text are comments."""
+    ad = ["buy this", "buy that", "win now"]
+    div = "<html><body><ul><li><a href=/>x</a></li><li><a href=/>y</a></li></ul><div class=ad>{ad}</div><div><h1>T{i}</h1><p>one {i}</p><p>two {i}</p></div></body></html>"
+    talk = "<div><b>Ann</b><p>says {i}</p></div><div><b>Bob</b><p>replies {i}</p></div>"
+    art = "<html><body><{e}><h1>T{i}</h1><p>one {i}</p><p>two {i}</p><div>{ad}</div>{talk}<section><h2>More</h2><p>three {i}</p></section></{e}></body></html>"
+    data = []
+    for i in range(12):
+        fill = {"{ad}": ad[i % 3], "{i}": "abcdefghijkl"[i] * 3}
+        for k, page in enumerate((div, art.replace("{talk}", talk).replace("{e}", "article"), art.replace("{talk}", talk).replace("{e}", "main"))):
+            for a, b in fill.items():
+                page = page.replace(a, b)
+            data.append((100 * k + i, f"http://h{k}.example/{i}", page))
+    want = lambda i, more: "\n\n".join([f"T{i * 3}", f"one {i * 3}", f"two {i * 3}"] + more)
+    expected = {i: want(x, []) for i, x in enumerate("abcdefghijkl")}
+    for k in (1, 2):
+        expected |= {100 * k + i: want(x, ["More", f"three {x * 3}"]) for i, x in enumerate("abcdefghijkl")}
+    assert pages_of(spark, data) == expected
+    alone = {i: wrappers.extract(page) for i, _, page in data}
+    assert all(alone[i] != expected[i] for i in alone)  # a page by itself does not show what returns
+
+
 def test_registry_names_every_operator():
     names = registry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names} and len(corpus_pipeline.STAGES) == 5
 
 
 def test_quality_filter_keeps_blank_texts_whatever_the_base_rate(spark, tmp_path):
