@@ -16,6 +16,7 @@ one link class each, their own; repeated (vec_id, vector) rows count as vectors
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import SALT, components
 from .scratch import Scratch
+from .workers import lean
 
 THRESHOLD = 0.95
 MISS = 1e-6
@@ -44,16 +46,28 @@ def plan(classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+@functools.lru_cache(maxsize=8)
 def _hyperplanes(dim: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
+    return np.rint(np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables)) * 1_024)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.vstack([np.frombuffer(x, dtype="<f8") for x in column])
+def _matrix(column, dim: int) -> np.ndarray:
+    """Rows of ``dim`` doubles, from bytes of doubles or of floats."""
+    return np.vstack([np.frombuffer(x, dtype="<f4" if len(x) == 4 * dim else "<f8").astype(np.float64) for x in column])
 
 
-def _codes(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    signs = (unit @ _hyperplanes(unit.shape[1], bits, tables) >= 0).reshape(len(unit), tables, bits)
+def _thin(m: np.ndarray) -> list[bytes]:
+    """Each row's bytes, as floats where these are the same numbers."""
+    with np.errstate(over="ignore"):
+        short = m.astype("<f4")
+    return [(a if same else b).tobytes() for a, b, same in zip(short, m, (short == m).all(axis=1).tolist(), strict=True)]
+
+
+def _codes(unit: np.ndarray, bits: int, tables: int, only: int | None = None) -> np.ndarray:
+    """Codes of the first ``only`` tables. Both factors are whole numbers, so a vector has the same signs in any company."""
+    only = tables if only is None else only
+    whole = np.rint(unit * (1 << 20))
+    signs = (whole @ _hyperplanes(unit.shape[1], bits, tables)[:, : only * bits] >= 0).reshape(len(unit), only, bits)
     return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2).astype("<i4")
 
 
@@ -77,16 +91,18 @@ def _hash(bits: int, tables: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(1).to_pylist()
+            raw = batch.column(2).to_pylist()
             sizes = np.array([len(x) for x in raw])
             out: list = [None] * len(raw)
+            thin: list = [None] * len(raw)
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                m = _matrix([raw[i] for i in at])
+                at, dim = np.flatnonzero(sizes == size), int(size // 8)
+                m = _matrix([raw[i] for i in at], dim)
                 scale = np.abs(m).max(axis=1, keepdims=True)
-                for i, code in zip(at, _codes(m / scale, bits, tables), strict=True):
-                    out[i] = [(int(size // 8) << 32) | int(c) for c in code]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["cls", "codes"])
+                for i, code, own in zip(at, _codes(m / scale, bits, tables), _thin(m), strict=True):
+                    out[i] = [(dim << 32) | int(c) for c in code]
+                    thin[i] = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(thin, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "members", "thin", "codes"])
 
     return run
 
@@ -96,15 +112,15 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m, np.sqrt((m * m).sum(axis=1))
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, bits: int, tables: int):
     """Counts and spanning links among two blocks of one bucket (or within one)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, _, i, j = key
+        table, code, i, j = key
         ids, own = pdf["cls"].to_numpy(), pdf["blk"].to_numpy()
         counts = pdf["members"].to_numpy()
-        m, norm = _unit(_matrix(pdf["raw"]))
-        codes = np.vstack(pdf["codes"].to_numpy())[:, :table]
+        m, norm = _unit(_matrix(pdf["thin"], int(code) >> 32))
+        codes = _codes(m, bits, tables, int(table)) if table else None
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = np.zeros(len(ids), dtype=np.int64)
         links: list[tuple[int, int]] = []
@@ -157,7 +173,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     tables = math.ceil(math.log(MISS) / math.log(1 - meet))
 
-    codes = scratch.cut(classes.select("cls", "raw").mapInArrow(_hash(bits, tables), "cls long, codes array<long>"), "codes")
+    codes = scratch.cut(classes.select("cls", "members", "raw").mapInArrow(lean(_hash(bits, tables)), "cls long, members long, thin binary, codes array<long>"), "codes")
     stands = codes.select("cls", F.posexplode("codes").alias("table", "code"))
     sizes = scratch.cut(stands.groupBy("table", "code").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     # a row for each block pair that its block takes part in; blocks are dealt by hash
@@ -168,8 +184,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select("cls", "table", "code", "blk", F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"))
     )
-    full = dealt.join(classes.select("cls", "members", "raw"), "cls").join(codes, "cls")
-    found = scratch.cut(full.groupBy("table", "code", "i", "j").applyInPandas(_compare(threshold), "cls long, n long, other long"), "found")
+    # numbers travel until here; a vector then goes to its blocks in as few bytes as it has, and its codes are made there
+    full = dealt.join(codes.select("cls", "members", "thin"), "cls")
+    found = scratch.cut(full.groupBy("table", "code", "i", "j").applyInPandas(_compare(threshold, bits, tables), "cls long, n long, other long"), "found")
 
     links = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")), scratch, "vector-links")
     counts = found.where("n > 0").groupBy("cls").agg(F.sum("n").alias("n"))
