@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, apart
 from .workers import lean
 
 WINDOW = 10
@@ -152,13 +152,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_
     if shards == 1:
         return one(items, docs, schema)
     scratch = scratch or Scratch(spark)
-    numbered = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-docs")
+    row = f"{apart(docs.columns)}row"
+    numbered = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
     found = None
     for k in range(shards):
-        part = one(items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k), numbered.select("__row", "text"), "__row long, text string").drop("text")
+        part = one(items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k), numbered.select(row, "text"), f"{row} long, text string").drop("text")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
-    return numbered.join(merged.withColumn("hit_spans", _merge_spans(F.col("hit_spans"))), "__row").drop("__row")
+    merged = found.groupBy(row).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    return numbered.join(merged.withColumn("hit_spans", _merge_spans(F.col("hit_spans"))), row).drop(row)
 
 
 def n_hit():

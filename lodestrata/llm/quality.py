@@ -9,8 +9,9 @@ own habits and hide the dictionary's effect.
 
 Nulls and empty texts get the labelled texts' base rate. Null labels, labels of missing documents and
 labels with a null doc_id teach nothing. A doc_id labelled both ways teaches both. With labels of one
-class only, or none, every text gets the smoothed base rate. Ties and repeated rows are scored alike;
-columns other than those named are kept as they are.
+class only, or none, every text gets the smoothed base rate. Ties and repeated rows are scored alike, and so are
+rows with a null doc_id, whose ``held_out`` is null; columns other than those named are kept as they are, but the
+score replaces a column of its name.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import salted
-from .scratch import Scratch
+from .scratch import Scratch, apart
 from .shingles import WORD_HASHES, long_grams, split_words, winnow
 from .workers import lean
 
@@ -236,10 +236,11 @@ def find(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int =
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of columns with a text and, last, the spans to cut from it."""
     for batch in _slices(batches):
         at = batch.schema.get_field_index("text")
         out = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             out.append(text if not text or not spans else without(text, spans))
         yield batch.set_column(at, "text", pa.array(out, pa.string()))
 
@@ -264,6 +265,9 @@ def _word_edges(data: bytes) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """``docs`` with repeated passages cut from text; rows and other columns stay."""
-    spans = find(docs, scratch, window, phrase).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__key"])
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(spans.withColumnRenamed("__key", "__k"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__k")), "left").select(*[F.col(c) for c in docs.columns], "__spans")
-    return joined.mapInArrow(lean(_strip), joined.schema).drop("__spans")
+    own = apart(docs.columns)
+    found = find(docs, scratch, window, phrase).where(F.size("spans") > 0)
+    spans = found.select(F.col("doc_id").alias(f"{own}doc"), F.col("tkey").alias(f"{own}tkey"), F.col("spans").alias(f"{own}spans")).dropDuplicates([f"{own}doc", f"{own}tkey"])
+    same = (F.col("doc_id") == F.col(f"{own}doc")) & (F.xxhash64("text") == F.col(f"{own}tkey"))
+    joined = docs.join(spans, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], f"{own}spans")
+    return joined.mapInArrow(lean(_strip), joined.schema).drop(f"{own}spans")

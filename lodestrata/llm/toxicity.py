@@ -23,7 +23,8 @@ margin, and of the share of words above each other machine's, fitted on labelled
 
 Null and empty texts, and texts without words, score as a text whose words are all unremarkable. Null
 labels, labels without a document and labels with a null doc_id teach nothing. With labels of one class
-only, or none, every text gets the smoothed base rate.
+only, or none, every text gets the smoothed base rate. Equal texts are scored alike, however often they occur, and so
+are rows with a null doc_id, whose ``held_out`` is null; the score replaces a column of its name, other columns stay.
 """
 
 from __future__ import annotations
