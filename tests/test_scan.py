@@ -178,3 +178,25 @@ def test_many_tasks_read_one_file(spark, tmp_path, tiny_ranges):
     table = read_csv(spark, path)
     assert table.df.count() == 4_000 and table.df.where("c1 = 'x\ny'").count() == 4_000
     assert table.df.select("row_no").distinct().count() == 4_000
+
+
+def test_part_files_are_one_text(spark, tmp_path, tiny_ranges):
+    parts = [b"id,note\n", b"", b'1,"a\nb"\n2,"over\n', "é\n".encode() * 600, b'parts"\n3,c\n', b"4,d", b"5,e\n"]
+    for k, content in enumerate(parts):
+        (tmp_path / f"part-{k:05d}-x.csv").write_bytes(content)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    table = read_csv(spark, str(tmp_path))
+    found, numbers = cells_of(table)
+    assert table.header == ["id", "note"] and numbers == list(range(5)) and table.findings == []
+    assert found == [("1", "a\nb"), ("2", "over\n" + "é\n" * 600 + "parts"), ("3", "c"), ("4", "d"), ("5", "e")]
+    (tmp_path / "part-00007-x.csv").write_bytes(b'6,x"y"\n')
+    with pytest.raises(LoadError, match="line 609: a quote stands inside"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_csv_round_trip_of_odd_names(spark, tmp_path):
+    from lodestrata.plans.quality import csv_round_trip
+
+    rows = [(0, ' say "x", y ', 1), (1, "two\nlines", 2), (2, "back\\", 3)]
+    spark.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int").repartition(2).write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(map(tuple, csv_round_trip(spark, str(tmp_path)).collect())) == [(str(a), b, str(c)) for a, b, c in rows]
