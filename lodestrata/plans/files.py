@@ -28,14 +28,20 @@ def _joined(sep: str, cells: tuple = _CELLS) -> str:
     return f" || '{sep}' || ".join(f"({c})" for c in cells)
 
 
+#: Lines of a part file, which one task sorts and writes.
+PART_LINES = 250_000
+
+
 def written(spark, sf_dir, head: str, line: str, end: str = "\n", coding: str = "UTF-8") -> str:
-    """The path of one file with a line for each order, in order of its key, behind a header."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
-    lines = orders.select("id", F.expr(line).alias("line")).unionByName(spark.createDataFrame([(-1, head)], "id long, line string"))
+    """The path of one text, in part files, with a line for each order in order of its key behind a header."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(1).alias("at"), F.col("o_orderkey").alias("id"))
+    parts = -(-(orders.count() + 1) // PART_LINES)
+    every = orders.unionByName(spark.createDataFrame([(0, None)], "at int, id long"))
+    sorted_ = every.repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id")
+    lines = sorted_.select(F.when(F.col("at") == 0, F.lit(head)).otherwise(F.expr(line)).alias("line"))
     folder = store.shared_path(spark, "lines")
-    # one file is one task's work to write; its ranges are what many tasks read
-    lines.repartition(1).sortWithinPartitions("id").select(F.encode("line", coding).cast("string").alias("line")).write.option("lineSep", end).text(folder)
-    return next(f for f in store.files(spark, folder) if "/part-" in f)
+    lines.select(F.encode("line", coding).cast("string").alias("line")).write.option("lineSep", end).text(folder)
+    return folder
 
 
 def damaged_files(spark, sf_dir) -> dict[str, TextTable]:
@@ -75,7 +81,7 @@ def file_bytes(spark, sf_dir):
     session.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
     for name, (sep, before, more, end, coding) in FILES.items():
         path = written(spark, sf_dir, before + sep.join(("id", "region", "amount")), f"{_joined(sep)} || {more}", end, coding)
-        head = store.read_range(spark, path, 0, _HEAD)
+        head = store.head(spark, path, _HEAD)
         found = scan_file(session, path, head, sep.encode())
         held = found.held
         rows.append((name, sniff_delimiter(head.decode("utf-8-sig", "ignore")), held.head.startswith(b"\xef\xbb\xbf"), held.crlf, held.lf - held.crlf, held.nuls, held.invalid_at, len(found.entries) > 1, held.last not in (b"\n", b"\r")))
