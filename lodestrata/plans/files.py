@@ -74,13 +74,20 @@ def _file_row(name: str, sep: str, before: str, more: str, end: str, coding: str
     return f"SELECT '{name}' AS name, {shown} AS delimiter, {'true' if before else 'false'} AS bom, {crlf} AS crlf, {lf} AS lf, count(*) FILTER ({more} = chr(0)) AS nuls, CAST({bad} AS BIGINT) AS invalid_at, true AS in_ranges, false AS ends_open FROM t"
 
 
+#: Least bytes of a range, and most of a piece that a range's summary is composed of.
+_PIECE = 16 * 1024
+#: Ranges of a larger text, as a task has to be worth its start, and most bytes of one.
+_RANGES, _RANGE = 64, 128 * 1024 * 1024
+
+
 @register("file_bytes", "WITH t AS (SELECT o_orderkey AS id FROM orders) " + " UNION ALL ".join(_file_row(k, *v) for k, v in FILES.items()))
 def file_bytes(spark, sf_dir):
-    """Bytes of files that are read in ranges of 16 kB or less."""
+    """Bytes of files read in several ranges, of 16 kB where they are small, and composed from pieces of about 16 kB whatever their size."""
     session, rows = _pinned(spark), []
-    session.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_PIECE))
     for name, (sep, before, more, end, coding) in FILES.items():
         path = written(spark, sf_dir, before + sep.join(("id", "region", "amount")), f"{_joined(sep)} || {more}", end, coding)
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(min(_RANGE, max(_PIECE, store.size(spark, path) // _RANGES))))
         head = store.head(spark, path, _HEAD)
         found = scan_file(session, path, head, sep.encode())
         held = found.held

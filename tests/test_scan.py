@@ -200,3 +200,22 @@ def test_csv_round_trip_of_odd_names(spark, tmp_path):
     rows = [(0, ' say "x", y ', 1), (1, "two\nlines", 2), (2, "back\\", 3)]
     spark.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int").repartition(2).write.parquet(f"{tmp_path}/nation.parquet")
     assert sorted(map(tuple, csv_round_trip(spark, str(tmp_path)).collect())) == [(str(a), b, str(c)) for a, b, c in rows]
+
+
+def test_large_texts_are_written_in_parts_and_read_in_few_ranges(spark, monkeypatch):
+    from lodestrata.plans import files
+    from lodestrata.sources import store
+
+    sizes, scan = [], files.scan_file
+    monkeypatch.setattr(files, "PART_LINES", 400)
+    monkeypatch.setattr(files, "_PIECE", 256)
+    monkeypatch.setattr(files, "_RANGES", 8)
+    monkeypatch.setattr(files, "scan_file", lambda *a: sizes.append(scan(*a)) or sizes[-1])
+    got = {r["name"]: r for r in files.file_bytes(spark, "/root/testdata/sf0.001").collect()}
+    path = files.written(spark, "/root/testdata/sf0.001", "id", "CAST(id AS STRING)")
+    assert len(store.text_files(spark, path)) > 2
+    keys = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").orderBy("o_orderkey").collect()]
+    assert b"".join(store.read_small(spark, f) for f in store.text_files(spark, path)).split() == [b"id", *[str(k).encode() for k in keys]]
+    assert got["plain"]["lf"] == len(keys) + 1 and got["tabs"]["crlf"] == sum(k % 2 == 0 for k in keys)
+    # 256 bytes a range would be more than a hundred
+    assert all(1 < len(s.entries) < 40 for s in sizes)
