@@ -48,6 +48,10 @@ from .workers import lean
 POPULAR = 500
 #: Wrappers of one host that a task aligns into one.
 FAN = 64
+#: Bytes of all hosts' wrappers that every worker may hold, so that pages stay where they are; more are joined.
+SENT_BYTES = 4_000_000
+#: Pages' item lists whose places in wrappers a worker keeps, over all hosts.
+PLACES = 20_000
 #: Bytes of html in a partition of the join of pages and wrappers.
 PARTITION_BYTES = 64_000_000
 #: Texts of a stale slot at least, by how much more of them are on another page than of the largest slots', and by how
@@ -492,10 +496,45 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["url"], pa.string()), pa.array(out["text"], pa.string()), pa.array(map(len, out["text"]), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+class Sent:
+    """Wrappers of all hosts in a worker, opened when a page first needs them."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = {name: (wrapper, stale) for name, wrapper, stale in rows}
+        self.opened: dict[str, Chosen] = {}
+
+    def of(self, name: str) -> Chosen | None:
+        if name not in self.opened and name in self.rows:
+            wrapper, stale = self.rows[name]
+            self.opened[name] = Chosen(json.loads(wrapper), stale)
+        return self.opened.get(name)
+
+    def trim(self) -> None:
+        if sum(len(x.known) for x in self.opened.values()) > PLACES:
+            for x in self.opened.values():
+                x.known.clear()
+
+
+def _extract_where(sent):
+    """page_id, url, html -> main text, by wrappers that the worker holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [extract(page, sent.value.of(host(url))) for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            sent.value.trim()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
 def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    wrappers = infer(own, scratch)
+    wrappers = scratch.cut(infer(own, scratch), "host-wrappers")
+    stale_bytes = F.octet_length(F.coalesce(F.to_json("stale"), F.lit("")))
+    if (wrappers.agg(F.sum(F.octet_length("wrapper") + stale_bytes)).first()[0] or 0) <= SENT_BYTES:
+        sent = own.sparkSession.sparkContext.broadcast(Sent([(r["host"], r["wrapper"], dict(r["stale"] or ())) for r in wrappers.collect()]))
+        return own.mapInArrow(lean(_extract_where(sent)), "page_id long, url string, text string, n_chars long")
     name = F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     counts = scratch.cut(own.groupBy(name.alias("host")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size")), "host-counts")
     total, size = counts.agg(F.sum("n"), F.sum("size")).first()

@@ -449,3 +449,14 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == {*range(30), 101, 103} - {2}
     assert out[101]["text"].split() == prose(40, 77).split() and all(r["round_trip"] or r["text"] == "" for r in out.values())
+
+
+def test_pages_stay_where_they_are_if_wrappers_are_small(spark, monkeypatch):
+    data = [(k, f"https://h{k % 3}.org/{k}", f"<html><body><nav><a>home</a></nav><article><h1>t {k}</h1><p>{prose(20, k)}</p></article><footer>f</footer></body></html>" if k else None) for k in range(40)]
+    pages = spark.createDataFrame([*data, (40, None, "<p>x</p>")], "page_id long, url string, html string")
+    sent = wrappers.main_text(pages, Scratch(spark))
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(wrappers, "SENT_BYTES", 0)
+    joined = wrappers.main_text(pages, Scratch(spark))
+    assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, joined.collect()))
