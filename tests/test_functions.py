@@ -57,3 +57,31 @@ def test_text(spark):
 def test_repeated_and_null_columns(spark):
     assert run(spark, [None], lambda V: X.is_blank(V)) == [None]
     assert datetime.datetime(1970, 1, 1)
+
+
+def test_guards_change_no_predicate(spark):
+    import random
+
+    from lodestrata.functions import text as X
+    from pyspark.sql import functions as F
+
+    draw, parts = random.Random(5), [*X.WS_CHARS, *"aZ0-.@+,;#/?()é漢𝔘ßİK", "n/a", "NULL", "Nan", "yes", "4111111111111111", "DE89370400440532013000", "gb82WEST12345698765432", "u@x.org", "+44 20 7946 0000"]
+    values = [None, "", *parts, *("".join(draw.choices(parts, k=draw.randint(1, 5))) for _ in range(4_000))]
+    v = F.col("v")
+    assert {chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000 and chr(k).isspace()} == set(X.WS_CHARS)
+    strip = F.regexp_replace(v, f"\\A[{X.WS}]+|[{X.WS}]+\\z", "")
+    iban = F.regexp_replace(F.upper(strip), f"[{X.WS}]", "").rlike("\\A[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\z")
+    pairs = {
+        "strip": (X.py_strip(v), strip),
+        "null": (X.is_null_token(v), F.lower(strip).isin(*X.NULL_WORDS) | strip.isin(*X.MACHINE_NAN)),
+        "boolean": (X.is_boolean(v), F.lower(strip).isin(*X.TRUE_WORDS, *X.FALSE_WORDS)),
+        "space": (X.whitespace_problem(v), F.when(v != strip, "padded").when(v.contains("\xa0"), "non-breaking space").when(v.rlike(f"[{X.WS}]{{2,}}"), "repeated").when(v.rlike("[\\t\\n\\r]"), "tab or newline")),
+        "email": (X.is_email(v), strip.rlike(f"\\A[^@{X.WS},;]+@[^@{X.WS},;]+\\.[A-Za-z]{{2,}}\\z")),
+        "phone": (X.is_international_phone(v), strip.rlike(f"\\A\\+\\d[\\d{X.WS}().\\-]{{6,16}}\\d\\z")),
+        "iban": (X.is_iban(v) & ~iban, F.lit(False) & v.isNotNull()),
+    }
+    df = spark.createDataFrame([(x,) for x in values], "v string")
+    for name, (new, old) in pairs.items():
+        assert df.where(~new.eqNullSafe(old) & v.isNotNull()).limit(3).collect() == [], name
+    assert df.where(X.is_iban(v)).count() > 0
+    assert "regexp_replace" not in str(X.py_strip(v))
