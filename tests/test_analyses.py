@@ -2,12 +2,16 @@ import datetime
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrata.functions import dates as D
+from lodestrata.functions import numbers as N
+from lodestrata.functions import text as X
 from lodestrata.operators import baselines, checks, drift, impact, repair, report
 from lodestrata.operators.config import Config, ConfigError, parse
 from lodestrata.operators.findings import Finding, collapse, ordered, summary
 from lodestrata.operators.initialize import learn, to_toml
-from lodestrata.operators.profile import dictionary, profile
+from lodestrata.operators.profile import classes, dictionary, facts, parsed, profile
 from lodestrata.operators.references import Reference, ReferenceFault, check_reference
 from lodestrata.sources import sinks
 from lodestrata.sources import store as files
@@ -209,3 +213,20 @@ def test_rows_of_files_keep_their_numbers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert read_parquet(spark, path, 3).df.count() == 3
+
+
+def test_values_alike_are_counted_as_one_class(spark):
+    """Readings by shape are those of the functions, and thousands of plain values make a handful of classes."""
+    odd = ["", " ", "n/a", "NaN", "No", "$5", "$1.234", "€1,234", "1,234", "0,123", "1.5", "007", "20240115", "20241315", "$20240115", " 12", "-3", "12%", "(4.50)", "999", "-999,0", "1" * 400, "05/06/2024", "Jan 5, 2024", "=1+1", " @a", "+1 555 123 4567", "555-123-4567", "4111-1111-1111-1111", "gb82west12345698765432", "a@b.com", "CafÃ©", "a  b", "a\tb", "x\xa0", "٣"]
+    rows = [(0, v, 2, k) for k, v in enumerate(odd)] + [(1, f"{k}", 1, k) for k in range(1000, 6000)] + [(2, f"${k}.75", 1, k) for k in range(1000, 6000)]
+    words = parsed(spark.createDataFrame(rows, "col int, value string, n long, first_row long"), datetime.datetime(2001, 1, 1))
+    v, own = F.col("value"), words.where("col = 0")
+    real = F.when(~X.is_null_token(v), 1)
+    same = own.select((F.col("en").eqNullSafe(F.when(real == 1, N.parse_number(v))) & F.col("eu").eqNullSafe(F.when(real == 1, N.parse_number(v, "eu"))) & F.col("null_token").eqNullSafe(X.is_null_token(v)) & F.col("ts").eqNullSafe(F.get(D.parse_dates(v), 0)["ts"])).alias("x"))
+    assert same.where("NOT x").count() == 0
+    found = {r["col"]: r for r in facts(words).collect()}
+    counted = {"n_null": X.is_null_token(v), "whitespace": ~X.is_blank(v) & X.whitespace_problem(v).isNotNull(), "mojibake": X.has_mojibake(v), "formula": N.is_formula_like(v), "emails": X.is_email(v), "cards": X.is_card(v), "ibans": X.is_iban(v), "phones_international": X.is_international_phone(v), "phones_any": X.is_international_phone(v) | X.is_local_phone(v)}
+    plain = own.agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in counted.items()]).first()
+    assert {k: found[0][k] for k in counted} == plain.asDict() and min(plain) > 0
+    assert found[1]["en_mean"] == 3499.5 and found[2]["en_flag_currency"] == found[2]["en_n"] == 5000 and found[2]["eu_n"] == 5000
+    assert classes(words.where("col > 0")).count() <= 4
