@@ -13,6 +13,7 @@ from lodestrata.operators.findings import Finding, collapse, ordered, summary
 from lodestrata.operators.initialize import learn, to_toml
 from lodestrata.operators.profile import classes, dictionary, facts, parsed, profile
 from lodestrata.operators.references import Reference, ReferenceFault, check_reference
+from lodestrata.operators.rows import repeated_rows
 from lodestrata.sources import sinks
 from lodestrata.sources import store as files
 from lodestrata.sources.tables import LoadError, TextTable, column_keys, discover, quote_fault, read_csv, read_parquet, scan_bytes, sniff_delimiter
@@ -230,3 +231,34 @@ def test_values_alike_are_counted_as_one_class(spark):
     assert {k: found[0][k] for k in counted} == plain.asDict() and min(plain) > 0
     assert found[1]["en_mean"] == 3499.5 and found[2]["en_flag_currency"] == found[2]["en_n"] == 5000 and found[2]["eu_n"] == 5000
     assert classes(words.where("col > 0")).count() <= 4
+
+
+def test_examples_are_gathered_in_one_pass(spark, monkeypatch):
+    rows = [(f"{k}" if k % 4 else "later", f"${k}", " x" if k % 2 else "N/A", "=1+1" if k % 3 else "-a") for k in range(40)]
+    done = profile(table(spark, ["n", "money", "word", "run"], *rows), NOW)
+    alone = {(f.code, f.column): f.examples for fn in checks.CHECKS for f in fn(done, Config())}
+    passes, real = [], checks.samples
+    monkeypatch.setattr(checks, "samples", lambda *a: passes.append(len(a[1])) or real(*a))
+    found = {(f.code, f.column): f.examples for f in checks.run_checks(done, Config())}
+    done.close()
+    assert len(passes) == 1 and passes[0] >= 5 and done.requests is None
+    assert found == alone
+    assert found["mixed-types", "n"] == ["later"] and found["whitespace", "word"] == ["' x'"] and found["formula-injection", "run"] == ["-a", "=1+1"] and found["number-as-text", "money"] == ["$0", "$1", "$2"]
+
+
+def test_rows_stay_where_few_repeat(spark):
+    df = table(spark, ["a", "b"], *[(f"{k % 37}", f"{k}" if k % 10 else "") for k in range(370)], ("1", "1"), ("0", "")).df
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = repeated_rows(df, ["c0", "c1"])
+        join = found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["row_no"], r["kept_row"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    seen, want = {}, set()
+    for r in sorted(df.collect(), key=lambda r: r["row_no"]):
+        first = seen.setdefault((r["c0"], r["c1"]), r["row_no"])
+        want |= {(r["row_no"], first)} if first != r["row_no"] else set()
+    assert got == want and len(want) == 2
+    assert "strategy=broadcast" in join
